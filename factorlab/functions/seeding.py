@@ -3,7 +3,8 @@
 Start vectors follow the public 48-bit linear congruential generator of the Java
 class library: vector j of a seed is the j-th uniform double it yields. Rather than
 iterating, each step is jumped to directly, s_j = A_j * s_0 + C_j (mod 2^48), so the
-expression for one element does not contain the previous ones.
+expression for one element does not contain the previous ones. The helpers build SQL text:
+one parsed expression per vector is far cheaper on the driver than thousands of Columns.
 """
 
 from __future__ import annotations
@@ -30,42 +31,40 @@ def lcg_jump(steps: int) -> tuple[int, int]:
     return mult, add
 
 
-def _advance(state: Column, steps: int) -> Column:
+def _advance(state: str, steps: int) -> str:
     # BIGINT overflow raises under ANSI, hence the product in 24-bit halves.
     mult, add = lcg_jump(steps)
-    low, high = state.bitwiseAND(F.lit(_LOW)), F.shiftright(state, _HALF)
-    cross = high * F.lit(mult & _LOW) + low * F.lit(mult >> _HALF)
-    carried = F.shiftleft(cross.bitwiseAND(F.lit(_LOW)), _HALF)
-    return (low * F.lit(mult & _LOW) + carried + F.lit(add)).bitwiseAND(F.lit(_MASK))
+    low, high = f"({state} & {_LOW})", f"shiftright({state}, {_HALF})"
+    cross = f"({high} * {mult & _LOW}L + {low} * {mult >> _HALF}L)"
+    carried = f"shiftleft({cross} & {_LOW}L, {_HALF})"
+    return f"(({low} * {mult & _LOW}L + {carried} + {add}L) & {_MASK}L)"
 
 
-def lcg_uniforms(seed: Column, count: int) -> list[Column]:
-    """The first ``count`` uniform doubles of the generator seeded with ``seed``."""
-    state = seed.cast("bigint").bitwiseXOR(F.lit(LCG_MULTIPLIER)).bitwiseAND(F.lit(_MASK))
-    out = []
-    for j in range(count):
-        high = F.shiftright(_advance(state, 2 * j + 1), LCG_BITS - 26)
-        low = F.shiftright(_advance(state, 2 * j + 2), LCG_BITS - 27)
-        out.append((high * F.lit(1 << 27) + low).cast("double") / F.lit(float(1 << 53)))
-    return out
+def lcg_uniform(seed: str, index: int) -> str:
+    """Uniform double number ``index`` (from 0) of the generator seeded with ``seed``."""
+    state = f"((cast({seed} as bigint) ^ {LCG_MULTIPLIER}L) & {_MASK}L)"
+    high = f"shiftright({_advance(state, 2 * index + 1)}, {LCG_BITS - 26})"
+    low = f"shiftright({_advance(state, 2 * index + 2)}, {LCG_BITS - 27})"
+    return f"(cast({high} * {1 << 27}L + {low} as double) / {1 << 53}D)"
 
 
-def initial_vector(seed: Column, rank: int) -> Column:
-    return F.array(*lcg_uniforms(seed, rank))
+def initial_vector(seed: str, rank: int) -> Column:
+    """The first ``rank`` uniforms of a seed expression as one array."""
+    return F.expr(f"array({', '.join(lcg_uniform(seed, j) for j in range(rank))})")
 
 
-def hashed_int(tag: str, *keys: Column) -> Column:
+def hashed_int(tag: str, *keys: str) -> str:
     """A 48-bit integer from the md5 of ``tag:key:...``: the same in any SQL engine."""
-    text = F.concat_ws(":", F.lit(tag), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    text = ", ".join(f"cast({key} as string)" for key in keys)
+    return f"cast(conv(substring(md5(concat_ws(':', '{tag}', {text})), 1, 12), 16, 10) as bigint)"
 
 
-def hashed_uniform(tag: str, *keys: Column) -> Column:
+def hashed_uniform(tag: str, *keys: str) -> str:
     """Uniform in (0, 1), never 0 or 1."""
-    return (hashed_int(tag, *keys) + F.lit(0.5)) / F.lit(float(1 << 48))
+    return f"(({hashed_int(tag, *keys)} + 0.5D) / {1 << 48}D)"
 
 
-def hashed_normal(tag: str, *keys: Column) -> Column:
+def hashed_normal(tag: str, *keys: str) -> str:
     """Standard normal by the Box-Muller transform of two hashed uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(hashed_uniform(f"{tag}/a", *keys)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * hashed_uniform(f"{tag}/b", *keys))
+    radius = f"sqrt(-2D * ln({hashed_uniform(tag + '/a', *keys)}))"
+    return f"({radius} * cos(2D * pi() * {hashed_uniform(tag + '/b', *keys)}))"

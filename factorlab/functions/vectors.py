@@ -16,31 +16,24 @@ def triangle(rank: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(rank) for b in range(a, rank)]
 
 
-def elements(x: Column, rank: int) -> list[Column]:
-    return [x.getItem(a) for a in range(rank)]
-
-
-def dot(x: Column, y: Column, rank: int | None = None) -> Column:
-    """Inner product. With a known rank it is plain arithmetic, which stays in codegen."""
+def dot(x: str, y: str, rank: int | None = None) -> Column:
+    """Inner product of two columns. With a known rank it is plain arithmetic (codegen)."""
     if rank is None:
-        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    total = x.getItem(0) * y.getItem(0)
-    for a in range(1, rank):
-        total = total + x.getItem(a) * y.getItem(a)
-    return total
+        return F.expr(f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0D, (s, v) -> s + v)")
+    return F.expr(" + ".join(f"{x}[{a}] * {y}[{a}]" for a in range(rank)))
 
 
-def sqnorm(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+def sqnorm(x: str) -> Column:
+    return F.expr(f"aggregate({x}, 0D, (s, v) -> s + v * v)")
 
 
-def scale(x: Column, by: Column) -> Column:
-    return F.transform(x, lambda v: v * by)
+def scale(x: str, by: str) -> Column:
+    return F.expr(f"transform({x}, v -> v * {by})")
 
 
-def outer_packed(x: Column, rank: int) -> Column:
+def outer_packed(x: str, rank: int) -> Column:
     """Upper triangle of x xT as one array."""
-    return F.array(*[x.getItem(a) * x.getItem(b) for a, b in triangle(rank)])
+    return F.expr(f"array({', '.join(f'{x}[{a}] * {x}[{b}]' for a, b in triangle(rank))})")
 
 
 def unpack_symmetric(packed: np.ndarray, rank: int) -> np.ndarray:

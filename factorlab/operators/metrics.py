@@ -25,18 +25,19 @@ def predict(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame,
             rank: int | None = None, how: str = "inner") -> DataFrame:
     """``ratings`` plus ``pred``. Inner: rows with an unknown id drop out. Left: pred is 0."""
     joined = _attach(ratings, u_factors, i_factors, _hot(ratings), how)
-    return joined.withColumn("pred", F.coalesce(dot(F.col("xu"), F.col("xi"), rank), F.lit(0.0))
-                             if how == "left" else dot(F.col("xu"), F.col("xi"), rank)).drop("xu", "xi")
+    pred = dot("xu", "xi", rank)
+    if how == "left":
+        pred = F.coalesce(pred, F.lit(0.0))
+    return joined.withColumn("pred", pred).drop("xu", "xi")
 
 
 def sse_compressed(u_factors: DataFrame, i_factors: DataFrame, obs: DataFrame, rank: int,
                    hot: dict, how: str = "inner") -> DataFrame:
     """One row (nnz, sse) over compressed observations."""
     joined = _attach(obs, u_factors, i_factors, hot, how)
-    pred = F.coalesce(dot(F.col("xu"), F.col("xi"), rank), F.lit(0.0))
-    gap = pred - F.col("r")
-    return joined.agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("bigint").alias("nnz"),
-                      F.coalesce(F.sum(F.col("n") * gap * gap + F.col("ss")), F.lit(0.0)).alias("sse"))
+    scored = joined.select("n", "r", "ss", F.coalesce(dot("xu", "xi", rank), F.lit(0.0)).alias("p"))
+    return scored.agg(F.expr("cast(coalesce(sum(n), 0) as bigint)").alias("nnz"),
+                      F.expr("coalesce(sum(n * (p - r) * (p - r) + ss), 0D)").alias("sse"))
 
 
 def sse(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame, rank: int,
@@ -53,7 +54,7 @@ def rmse(errors: DataFrame) -> DataFrame:
 def reg_cost(u_factors: DataFrame, i_factors: DataFrame, lam: float) -> DataFrame:
     """lam * (|U|^2 + |V|^2) as one row."""
     both = u_factors.select("x").unionByName(i_factors.select("x"))
-    return both.agg((F.lit(lam) * F.coalesce(F.sum(sqnorm(F.col("x"))), F.lit(0.0))).alias("reg_cost"))
+    return both.agg((F.lit(lam) * F.coalesce(F.sum(sqnorm("x")), F.lit(0.0))).alias("reg_cost"))
 
 
 def train_loss(errors: DataFrame, cost: DataFrame) -> DataFrame:

@@ -23,15 +23,11 @@ _FOLD_ROWS = 200_000
 
 def by_columns(rows: DataFrame, key: str, rank: int) -> DataFrame:
     """Partial and final HashAggregate over one sum column per distinct entry."""
-    x = [F.col("x").getItem(a) for a in range(rank)]
-    flat = rows.select(key, F.col("n"), (F.col("n") * F.col("r")).alias("nr"),
-                       *[x[a].alias(f"x{a}") for a in range(rank)])
-    tri = [F.sum(F.col("n") * F.col(f"x{a}") * F.col(f"x{b}")).alias(f"g{a}_{b}")
-           for a, b in triangle(rank)]
-    rhs = [F.sum(F.col("nr") * F.col(f"x{a}")).alias(f"h{a}") for a in range(rank)]
-    return flat.groupBy(key).agg(*tri, *rhs).select(
-        key, F.array(*[f"g{a}_{b}" for a, b in triangle(rank)]).alias("xtx"),
-        F.array(*[f"h{a}" for a in range(rank)]).alias("xty"))
+    flat = rows.selectExpr(key, "n", "n * r as nr", *[f"x[{a}] as x{a}" for a in range(rank)])
+    tri = ", ".join(f"sum(n * x{a} * x{b})" for a, b in triangle(rank))
+    rhs = ", ".join(f"sum(nr * x{a})" for a in range(rank))
+    return flat.groupBy(key).agg(F.expr(f"array({tri})").alias("xtx"),
+                                 F.expr(f"array({rhs})").alias("xty"))
 
 
 def sum_arrays(parts: DataFrame, key: str, rank: int) -> DataFrame:

@@ -199,8 +199,7 @@ class BlockedPlan(_Plan):
 
 def initial_factors(ids: DataFrame, rank: int, side: str) -> DataFrame:
     """Seeded start: seed = id on the u side and -id on the i side."""
-    seed = F.col("id") if side == "u" else -F.col("id")
-    return ids.select("id", initial_vector(seed, rank).alias("x"))
+    return ids.select("id", initial_vector("id" if side == "u" else "-id", rank).alias("x"))
 
 
 def choose_strategy(rank: int) -> str:
