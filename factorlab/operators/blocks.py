@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.functions.solve import lists_of, matrix_of, ridge_solve, segment_grams
 from factorlab.functions.vectors import pack_symmetric
+from factorlab.operators.positions import ordered_positions
 
 
 def block_of(key: Column | str, blocks: int, piece: Column | None = None) -> Column:
@@ -34,8 +35,7 @@ def block_layout(ratings: DataFrame, blocks: int) -> DataFrame:
 def block_positions(ids: DataFrame, blocks: int) -> DataFrame:
     """0-based position of every distinct id inside its block, ids ascending."""
     placed = ids.select("id", block_of("id", blocks).alias("blk")).distinct()
-    inside = Window.partitionBy("blk").orderBy("id")
-    return placed.withColumn("pos", F.row_number().over(inside) - 1)
+    return ordered_positions(placed, ["blk"], ["id"])
 
 
 def out_links(ratings: DataFrame, src: str, dst: str, blocks: int) -> DataFrame:
@@ -54,11 +54,11 @@ def messages(links: DataFrame, factors: DataFrame) -> DataFrame:
     return links.join(factors.withColumnRenamed("id", "src"), "src").select("dst_blk", "src", "x")
 
 
-def pack_blocks(factors: DataFrame, blocks: int) -> DataFrame:
-    """Blocked factor table: one bounded chunk of ids and vectors per (block, chunk)."""
+def pack_blocks(factors: DataFrame, blocks: int, chunk_rows: int = 65536) -> DataFrame:
+    """Blocked factor table: per block, chunks of consecutive ids and their vectors."""
     placed = factors.select(block_of("id", blocks).alias("blk"), "id", "x")
-    chunk = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
-    packed = placed.groupBy("blk", chunk.alias("chunk")).agg(
+    numbered = ordered_positions(placed, ["blk"], ["id"])
+    packed = numbered.groupBy("blk", F.expr(f"pos div {chunk_rows}").alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows"))
     return packed.select("blk", "chunk", F.col("rows.id").alias("ids"), F.col("rows.x").alias("xs"))
 
@@ -69,16 +69,16 @@ def unblock(packed: DataFrame) -> DataFrame:
     return flat.select(F.col("e.ids").alias("id"), F.col("e.xs").alias("x"))
 
 
-def update_block(rank: int, lam: float, partial: bool):
+def update_block(rank: int, lam: float, split: bool):
     """The cogroup function of one block: messages + owned ratings -> new vectors.
 
-    With ``partial`` it returns unsolved normal equations, because pieces of split entities
-    have to be added up first.
+    With ``split``, entities flagged as pieces of a hot one come back as unsolved normal
+    equations instead, because their pieces have to be added up first.
     """
 
     def step(key, sent: pa.Table, owned: pa.Table) -> pa.Table:
         if not owned.num_rows:
-            return EMPTY
+            return nothing
         src = sent["src"].to_numpy()
         by_src = np.argsort(src)
         dst = owned["dst"].to_numpy()
@@ -89,16 +89,20 @@ def update_block(rank: int, lam: float, partial: bool):
         grams, rhs = segment_grams(
             matrix_of(sent["x"], rank), pick, owned["n"].to_numpy()[by_dst],
             owned["r"].to_numpy()[by_dst], starts, np.r_[starts[1:], len(dst)])
-        ids = pa.array(dst[starts])
-        if partial:
-            return pa.table({"id": ids, "xtx": lists_of(pack_symmetric(grams)), "xty": lists_of(rhs)})
-        return pa.table({"id": ids, "x": lists_of(ridge_solve(grams, rhs, lam))})
+        ids = dst[starts]
+        if not split:
+            return pa.table({"id": ids, "x": lists_of(ridge_solve(grams, rhs, lam))})
+        piece = owned["split"].to_numpy()[by_dst][starts]
+        whole = pa.table({"id": ids[~piece], "x": lists_of(ridge_solve(grams[~piece], rhs[~piece], lam))})
+        parts = pa.table({"id": ids[piece], "xtx": lists_of(pack_symmetric(grams[piece])),
+                          "xty": lists_of(rhs[piece])})
+        return pa.concat_tables([whole, parts], promote_options="default").select(nothing.schema.names)
 
     lists = pa.list_(pa.float64())
-    EMPTY = pa.schema([("id", pa.int64()), *([("xtx", lists), ("xty", lists)] if partial
-                                             else [("x", lists)])]).empty_table()
+    fields = ["x", "xtx", "xty"] if split else ["x"]
+    nothing = pa.schema([("id", pa.int64()), *[(name, lists) for name in fields]]).empty_table()
     return step
 
 
-UPDATE_SCHEMA = "id bigint, x array<double>"
-PARTIAL_SCHEMA = "id bigint, xtx array<double>, xty array<double>"
+def update_schema(split: bool) -> str:
+    return "id bigint, x array<double>" + (", xtx array<double>, xty array<double>" if split else "")

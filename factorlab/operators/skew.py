@@ -26,7 +26,9 @@ class KeyProfile:
     ids: DataFrame  # (id, n): number of rows per id
     rows: int
     keys: int
-    hot: DataFrame | None  # (id, pieces), at most `limit` rows, or None
+    top: int  # rows of the most frequent id
+    threshold: float  # ids with more rows than this are hot
+    hot: DataFrame | None  # (id, n, pieces), at most `limit` rows, or None
 
 
 def hot_limit(df: DataFrame, rank: int = 0) -> int:
@@ -44,23 +46,24 @@ def profile(df: DataFrame, key: str, limit: int | None = None) -> KeyProfile:
     hot = None
     if total["top"] > threshold:
         pieces = F.ceil(F.col("n") / F.lit(threshold)).cast("int")
-        hot = cut(ids.filter(F.col("n") > threshold).select("id", pieces.alias("pieces")))
-    return KeyProfile(ids, total["rows"], total["keys"], hot)
+        hot = cut(ids.filter(F.col("n") > threshold).select("id", "n", pieces.alias("pieces")))
+    return KeyProfile(ids, total["rows"], total["keys"], total["top"], threshold, hot)
 
 
 def with_piece(df: DataFrame, key: str, spread_by: str, hot: DataFrame | None,
-               name: str = "piece") -> DataFrame:
-    """Add the piece number: 0 for ordinary keys, a stable hash of ``spread_by`` for hot ones.
+               name: str = "piece", ordinary: int = 1) -> DataFrame:
+    """Add the piece number: a stable hash of ``spread_by``, modulo the key's pieces.
 
-    The rows of one key must differ in ``spread_by`` (compressed observations do), so that
-    copies of one pair cannot end up together in a single piece.
+    Ordinary keys have ``ordinary`` pieces (one, unless asked otherwise). The rows of one key
+    must differ in ``spread_by`` (compressed observations do), so that copies of one pair
+    cannot end up together in a single piece.
     """
     if hot is None:
-        return df.withColumn(name, F.lit(0))
+        piece = f"pmod(xxhash64({spread_by}), {ordinary})" if ordinary > 1 else "0"
+        return df.withColumn(name, F.expr(f"cast({piece} as int)"))
     split = F.broadcast(hot.select(F.col("id").alias(key), F.col("pieces").alias("_pieces")))
-    piece = F.pmod(F.xxhash64(spread_by), F.col("_pieces")).cast("int")
-    return (df.join(split, key, "left")
-            .withColumn(name, F.coalesce(piece, F.lit(0))).drop("_pieces"))
+    piece = F.expr(f"cast(pmod(xxhash64({spread_by}), coalesce(_pieces, {ordinary})) as int)")
+    return df.join(split, key, "left").withColumn(name, piece).drop("_pieces")
 
 
 def spread(table: DataFrame, key: str, hot: DataFrame | None, name: str = "piece") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorlab.operators.positions import ordered_positions
+
 
 def degrees(ratings: DataFrame, side: str) -> DataFrame:
     """Ratings per id of one side; its ids define the side."""
@@ -26,13 +28,14 @@ def matrix_stats(ratings: DataFrame) -> DataFrame:
 
 
 def columns(ratings: DataFrame, chunk_rows: int = 65536) -> DataFrame:
-    """Column form: per column, chunks of ``(u, r, n)`` entries with ascending row ids.
+    """Column form: per column, chunks of ``(u, r, n)`` entries in ascending order.
 
-    A chunk covers ``chunk_rows`` consecutive row ids, so no column is ever gathered whole;
-    equal entries are counted before they are collected.
+    Equal entries are counted first, and a chunk holds at most ``chunk_rows`` of them, so no
+    column is ever gathered whole.
     """
     cells = ratings.groupBy("i", "u", "r").agg(F.count("*").alias("n"))
-    return cells.groupBy("i", F.floor(F.col("u") / chunk_rows).alias("chunk")).agg(
+    numbered = ordered_positions(cells, ["i"], ["u", "r"])
+    return numbered.groupBy("i", F.expr(f"pos div {chunk_rows}").alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("u", "r", "n"))).alias("entries"))
 
 

@@ -6,6 +6,7 @@ One half-step solves, for every entity e of one side and the vectors x of the ot
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -25,6 +26,8 @@ STRATEGIES = ("auto", "join", "gather", "blocked", "broadcast")
 OTHER = {"u": "i", "i": "u"}
 # Ratings one block may hold on average: about 100 MB in its Python worker.
 ROWS_PER_BLOCK = 2_000_000
+# Ratings one gathered list may hold on average.
+LIST_ROWS = 50_000
 
 
 @dataclass
@@ -68,11 +71,24 @@ class _Plan:
         self.obs, self.profiles, self.rank, self.lam = obs, profiles, rank, lam
         self.partitions = partitions
         self.cached: list[DataFrame] = []
+        self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Cache for the current half-step only."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def step(self, side: str, factors: DataFrame) -> DataFrame:
+        """One materialized half-step."""
+        done = cut(self.update(side, factors))
+        while self.held:
+            self.held.pop().unpersist()
+        return done
+
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         raise NotImplementedError
 
@@ -113,12 +129,22 @@ class JoinPlan(_Plan):
 
 
 class GatherPlan(JoinPlan):
-    """Same join, but the ratings of an entity are gathered before they are summed."""
+    """Same join, but the ratings of an entity are gathered before they are summed.
+
+    Lists are kept near LIST_ROWS: entities with more ratings are gathered in pieces.
+    """
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
-        hot = self.profiles[side].hot
-        rows = S.with_piece(self.attached(side, factors), side, OTHER[side], hot)
-        return self.solved(N.gather(rows, side, self.rank, pieces=hot is not None), side)
+        side_profile = self.profiles[side]
+        hot, ordinary = side_profile.hot, 1
+        if hot is not None:
+            ordinary = math.ceil(side_profile.threshold / LIST_ROWS)
+            hot = hot.select("id", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"))
+        elif side_profile.top > LIST_ROWS:
+            ordinary = math.ceil(side_profile.top / LIST_ROWS)
+        rows = S.with_piece(self.attached(side, factors), side, OTHER[side], hot, ordinary=ordinary)
+        in_pieces = hot is not None or ordinary > 1
+        return self.solved(N.gather(rows, side, self.rank, pieces=in_pieces), side)
 
 
 class BroadcastPlan(_Plan):
@@ -168,33 +194,34 @@ class BlockedPlan(_Plan):
     def _layout(self, dst: str):
         src, hot = OTHER[dst], self.profiles[dst].hot
         placed = S.with_piece(self.obs.select("u", "i", "n", "r"), dst, src, hot)
+        split = []
+        if hot is not None:
+            marks = F.broadcast(hot.select(F.col("id").alias(dst), F.lit(True).alias("split")))
+            placed = placed.join(marks, dst, "left")
+            split = [F.expr("split is not null").alias("split")]
         owned = self.keep(
             placed.select(B.hashed_block(dst, "piece", self.blocks).alias("blk"),
-                          F.col(src).alias("src"), F.col(dst).alias("dst"), "n", "r")
+                          F.col(src).alias("src"), F.col(dst).alias("dst"), "n", "r", *split)
             .repartition(self.partitions, "blk").sortWithinPartitions("blk"))
         # Distinct inside the partition already: blk alone determines where a row lives.
         links = self.keep(owned.select("src", "blk").distinct()
                           .repartition(self.partitions, "src").sortWithinPartitions("src"))
-        return owned.toDF("blk", "o_src", "dst", "n", "r"), links, hot
+        # Both sides of the cogroup come from the ratings: fresh names keep them apart.
+        return owned.toDF("owner", *owned.columns[1:]), links, hot
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         owned, links, hot = self.sides[side]
         vectors = factors.select(F.col("id").alias("src"), "x")
         sent = links.join(vectors, "src").select(F.col("blk").alias("to"), "src", "x")
-        owned = owned.withColumnRenamed("o_src", "src")
-        pairs = sent.groupBy("to").cogroup(owned.groupBy("blk"))
+        step = B.update_block(self.rank, self.lam, hot is not None)
+        updated = sent.groupBy("to").cogroup(owned.groupBy("owner")).applyInArrow(
+            step, B.update_schema(hot is not None))
         if hot is None:
-            return pairs.applyInArrow(B.update_block(self.rank, self.lam, False), B.UPDATE_SCHEMA)
-        return self._with_split(pairs, hot)
-
-    def _with_split(self, pairs, hot: DataFrame) -> DataFrame:
-        """Whole entities are solved as they are; the pieces of hot ones are added up first."""
-        parts = self.keep(pairs.applyInArrow(B.update_block(self.rank, self.lam, True),
-                                             B.PARTIAL_SCHEMA))
-        split = F.broadcast(hot.select("id"))
-        whole = parts.join(split, "id", "left_anti")
-        summed = N.sum_arrays(parts.join(split, "id", "left_semi"), "id", self.rank)
-        return self.solved(whole.unionByName(summed), "id")
+            return updated
+        # Both branches read the block results, so these are held for the length of the step.
+        updated = self.hold(updated)
+        summed = N.sum_arrays(updated.filter("x is null"), "id", self.rank)
+        return updated.filter("x is not null").select("id", "x").unionByName(self.solved(summed, "id"))
 
 
 def initial_factors(ids: DataFrame, rank: int, side: str) -> DataFrame:
@@ -240,7 +267,7 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
     errors: list[DataFrame] = []
     for it in range(iters):
         for half, side in enumerate((first, OTHER[first]), start=1):
-            factors[side] = cut(plan.update(side, factors[OTHER[side]]))
+            factors[side] = plan.step(side, factors[OTHER[side]])
             if trace:
                 error = M.sse_compressed(factors["u"], factors["i"], obs, rank, hot)
                 errors.append(cut(error.select(F.lit(it).alias("iter"), F.lit(half).alias("half"), "sse")))

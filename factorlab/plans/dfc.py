@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factorlab.functions.solve import lists_of, matrix_of
 from factorlab.functions.vectors import dot
 from factorlab.operators import ratings as R
-from factorlab.operators.skew import lookup_join, profile
+from factorlab.operators.skew import BROADCAST_BYTES, lookup_join, profile
 from factorlab.plans.als import als_fit
 from factorlab.session import cut
 
@@ -137,7 +137,10 @@ def combine(w: DataFrame, h: DataFrame, rank: int) -> tuple[DataFrame, DataFrame
     product = ", ".join("(" + " + ".join(f"t[{r * rank + c}] * x[{c}]" for c in range(rank)) + ")"
                         for r in range(rank))
     # A partition that shares no row with partition 0 has C_p = 0, hence zero columns.
-    cols = h.join(F.broadcast(turned), "part", "left").select(
+    turned = cut(turned)
+    if turned.count() * rank * rank * 8 <= BROADCAST_BYTES:
+        turned = F.broadcast(turned)
+    cols = h.join(turned, "part", "left").select(
         "part", "i", F.expr(f"coalesce(array({product}), array_repeat(0D, {rank}))"
                             if rank <= 40 else _product_lambda(rank)).alias("x"))
     return w.filter("part = 0").select(F.col("u").alias("id"), "x"), cols

@@ -40,9 +40,12 @@ def read_bounded(spark: SparkSession, path: str, columns: int, index_base: int =
 
 def write_ratings(ratings: DataFrame, path: str, index_base: int = 0, mode: str = "error",
                   column_major: bool = False) -> None:
-    """``u i r`` text directory; ``column_major`` range-sorts by (i, u) first."""
+    """``u i r`` text directory; ``column_major`` range-sorts by (i, u) first.
+
+    The random tie-break lets the copies of one pair spread over several ranges.
+    """
     if column_major:
-        ratings = ratings.orderBy("i", "u")
+        ratings = ratings.orderBy("i", "u", F.rand(0))
     ratings.selectExpr(f"concat_ws(' ', u + {index_base}, i + {index_base}, r) as value").write.mode(mode).text(path)
 
 
