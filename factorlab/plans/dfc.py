@@ -113,6 +113,11 @@ def column_gram(h: DataFrame, rank: int) -> DataFrame:
     return projection_gram(mine, rank)
 
 
+def _pinv(grams: np.ndarray) -> np.ndarray:
+    # Rounding leaves eigenvalues near 1e-16 of the largest where a Gram matrix is singular.
+    return np.linalg.pinv(grams, rcond=1e-13, hermitian=True)
+
+
 def combine(w: DataFrame, h: DataFrame, rank: int) -> tuple[DataFrame, DataFrame]:
     """Project every partition onto the row space of partition 0.
 
@@ -128,8 +133,8 @@ def combine(w: DataFrame, h: DataFrame, rank: int) -> tuple[DataFrame, DataFrame
     @F.arrow_udf("array<double>")
     def turn(part: pa.Array, c: pa.Array, g: pa.Array, k: pa.Array) -> pa.Array:
         c3, g3, k3 = (matrix_of(v, rank * rank).reshape(-1, rank, rank) for v in (c, g, k))
-        project = (np.linalg.pinv(k3, hermitian=True) @ k3).transpose(0, 2, 1)
-        t = project @ np.linalg.pinv(g3, hermitian=True) @ c3
+        project = (_pinv(k3) @ k3).transpose(0, 2, 1)
+        t = project @ _pinv(g3) @ c3
         t[part.to_numpy() == 0] = np.eye(rank)
         return lists_of(t.reshape(len(t), -1))
 
