@@ -69,40 +69,103 @@ def unblock(packed: DataFrame) -> DataFrame:
     return flat.select(F.col("e.ids").alias("id"), F.col("e.xs").alias("x"))
 
 
+# Ratings per packed row: a few MB, so that no row of the packed table is large.
+PACK_ROWS = 200_000
+
+PACKED_SCHEMA = ("owner int, src array<bigint>, dst array<bigint>, ends array<int>, split array<boolean>, "
+                 "pick array<int>, n array<double>, r array<double>")
+
+
+def pack_links(key, block, owned):
+    """All ratings (src, dst, n, r, split) of one block as a few rows of arrays.
+
+    ``dst`` are the block's entities, ``ends`` where their ratings end, ``pick`` the source of
+    each rating as a position in the block's ascending sources. The first row lists those.
+    """
+    kinds = {"owner": pa.int32(), "src": pa.list_(pa.int64()), "dst": pa.list_(pa.int64()),
+             "ends": pa.list_(pa.int32()), "split": pa.list_(pa.bool_()), "pick": pa.list_(pa.int32()),
+             "n": pa.list_(pa.float64()), "r": pa.list_(pa.float64())}
+    if not owned.num_rows:
+        return pa.schema(list(kinds.items())).empty_table()
+    dst = owned["dst"].to_numpy()
+    order = np.argsort(dst, kind="stable")
+    dst = dst[order]
+    sources, pick = np.unique(owned["src"].to_numpy()[order], return_inverse=True)
+    n, r = owned["n"].to_numpy()[order], owned["r"].to_numpy()[order]
+    split = owned["split"].to_numpy()[order]
+    starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    ends = np.r_[starts[1:], len(dst)]
+    # A row takes whole entities, as many as reach PACK_ROWS ratings.
+    row_of = starts // PACK_ROWS
+    rows = []
+    for at in np.unique(row_of):
+        mine = row_of == at
+        lo, hi = starts[mine][0], ends[mine][-1]
+        rows.append({"owner": key[0].as_py(), "src": [] if rows else sources, "dst": dst[starts[mine]],
+                     "ends": (ends[mine] - lo).astype(np.int32), "split": split[starts[mine]],
+                     "pick": pick[lo:hi].astype(np.int32), "n": n[lo:hi], "r": r[lo:hi]})
+    return pa.table({name: pa.array([row[name] for row in rows], kind) for name, kind in kinds.items()})
+
+
+def _packed_rows(packed: pa.Table):
+    """(dst, starts, ends, split, pick, n, r) of every packed row."""
+    for at in range(packed.num_rows):
+        dst, ends, split, pick, n, r = (
+            packed[name][at].values.to_numpy(zero_copy_only=False)
+            for name in ("dst", "ends", "split", "pick", "n", "r"))
+        ends = ends.astype(np.int64)
+        yield dst, np.r_[0, ends[:-1]], ends, split, pick, n, r
+
+
+def _vectors_by_id(sent: pa.Table, rank: int):
+    ids = sent["id"].to_numpy()
+    order = np.argsort(ids)
+    return ids[order], matrix_of(sent["x"], rank)[order]
+
+
 def update_block(rank: int, lam: float, split: bool):
-    """The cogroup function of one block: messages + owned ratings -> new vectors.
+    """The cogroup function of one block: messages + packed ratings -> new vectors.
 
     With ``split``, entities flagged as pieces of a hot one come back as unsolved normal
     equations instead, because their pieces have to be added up first.
     """
-
-    def step(key, sent: pa.Table, owned: pa.Table) -> pa.Table:
-        if not owned.num_rows:
-            return nothing
-        src = sent["src"].to_numpy()
-        by_src = np.argsort(src)
-        dst = owned["dst"].to_numpy()
-        by_dst = np.argsort(dst, kind="stable")
-        dst = dst[by_dst]
-        pick = by_src[np.searchsorted(src[by_src], owned["src"].to_numpy()[by_dst])]
-        starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
-        grams, rhs = segment_grams(
-            matrix_of(sent["x"], rank), pick, owned["n"].to_numpy()[by_dst],
-            owned["r"].to_numpy()[by_dst], starts, np.r_[starts[1:], len(dst)])
-        ids = dst[starts]
-        if not split:
-            return pa.table({"id": ids, "x": lists_of(ridge_solve(grams, rhs, lam))})
-        piece = owned["split"].to_numpy()[by_dst][starts]
-        whole = pa.table({"id": ids[~piece], "x": lists_of(ridge_solve(grams[~piece], rhs[~piece], lam))})
-        parts = pa.table({"id": ids[piece], "xtx": lists_of(pack_symmetric(grams[piece])),
-                          "xty": lists_of(rhs[piece])})
-        return pa.concat_tables([whole, parts], promote_options="default").select(nothing.schema.names)
-
     lists = pa.list_(pa.float64())
-    fields = ["x", "xtx", "xty"] if split else ["x"]
-    nothing = pa.schema([("id", pa.int64()), *[(name, lists) for name in fields]]).empty_table()
+    names = ["x", "xtx", "xty"] if split else ["x"]
+    schema = pa.schema([("id", pa.int64()), *[(name, lists) for name in names]])
+
+    def step(key, sent: pa.Table, packed: pa.Table) -> pa.Table:
+        out = [schema.empty_table()]
+        _, x = _vectors_by_id(sent, rank)
+        for dst, starts, ends, piece, pick, n, r in _packed_rows(packed):
+            grams, rhs = segment_grams(x, pick, n, r, starts, ends)
+            whole = ~piece
+            out.append(pa.table({"id": dst[whole], "x": lists_of(ridge_solve(grams[whole], rhs[whole], lam))}))
+            if split:
+                out.append(pa.table({"id": dst[piece], "xtx": lists_of(pack_symmetric(grams[piece])),
+                                     "xty": lists_of(rhs[piece])}))
+        return pa.concat_tables(out, promote_options="default").select(schema.names)
+
     return step
 
 
 def update_schema(split: bool) -> str:
     return "id bigint, x array<double>" + (", xtx array<double>, xty array<double>" if split else "")
+
+
+def score_block(rank: int):
+    """The cogroup function for the training error: both sides' vectors arrive as messages."""
+
+    def step(key, sent: pa.Table, packed: pa.Table) -> pa.Table:
+        total = 0.0
+        own = sent["own"].to_numpy()
+        _, x = _vectors_by_id(sent.filter(pa.array(~own)), rank)
+        ids, v = _vectors_by_id(sent.filter(pa.array(own)), rank)
+        for dst, starts, ends, _, pick, n, r in _packed_rows(packed):
+            at = np.repeat(np.searchsorted(ids, dst), ends - starts)
+            for lo in range(0, len(pick), PACK_ROWS):
+                part = slice(lo, lo + PACK_ROWS)
+                gap = np.einsum("ij,ij->i", x[pick[part]], v[at[part]]) - r[part]
+                total += float(n[part] @ (gap * gap))
+        return pa.table({"sse": [total]})
+
+    return step

@@ -13,10 +13,10 @@ def compress(ratings: DataFrame) -> DataFrame:
     n*x*xT and n*r*x only, and the squared error is n*(p - r)^2 + ss. Map-side combining
     makes a pair that holds a third of all rows as cheap as any other.
     """
-    return ratings.groupBy("u", "i").agg(
-        F.count("*").cast("double").alias("n"),
-        F.avg("r").alias("r"),
-        (F.var_pop("r") * F.count("*")).alias("ss"))
+    summed = ratings.groupBy("u", "i").agg(F.expr("cast(count(*) as double)").alias("n"),
+                                           F.sum("r").alias("s"), F.expr("sum(r * r)").alias("q"))
+    # A single observation gives exactly r and 0.
+    return summed.selectExpr("u", "i", "n", "s / n as r", "greatest(q - n * (s / n) * (s / n), 0D) as ss")
 
 
 def rekey(ratings: DataFrame, by: str, partitions: int) -> DataFrame:

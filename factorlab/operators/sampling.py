@@ -18,10 +18,13 @@ ROUNDS = 4
 
 def permuted_cells(positions: DataFrame, m: int, n: int, seed: int) -> DataFrame:
     """(pos) -> (pos, u, i): position ``pos`` of the shuffled cells of an m x n grid."""
-    cells = positions.selectExpr("pos", f"pos % {m}L as u", f"pos div {m}L as i")
+    # The coalesce only tells Catalyst that coordinates are never null. Otherwise every join on
+    # them infers a null filter, which is pushed through all rounds and repeats their hashes.
+    cells = positions.selectExpr("pos", f"coalesce(pos % {m}L, 0L) as u", f"coalesce(pos div {m}L, 0L) as i")
     for turn in range(ROUNDS):
-        cells = cells.selectExpr("pos", f"(u + {hashed_int(f'{seed}/{turn}/u', 'i')}) % {m}L as u", "i")
-        cells = cells.selectExpr("pos", "u", f"(i + {hashed_int(f'{seed}/{turn}/i', 'u')}) % {n}L as i")
+        down, along = hashed_int(f"{seed}/{turn}/u", "i"), hashed_int(f"{seed}/{turn}/i", "u")
+        cells = cells.selectExpr("pos", f"coalesce((u + {down}) % {m}L, 0L) as u", "i")
+        cells = cells.selectExpr("pos", "u", f"coalesce((i + {along}) % {n}L, 0L) as i")
     return cells
 
 
