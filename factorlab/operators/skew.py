@@ -3,7 +3,8 @@
 A key is *hot* when it alone would fill a good part of an average partition. With R rows
 and a limit of H hot keys the threshold is R/H, so there are never more than H of them:
 the table of hot keys is small by construction, whatever the data looks like. H is eight
-per shuffle partition, so that no piece of a split key exceeds an eighth of a partition.
+per shuffle partition, so that no piece of a split key exceeds an eighth of a partition;
+keys below MIN_HOT_ROWS rows are never worth splitting.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from factorlab.session import cut, shuffle_partitions
 
 # Bytes that a broadcast may take at most, anywhere in the package.
 BROADCAST_BYTES = 256 << 20
+MIN_HOT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ def profile(df: DataFrame, key: str, limit: int | None = None) -> KeyProfile:
     ids = cut(df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys"),
                     F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
-    threshold = max(total["rows"] / limit, 1.0)
+    threshold = max(total["rows"] / limit, float(MIN_HOT_ROWS))
     hot = None
     if total["top"] > threshold:
         pieces = F.ceil(F.col("n") / F.lit(threshold)).cast("int")

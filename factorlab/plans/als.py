@@ -26,6 +26,8 @@ STRATEGIES = ("auto", "join", "gather", "blocked", "broadcast")
 OTHER = {"u": "i", "i": "u"}
 # Ratings one block may hold on average: about 100 MB in its Python worker.
 ROWS_PER_BLOCK = 2_000_000
+# Compressed ratings per partition of a cached layout, at least and at most.
+MIN_PARTITION_ROWS, MAX_PARTITION_ROWS = 50_000, 8_000_000
 # Ratings one gathered list may hold on average.
 LIST_ROWS = 50_000
 
@@ -78,7 +80,9 @@ class _Plan:
         self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """Cache a layout now: only a built cache tells Catalyst how it is partitioned and sorted."""
         self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        df.count()
         return df
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -122,7 +126,8 @@ class JoinPlan(_Plan):
             placed = S.with_piece(self.obs.select("u", "i", "n", "r"), src, OTHER[src], hot)
             if hot is None:
                 placed = placed.drop("piece")
-            self.by_source[src] = self.keep(placed.repartition(self.partitions, *keys)), keys, hot
+            self.by_source[src] = (
+                self.keep(placed.repartition(self.partitions, *keys).sortWithinPartitions(*keys)), keys, hot)
 
     def attached(self, side: str, factors: DataFrame) -> DataFrame:
         """Rows (side, n, r, x): each rating with the vector of its other side."""
@@ -262,6 +267,11 @@ def choose_strategy(rank: int) -> str:
     return "blocked" if rank > 2 else "join"
 
 
+def fitting_partitions(spark, rows: int) -> int:
+    """The session's shuffle width, unless its partitions would be tiny or too large."""
+    return max(1, min(shuffle_partitions(spark), rows // MIN_PARTITION_ROWS + 1), rows // MAX_PARTITION_ROWS)
+
+
 def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int = 10,
             strategy: str = "auto", *, first: str = "i", trace: bool = False,
             blocks: int | None = None, partitions: int | None = None,
@@ -277,13 +287,12 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
     if rank < 1 or iters < 0 or first not in OTHER:
         raise ValueError("rank >= 1, iters >= 0 and first in ('u', 'i') are required")
     spark = ratings.sparkSession
-    partitions = partitions or shuffle_partitions(spark)
     strategy = choose_strategy(rank) if strategy == "auto" else strategy
 
     obs = R.compress(R.check_columns(ratings)).persist(StorageLevel.MEMORY_AND_DISK)
     limit = S.hot_limit(obs, rank)
     profiles = {side: S.profile(obs, side, limit) for side in ("u", "i")}
-    args = (obs, profiles, rank, lam, partitions)
+    args = (obs, profiles, rank, lam, partitions or fitting_partitions(spark, profiles["u"].rows))
     plan = (JoinPlan(*args) if strategy == "join" else
             GatherPlan(*args) if strategy == "gather" else
             BlockedPlan(*args, blocks=blocks) if strategy == "blocked" else

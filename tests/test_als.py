@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
+from factorlab.operators import ratings as R
+from factorlab.operators import skew as S
 from factorlab.plans import als as A
+from factorlab.session import cut
 from tests import brute
 
 STRATEGIES = ["join", "gather", "blocked", "broadcast"]
@@ -38,6 +41,7 @@ def skewed_rows():
 @pytest.mark.parametrize("strategy", STRATEGIES)
 def test_hot_keys_and_copies_keep_results_whole(ratings_of, strategy, monkeypatch):
     monkeypatch.setattr(A, "LIST_ROWS", 40)
+    monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
     fit = check(ratings_of, skewed_rows(), 3, 0.5, 2, strategy)
     assert all(fit.profiles[side].hot is not None for side in "ui")
 
@@ -70,6 +74,18 @@ def test_broadcast_beyond_its_limit_joins_instead(ratings_of):
     check(ratings_of, brute.TINY, 2, 0.1, 1, "broadcast", broadcast_bytes=10)
 
 
+@pytest.mark.parametrize("strategy", ["join", "blocked"])
+def test_trace_with_hot_keys(ratings_of, strategy, monkeypatch):
+    monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
+    rows = skewed_rows()
+    fit = A.als_fit(ratings_of(rows), 2, 0.5, 1, strategy, trace=True)
+    got = [r["sse"] for r in fit.trace.orderBy("half").collect()]
+    u0 = brute.start({r[0] for r in rows}, 2)
+    i1 = brute.half_step(rows, u0, 2, 0.5, 1)
+    u1 = brute.half_step(rows, i1, 2, 0.5, 0)
+    assert got == pytest.approx([brute.sse(rows, u0, i1), brute.sse(rows, u1, i1)], rel=1e-7)
+
+
 def test_objective_never_increases_and_row_order_is_irrelevant(ratings_of):
     rows = skewed_rows()
     fit = A.als_fit(ratings_of(rows), 2, 0.1, 3, trace=True)
@@ -104,7 +120,8 @@ def test_unseen_test_ids_drop_out(ratings_of):
     assert row["rmse"] == pytest.approx(abs(u[0] @ i[2] - 3))
 
 
-def test_predictions_of_hot_rows_and_copies(ratings_of):
+def test_predictions_of_hot_rows_and_copies(ratings_of, monkeypatch):
+    monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
     rows = skewed_rows()
     fit = A.als_fit(ratings_of(rows), 2, 0.5, 1)
     u, i = brute.als(rows, 2, 0.5, 1)
@@ -133,16 +150,36 @@ def test_wrong_options_raise(ratings_of):
         A.als_fit(ratings_of(brute.TINY).drop("r"))
 
 
-def test_rating_side_is_not_moved_again(ratings_of):
-    """The cached ratings feed each half-step without another exchange."""
-    from factorlab.operators import ratings as R
-    from factorlab.operators import skew as S
-    obs = R.compress(ratings_of(brute.TINY))
-    profiles = {s: S.profile(obs, s) for s in "ui"}
-    factors = A.initial_factors(profiles["u"].ids, 2, "u")
-    plan = A.BlockedPlan(obs, profiles, 2, 0.1, 4)
-    text = plan.update("i", factors)._jdf.queryExecution().executedPlan().toString()
-    above_cache = text.split("InMemoryTableScan")
-    # Factors to their links, messages to their block: nothing else moves.
-    assert sum(part.split("InMemoryRelation")[0].count("Exchange hashpartitioning") for part in above_cache[:1]) <= 2
-    plan.close()
+def exchanges(df):
+    """Number of exchanges in the plan of ``df``, outside of its cached relations."""
+    def count(node):
+        children = node.children()
+        return node.nodeName().startswith("Exchange") + sum(
+            count(children.apply(k)) for k in range(children.size()))
+    return count(df._jdf.queryExecution().executedPlan().executedPlan())
+
+
+@pytest.mark.parametrize("partitions", [2, 4, 9])
+def test_ratings_are_not_moved_by_a_half_step(spark, ratings_of, partitions):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        obs = R.compress(ratings_of(brute.TINY)).persist()
+        profiles = {s: S.profile(obs, s) for s in "ui"}
+        factors = cut(A.initial_factors(profiles["u"].ids, 2, "u"))
+        blocked = A.BlockedPlan(obs, profiles, 2, 0.1, partitions)
+        # The vectors go to their links, the messages to their block.
+        assert exchanges(blocked.update("i", factors)) == 2
+        blocked.close()
+        join = A.JoinPlan(obs, profiles, 2, 0.1, partitions)
+        # The vectors go to the ratings, the partial sums to their entity.
+        assert exchanges(join.update("i", factors)) == 2
+        join.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_partitions_follow_the_data(spark):
+    assert A.fitting_partitions(spark, 0) == 1
+    assert A.fitting_partitions(spark, 10 ** 6) == 4
+    assert A.fitting_partitions(spark, 10 ** 9) == 125
