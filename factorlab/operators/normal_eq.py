@@ -1,11 +1,13 @@
 """Normal equations per entity, as three Spark aggregations.
 
-Every function takes rows ``(key, n, r, x)``, one per observation with the vector of its
-other side, and returns ``(key, xtx, xty)`` with the packed upper triangle.
+The aggregations take rows ``(key, n, r, x)``, one per observation with the vector of its
+other side, and return ``(key, xtx, xty)`` with the packed upper triangle.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,11 +16,16 @@ from pyspark.sql import types as T
 
 from factorlab.functions.solve import lists_of, matrix_of, segment_grams
 from factorlab.functions.vectors import pack_symmetric, triangle
+from factorlab.operators.ratings import compress
+from factorlab.operators.skew import KeyProfile, hot_limit, lookup_join, with_piece
+from factorlab.operators.skew import profile as key_profile
 
 # Above this rank the sum columns no longer fit one generated method (100 fields).
 MAX_COLUMN_RANK = 12
 # Rows per Arrow chunk that are pre-aggregated together on the map side.
 _FOLD_ROWS = 200_000
+# Observations one gathered list may hold on average.
+LIST_ROWS = 50_000
 
 
 def by_columns(rows: DataFrame, key: str, rank: int) -> DataFrame:
@@ -86,15 +93,25 @@ def combine(rows: DataFrame, key: str, rank: int) -> DataFrame:
     return by_columns(rows, key, rank) if rank <= MAX_COLUMN_RANK else by_arrow_fold(rows, key, rank)
 
 
-def gather(rows: DataFrame, key: str, rank: int, pieces: bool = False) -> DataFrame:
+def list_pieces(profile: KeyProfile) -> tuple[DataFrame | None, int]:
+    """(pieces of hot ids, pieces of all others) that keep gathered lists near LIST_ROWS."""
+    if profile.hot is None:
+        return None, max(1, math.ceil(profile.top / LIST_ROWS))
+    hot = profile.hot.select("id", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"))
+    return hot, math.ceil(profile.threshold / LIST_ROWS)
+
+
+def gather(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyProfile) -> DataFrame:
     """Collect each entity's observations first, then fold each list at once.
 
-    With ``pieces`` the rows carry a piece number, so that a hot entity is gathered in
-    several bounded lists whose folds are added afterwards.
+    Entities with more than LIST_ROWS rows are gathered in several lists, split by the hash
+    of ``spread_by``, whose folds are added up afterwards.
     """
-    keys = [key, "piece"] if pieces else [key]
-    lists = rows.groupBy(*keys).agg(F.collect_list("n").alias("n"), F.collect_list("r").alias("r"),
-                                    F.collect_list("x").alias("x"))
+    hot, ordinary = list_pieces(profile)
+    pieces = hot is not None or ordinary > 1
+    rows = with_piece(rows, key, spread_by, hot, ordinary=ordinary)
+    lists = rows.groupBy(*([key, "piece"] if pieces else [key])).agg(
+        F.collect_list("n").alias("n"), F.collect_list("r").alias("r"), F.collect_list("x").alias("x"))
     schema = T.StructType([rows.schema[key], T.StructField("xtx", T.ArrayType(T.DoubleType())),
                            T.StructField("xty", T.ArrayType(T.DoubleType()))])
 
@@ -113,5 +130,26 @@ def gather(rows: DataFrame, key: str, rank: int, pieces: bool = False) -> DataFr
     return sum_arrays(folded, key, rank) if pieces else folded
 
 
+def attach_factors(ratings: DataFrame, factors: DataFrame, side: str, hot: DataFrame | None = None) -> DataFrame:
+    """Ratings plus ``x``, the vector of their ``side``; rows without a vector drop out."""
+    return lookup_join(ratings, side, factors.withColumnRenamed("id", side), hot)
+
+
+def normal_equations(ratings: DataFrame, factors: DataFrame, side: str, rank: int,
+                     how: str = "combine") -> DataFrame:
+    """(id, xtx, xty) of every entity of ``side``, given the vectors of the other side.
+
+    ``how``: combine (partial sums first), fold (partial sums in Arrow tasks) or gather.
+    """
+    other = "i" if side == "u" else "u"
+    obs = compress(ratings)
+    rows = attach_factors(obs, factors, other, key_profile(obs, other, hot_limit(obs, rank)).hot)
+    if how == "gather":
+        normal = gather(rows, side, rank, other, key_profile(obs, side))
+    else:
+        normal = {"combine": combine, "fold": by_arrow_fold}[how](rows, side, rank)
+    return normal.withColumnRenamed(side, "id")
+
+
 def _list_lengths(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())

@@ -6,7 +6,6 @@ One half-step solves, for every entity e of one side and the vectors x of the ot
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -28,8 +27,6 @@ OTHER = {"u": "i", "i": "u"}
 ROWS_PER_BLOCK = 2_000_000
 # Compressed ratings per partition of a cached layout, at least and at most.
 MIN_PARTITION_ROWS, MAX_PARTITION_ROWS = 50_000, 8_000_000
-# Ratings one gathered list may hold on average.
-LIST_ROWS = 50_000
 
 
 @dataclass
@@ -143,22 +140,11 @@ class JoinPlan(_Plan):
 
 
 class GatherPlan(JoinPlan):
-    """Same join, but the ratings of an entity are gathered before they are summed.
-
-    Lists are kept near LIST_ROWS: entities with more ratings are gathered in pieces.
-    """
+    """Same join, but the ratings of an entity are gathered before they are summed."""
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
-        side_profile = self.profiles[side]
-        hot, ordinary = side_profile.hot, 1
-        if hot is not None:
-            ordinary = math.ceil(side_profile.threshold / LIST_ROWS)
-            hot = hot.select("id", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"))
-        elif side_profile.top > LIST_ROWS:
-            ordinary = math.ceil(side_profile.top / LIST_ROWS)
-        rows = S.with_piece(self.attached(side, factors), side, OTHER[side], hot, ordinary=ordinary)
-        in_pieces = hot is not None or ordinary > 1
-        return self.solved(N.gather(rows, side, self.rank, pieces=in_pieces), side)
+        rows = self.attached(side, factors)
+        return self.solved(N.gather(rows, side, self.rank, OTHER[side], self.profiles[side]), side)
 
 
 class BroadcastPlan(_Plan):
@@ -204,6 +190,8 @@ class BlockedPlan(_Plan):
         rows = self.profiles["u"].rows
         self.blocks = blocks or max(4 * self.partitions, -(-rows // ROWS_PER_BLOCK))
         self.sides = {dst: self._layout(dst) for dst in ("i", "u")}
+        # The packed copies replace the observations from here on.
+        self.obs.unpersist()
 
     def _layout(self, dst: str):
         """(packed, links, hot) of one destination side; ratings never move again after this."""

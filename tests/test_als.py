@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from factorlab.operators import normal_eq as N
 from factorlab.operators import ratings as R
 from factorlab.operators import skew as S
 from factorlab.plans import als as A
@@ -40,12 +41,29 @@ def skewed_rows():
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
 def test_hot_keys_and_copies_keep_results_whole(ratings_of, strategy, monkeypatch):
-    monkeypatch.setattr(A, "LIST_ROWS", 40)
+    monkeypatch.setattr(N, "LIST_ROWS", 40)
     monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
     fit = check(ratings_of, skewed_rows(), 3, 0.5, 2, strategy)
     assert all(fit.profiles[side].hot is not None for side in "ui")
 
 
+@pytest.mark.parametrize("how", ["combine", "fold", "gather"])
+def test_normal_equations_of_hot_keys(spark, ratings_of, how, monkeypatch):
+    monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
+    monkeypatch.setattr(N, "LIST_ROWS", 30)
+    rows = skewed_rows()
+    start = brute.start({r[1] for r in rows}, 2, -1)
+    factors = spark.createDataFrame([(e, v.tolist()) for e, v in start.items()], "id bigint, x array<double>")
+    got = {r["id"]: r for r in N.normal_equations(ratings_of(rows), factors, "u", 2, how).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for e in got:
+        x = np.array([start[i] for u, i, _ in rows if u == e])
+        y = np.array([r for u, _, r in rows if u == e])
+        gram = x.T @ x
+        np.testing.assert_allclose(got[e]["xtx"], [gram[0, 0], gram[0, 1], gram[1, 1]], rtol=1e-9)
+        np.testing.assert_allclose(got[e]["xty"], x.T @ y, rtol=1e-9, atol=1e-9)
+
+
 @pytest.mark.parametrize("blocks", [1, 4, 7, 200])
 def test_any_number_of_blocks(ratings_of, blocks):
     check(ratings_of, brute.TINY + [(0, 0, 1)], 2, 0.1, 1, "blocked", blocks=blocks)

@@ -17,11 +17,12 @@ from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
 from factorlab.operators import stats
 from factorlab.operators.sampling import sample_cells
+from factorlab.operators.skew import profile
 from factorlab.operators.tiling import replicate, replicate_2x2
 from factorlab.plans import dfc as D
 from factorlab.plans.als import als_fit, grouped_ridge, initial_factors
 from factorlab.plans.sweep import generate_tile_train, sweep
-from factorlab.session import cut, scratch_path
+from factorlab.session import scratch_path
 from factorlab.sources import text as T
 from factorlab.sources.synth import sample_sizes, size_table, synth_ratings
 from factorlab.sources.views import customer_part, supplier_part, supplier_part_split, table
@@ -177,8 +178,8 @@ def _start_ctes(rank: int) -> list[tuple[str, str]]:
 @query(Q.with_ctes(_start_ctes(2), "SELECT u, i, count(*) AS n, round(sum(r * x0), 4) + 0.0 AS rx0, "
                    "round(sum(r * x1), 4) + 0.0 AS rx1 FROM t JOIN u_0 ON t.u = u_0.id GROUP BY u, i"))
 def q_rating_factor_join(spark, sf_dir):
-    vectors = starts(spark, sf_dir, "u", 2).withColumnRenamed("id", "u")
-    joined = supplier_part(spark, sf_dir).join(vectors, "u")
+    ratings = supplier_part(spark, sf_dir)
+    joined = N.attach_factors(ratings, starts(spark, sf_dir, "u", 2), "u", profile(ratings, "u").hot)
     return joined.groupBy("u", "i").agg(F.count("*").alias("n"),
                                         F.expr("round(sum(r * x[0]), 4) + 0.0D").alias("rx0"),
                                         F.expr("round(sum(r * x[1]), 4) + 0.0D").alias("rx1"))
@@ -225,26 +226,24 @@ def _normal_sql(rank: int) -> str:
         f"SELECT id, {p}::BIGINT AS pos, round({name}, 4) + 0.0 AS val FROM ne" for p, name in enumerate(names)))
 
 
-def _normal_rows(spark, sf_dir, aggregate) -> DataFrame:
-    vectors = starts(spark, sf_dir, "u", 3).withColumnRenamed("id", "u")
-    rows = supplier_part(spark, sf_dir).join(vectors, "u").selectExpr("i as id", "1D as n", "r", "x")
-    both = aggregate(rows, "id", 3).select("id", F.concat("xtx", "xty").alias("x"))
-    return long_rows(both)
+def _normal_rows(spark, sf_dir, how: str) -> DataFrame:
+    normal = N.normal_equations(supplier_part(spark, sf_dir), starts(spark, sf_dir, "u", 3), "i", 3, how)
+    return long_rows(normal.select("id", F.concat("xtx", "xty").alias("x")))
 
 
 @query(_normal_sql(3))
 def q_normal_eq_r3(spark, sf_dir):
-    return _normal_rows(spark, sf_dir, N.combine)
+    return _normal_rows(spark, sf_dir, "combine")
 
 
 @query(_normal_sql(3))
 def q_normal_eq_fold_r3(spark, sf_dir):
-    return _normal_rows(spark, sf_dir, N.by_arrow_fold)
+    return _normal_rows(spark, sf_dir, "fold")
 
 
 @query(_normal_sql(3))
 def q_normal_eq_gather_r3(spark, sf_dir):
-    return _normal_rows(spark, sf_dir, N.gather)
+    return _normal_rows(spark, sf_dir, "gather")
 
 
 @query(f"SELECT DISTINCT u AS src, (i % {BLOCKS})::INTEGER AS dst_blk FROM ({Q.CUST_PART})")
