@@ -76,10 +76,11 @@ class _Plan:
         self.cached: list[DataFrame] = []
         self.held: list[DataFrame] = []
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, build: bool = True) -> DataFrame:
         """Cache a layout now: only a built cache tells Catalyst how it is partitioned and sorted."""
         self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        df.count()
+        if build:
+            df.count()
         return df
 
     def hold(self, df: DataFrame) -> DataFrame:
@@ -209,7 +210,8 @@ class BlockedPlan(_Plan):
         listed = self.obs.sparkSession.range(self.blocks).selectExpr("cast(id as int) as block")
         packed = listed.groupBy("block").cogroup(
             flat.repartition(self.partitions, "blk").groupBy("blk")).applyInArrow(B.pack_links, B.PACKED_SCHEMA)
-        packed = self.keep(packed.repartition(self.partitions, "owner").sortWithinPartitions("owner"))
+        packed = self.keep(packed.repartition(self.partitions, "owner").sortWithinPartitions("owner"), build=False)
+        # Building the links reads, and so builds, every partition of the packed ratings.
         links = self.keep(packed.select(F.col("owner").alias("blk"), F.explode("src").alias("src"))
                           .repartition(self.partitions, "src").sortWithinPartitions("src"))
         return packed, links, hot
