@@ -48,7 +48,8 @@ def sse(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame, rank: in
 
 
 def rmse(errors: DataFrame) -> DataFrame:
-    return errors.select("nnz", "sse", F.sqrt(F.col("sse") / F.col("nnz")).alias("rmse"))
+    """(nnz, sse, rmse); rmse is null when nothing could be scored."""
+    return errors.selectExpr("nnz", "sse", "sqrt(try_divide(sse, nnz)) as rmse")
 
 
 def reg_cost(u_factors: DataFrame, i_factors: DataFrame, lam: float) -> DataFrame:

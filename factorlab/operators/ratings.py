@@ -28,5 +28,7 @@ def check_columns(ratings: DataFrame) -> DataFrame:
     missing = {"u", "i", "r"} - set(ratings.columns)
     if missing:
         raise ValueError(f"ratings need columns u, i, r; missing {sorted(missing)}")
-    return ratings.select(F.col("u").cast("bigint"), F.col("i").cast("bigint"),
-                          F.col("r").cast("double"))
+    # A null would be a rating of nobody: fail, as a bad token in a file does.
+    whole = [f"coalesce(cast({name} as {kind}), cast(raise_error('rating with null {name}') as {kind})) as {name}"
+             for name, kind in (("u", "bigint"), ("i", "bigint"), ("r", "double"))]
+    return ratings.selectExpr(*whole)

@@ -252,6 +252,17 @@ def initial_factors(ids: DataFrame, rank: int, side: str) -> DataFrame:
     return ids.select("id", initial_vector("id" if side == "u" else "-id", rank).alias("x"))
 
 
+def _start(profile: S.KeyProfile, rank: int, side: str, given: DataFrame | None) -> DataFrame:
+    """Seeded start vectors, or given ones: exactly one for every id of the side."""
+    if given is None:
+        return initial_factors(profile.ids, rank, side)
+    used = cut(given.select("id", "x").join(profile.ids.select("id"), "id", "left_semi"))
+    per_id = used.groupBy("id").agg(F.count("*").alias("n"))
+    if per_id.agg(F.count("*"), F.max("n")).first()[:] != (profile.keys, 1):
+        raise ValueError(f"init for side {side} needs exactly one vector per id")
+    return used
+
+
 def choose_strategy(rank: int) -> str:
     """Blocks move k doubles per message where combined sums move k(k+3)/2 per group."""
     return "blocked" if rank > 2 else "join"
@@ -288,8 +299,7 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
             BlockedPlan(*args, blocks=blocks) if strategy == "blocked" else
             BroadcastPlan(*args, limit_bytes=broadcast_bytes))
 
-    factors = {side: (init or {}).get(side) or initial_factors(profiles[side].ids, rank, side)
-               for side in ("u", "i")}
+    factors = {side: _start(profiles[side], rank, side, (init or {}).get(side)) for side in ("u", "i")}
     errors: list[DataFrame] = []
     for it in range(iters):
         for half, side in enumerate((first, OTHER[first]), start=1):

@@ -68,7 +68,7 @@ class DfcResult:
         out = None
         for name, scored in named:
             row = scored.agg(F.expr("cast(sum(n) as bigint)").alias("nnz"), F.expr(
-                "sqrt(sum(n * (pred - r) * (pred - r) + ss) / sum(n))").alias("rmse"))
+                "sqrt(try_divide(sum(n * (pred - r) * (pred - r) + ss), sum(n)))").alias("rmse"))
             row = row.select(F.lit(name).alias("metric"), "nnz", "rmse")
             out = row if out is None else out.unionByName(row)
         return out

@@ -1,4 +1,4 @@
-"""Brute-force references in plain Python and numpy for small fixtures."""
+"""Brute-force results in plain Python and numpy for small fixtures."""
 
 import numpy as np
 

@@ -129,6 +129,28 @@ def test_given_start_vectors_are_used(spark, ratings_of):
     brute.assert_same(brute.collected(fit.i_factors), want)
 
 
+def test_incomplete_start_vectors_raise(spark, ratings_of):
+    for ids in (range(3), [0, 1, 2, 3, 3]):
+        start = spark.createDataFrame([(e, [1.0, 1.0]) for e in ids], "id bigint, x array<double>")
+        with pytest.raises(ValueError, match="exactly one vector"):
+            A.als_fit(ratings_of(brute.TINY), 2, 0.1, 1, init={"u": start})
+
+
+def test_nothing_to_score_and_nulls(spark, ratings_of):
+    fit = A.als_fit(ratings_of(brute.TINY), 2, 0.1, 1)
+    row = fit.rmse(ratings_of([(99, 99, 1)])).first()
+    assert (row["nnz"], row["rmse"]) == (0, None)
+    broken = spark.createDataFrame([(0, 0, 1.0), (None, 1, 2.0)], "u bigint, i bigint, r double")
+    with pytest.raises(Exception, match="rating with null u"):
+        A.als_fit(broken, 2)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_no_ratings_at_all(ratings_of, strategy):
+    fit = A.als_fit(ratings_of(brute.TINY).filter("u < 0"), 2, 0.1, 1, strategy)
+    assert fit.u_factors.count() == 0 and fit.sse().first()["nnz"] == 0
+
+
 def test_unseen_test_ids_drop_out(ratings_of):
     fit = A.als_fit(ratings_of(brute.TINY), 2, 0.1, 2)
     test = [(0, 2, 3), (99, 0, 1), (1, 77, 2)]
