@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import simhash
+from factorlab.llm import mixing, sharding, simhash
 from factorlab.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,60 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = sharding.size_bytes().alias("size")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    rows = sharding.shard(docs, 24, carry=["doc_id", size, crc])
+    return rows.select("row.*", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP7 = r"""
+WITH sizes AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
+           / 4503599627370496.0 AS u
+    FROM documents),
+totals AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+    FROM sizes GROUP BY source),
+weighed AS (
+    SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+           2.0::DOUBLE * source_size AS most FROM totals),
+filled AS (  -- by how soon a source is full: what is dealt out if it and those before stop
+    SELECT *, most / weight AS full_at, coalesce(sum(most) OVER before, 0) AS used,
+           sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS still_open
+    FROM weighed WINDOW before AS (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+unit AS (
+    SELECT (1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - used) / still_open AS unit FROM filled
+    WHERE (1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - used) / still_open <= full_at
+    ORDER BY full_at, nth LIMIT 1),
+targets AS (
+    SELECT source, source_size, least(most, unit * weight) AS target FROM weighed, unit),
+plans AS (
+    SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
+owed AS (
+    SELECT source, source_size, target, floor(ratio) AS copies, ratio - floor(ratio) AS p,
+           target - floor(ratio) * source_size AS owed FROM plans),
+ranked AS (
+    SELECT s.doc_id, s.size, o.*, sum(s.size) OVER (PARTITION BY s.source ORDER BY u, doc_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM sizes s JOIN owed o ON s.source IS NOT DISTINCT FROM o.source)
+SELECT doc_id, size, source_size, target,
+       (size * (copies + CASE WHEN p > 0 AND (upto <= owed OR (upto - size < owed AND upto - owed < owed - (upto - size)))
+                THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ranked
+"""
+
+
+@query(OP7)
+def op7_mixing(spark, sf_dir):
+    rows = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query()
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
