@@ -153,15 +153,14 @@ def labelled(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
 
 
 def _sketches(batches):
-    """Min-hash keys of each text's set of words, and the set's terms counted by label are left to later."""
-    rng = np.random.default_rng(1)
-    factors = rng.integers(1, 1 << 63, _KEYS, dtype=np.uint64) | np.uint64(1)
+    """Min-hash keys of each text's runs of three words; near copies share most of them."""
+    factors = np.random.default_rng(1).integers(1, 1 << 63, _KEYS, dtype=np.uint64) | np.uint64(1)
     for batch in batches:
         keys = []
         for text in values(batch.column(1)):
-            words = set(words_of(text))
-            h = pd.util.hash_array(np.array(list(words), dtype=object)) if words else np.zeros(1, np.uint64)
-            keys.append([int((h * f).min()) >> 1 for f in factors])
+            h = pd.util.hash_array(np.array(words_of(text) or [b""], dtype=object))
+            runs = h if len(h) < 3 else (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:]
+            keys.append([int((runs * f).min()) >> 1 for f in factors])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
 
 
