@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, mixing, sharding, simhash, toxicity
+from factorlab.llm import decontaminate, langid, linededup, mixing, sharding, simhash, toxicity, urlfilter
 from factorlab.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,75 @@ def op2_decontamination(spark, sf_dir):
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = langid.predict(docs.drop("lang"), langid.fit(docs))
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def _fits(rule: str) -> str:
+    domain, _, start = rule.partition("/")
+    return f"((host = '{domain}' OR host LIKE '%.{domain}') AND path LIKE '/{start}%')"
+
+
+def _alone(term: str) -> str:
+    return f"regexp_matches(low, '(^|[^a-z0-9]){term}($|[^a-z0-9])')::INT"
+
+
+OP4 = f"""
+WITH parts AS (
+    SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+           translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages),
+hosts AS (
+    SELECT *, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS h FROM parts),
+split AS (
+    SELECT page_id, low, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') AS path FROM hosts),
+ruled AS (
+    SELECT *, CASE {' '.join(f"WHEN {_fits(r)} THEN '{r}'" for r in sorted(RULES, key=lambda r: (-len(r), r)))} END AS rule
+    FROM split),
+weighed AS (
+    SELECT *, {' + '.join(f"{w} * {_alone(t)}" for t, w in urlfilter.TERMS.items())} AS weight FROM ruled)
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())}
+       WHEN weight >= {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM weighed
+"""
+
+
+@query(OP4)
+def op4_url_filter(spark, sf_dir):
+    rows = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5 = r"""
+WITH parts AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (
+    SELECT doc_id, i, p[i] AS line, translate(trim(p[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+often AS (
+    SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+    SELECT l.*, o.key IS NOT NULL AND doc_id <> keeper AS dropped FROM lines l LEFT JOIN often o ON l.key = o.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query(OP5)
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = linededup.insert(linededup.State(), docs)
+    return linededup.dedup(docs, state).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP7 = r"""
 WITH sizes AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
