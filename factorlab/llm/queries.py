@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, langid, linededup, mixing, sharding, simhash, toxicity, urlfilter
+from factorlab.llm import decontaminate, langid, linededup, mainhtml, mixing, sharding, simhash, topk, toxicity, urlfilter
 from factorlab.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,12 @@ def op5_line_dedup(spark, sf_dir):
     return linededup.dedup(docs, state).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op6_main_text(spark, sf_dir):
+    pages = mainhtml.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "path")
+
+
 OP7 = r"""
 WITH sizes AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -182,6 +188,27 @@ def op7_mixing(spark, sf_dir):
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP8 = r"""
+WITH bits AS (
+    SELECT vec_id, CASE WHEN i = 64 THEN (CASE WHEN x > 0 THEN 1 ELSE 0 END)::HUGEINT * 9223372036854775808
+                        ELSE (CASE WHEN x > 0 THEN 1 ELSE 0 END)::HUGEINT << (i - 1)::INT END AS b
+    FROM (SELECT vec_id, unnest(embedding[1:64]) AS x, unnest(range(1, len(embedding[1:64]) + 1)) AS i FROM embeddings)),
+codes AS (SELECT vec_id, sum(b)::UBIGINT AS code FROM bits GROUP BY vec_id),
+near AS (
+    SELECT q.vec_id AS query_id, r.vec_id, bit_count(xor(q.code, r.code))::INT AS distance
+    FROM codes q, codes r WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank, vec_id, distance
+FROM near QUALIFY rank <= 10
+"""
+
+
+@query(OP8)
+def op8_top_k(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.binary_code().alias("code"))
+    found = topk.top_k(rows, rows.where("id % 100 = 0").withColumnRenamed("id", "query_id"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 @query()
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
