@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.functions.solve import lists_of, matrix_of, ridge_solve, segment_grams
+from factorlab.functions.solve import STACK_BUDGET, lists_of, matrix_of, ridge_solve, segment_grams
 from factorlab.functions.vectors import pack_symmetric
 from factorlab.operators.positions import ordered_positions
 
 
-def block_of(key: Column | str, blocks: int, piece: Column | None = None) -> Column:
-    """``id mod blocks``, never negative; the pieces of a split key go to successive blocks."""
+def block_of(key: Column | str, blocks: int) -> Column:
+    """``id mod blocks``, never negative."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(key if piece is None else key + piece, F.lit(blocks)).cast("int")
+    return F.pmod(key, F.lit(blocks)).cast("int")
 
 
 def hashed_block(key: str, piece: str, blocks: int) -> Column:
@@ -127,8 +127,10 @@ def update_block(rank: int, lam: float, split: bool):
     """The cogroup function of one block: messages + packed ratings -> new vectors.
 
     With ``split``, entities flagged as pieces of a hot one come back as unsolved normal
-    equations instead, because their pieces have to be added up first.
+    equations instead, because their pieces have to be added up first. Entities are taken in
+    slices, so that their Gram matrices fit the stack budget whatever the rank is.
     """
+    most = max(1, STACK_BUDGET // (rank * (rank + 1)))
     lists = pa.list_(pa.float64())
     names = ["x", "xtx", "xty"] if split else ["x"]
     schema = pa.schema([("id", pa.int64()), *[(name, lists) for name in names]])
@@ -137,12 +139,15 @@ def update_block(rank: int, lam: float, split: bool):
         out = [schema.empty_table()]
         _, x = _vectors_by_id(sent, rank)
         for dst, starts, ends, piece, pick, n, r in _packed_rows(packed):
-            grams, rhs = segment_grams(x, pick, n, r, starts, ends)
-            whole = ~piece
-            out.append(pa.table({"id": dst[whole], "x": lists_of(ridge_solve(grams[whole], rhs[whole], lam))}))
-            if split:
-                out.append(pa.table({"id": dst[piece], "xtx": lists_of(pack_symmetric(grams[piece])),
-                                     "xty": lists_of(rhs[piece])}))
+            for lo in range(0, len(dst), most):
+                at = slice(lo, lo + most)
+                grams, rhs = segment_grams(x, pick, n, r, starts[at], ends[at])
+                ids, part = dst[at], piece[at]
+                whole = ~part
+                out.append(pa.table({"id": ids[whole], "x": lists_of(ridge_solve(grams[whole], rhs[whole], lam))}))
+                if split:
+                    out.append(pa.table({"id": ids[part], "xtx": lists_of(pack_symmetric(grams[part])),
+                                         "xty": lists_of(rhs[part])}))
         return pa.concat_tables(out, promote_options="default").select(schema.names)
 
     return step

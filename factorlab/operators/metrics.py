@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.functions.vectors import dot, sqnorm
-from factorlab.operators.ratings import compress
-from factorlab.operators.skew import lookup_join, profile
+from factorlab.operators.ratings import check_columns, compress
+from factorlab.operators.skew import hot_limit, lookup_join, profile
+from factorlab.session import cut
 
 
-def _attach(rows: DataFrame, u_factors: DataFrame, i_factors: DataFrame, hot: dict,
+def _attach(rows: DataFrame, u_factors: DataFrame, i_factors: DataFrame, profiles: dict,
             how: str = "inner") -> DataFrame:
     xu = u_factors.select(F.col("id").alias("u"), F.col("x").alias("xu"))
     xi = i_factors.select(F.col("id").alias("i"), F.col("x").alias("xi"))
-    return lookup_join(lookup_join(rows, "u", xu, hot["u"], how), "i", xi, hot["i"], how)
+    u, i = profiles["u"], profiles["i"]
+    return lookup_join(lookup_join(rows, "u", xu, u.hot, how, u.few), "i", xi, i.hot, how, i.few)
 
 
-def _hot(rows: DataFrame) -> dict:
-    return {side: profile(rows, side).hot for side in ("u", "i")}
+def _profiles(rows: DataFrame, rank: int) -> dict:
+    return {side: profile(rows, side, hot_limit(rows, rank), rank=rank) for side in ("u", "i")}
 
 
 def predict(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame,
             rank: int | None = None, how: str = "inner") -> DataFrame:
-    """``ratings`` plus ``pred``. Inner: rows with an unknown id drop out. Left: pred is 0."""
-    joined = _attach(ratings, u_factors, i_factors, _hot(ratings), how)
+    """``ratings`` plus ``pred``. Inner: rows with an unknown id drop out. Left: pred is 0.
+
+    A null id is an unknown one. Ratings are not read, so they may be null or missing.
+    """
+    joined = _attach(ratings, u_factors, i_factors, _profiles(ratings, rank or 0), how)
     pred = dot("xu", "xi", rank)
     if how == "left":
         pred = F.coalesce(pred, F.lit(0.0))
@@ -32,9 +37,9 @@ def predict(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame,
 
 
 def sse_compressed(u_factors: DataFrame, i_factors: DataFrame, obs: DataFrame, rank: int,
-                   hot: dict, how: str = "inner") -> DataFrame:
+                   profiles: dict, how: str = "inner") -> DataFrame:
     """One row (nnz, sse) over compressed observations."""
-    joined = _attach(obs, u_factors, i_factors, hot, how)
+    joined = _attach(obs, u_factors, i_factors, profiles, how)
     scored = joined.select("n", "r", "ss", F.coalesce(dot("xu", "xi", rank), F.lit(0.0)).alias("p"))
     return scored.agg(F.expr("cast(coalesce(sum(n), 0) as bigint)").alias("nnz"),
                       F.expr("coalesce(sum(n * (p - r) * (p - r) + ss), 0D)").alias("sse"))
@@ -42,9 +47,13 @@ def sse_compressed(u_factors: DataFrame, i_factors: DataFrame, obs: DataFrame, r
 
 def sse(u_factors: DataFrame, i_factors: DataFrame, ratings: DataFrame, rank: int,
         how: str = "inner") -> DataFrame:
-    """Sum of squared errors. Inner drops unseen ids; left counts their prediction as 0."""
-    obs = compress(ratings)
-    return sse_compressed(u_factors, i_factors, obs, rank, _hot(obs), how)
+    """Sum of squared errors. Inner drops unseen ids; left counts their prediction as 0.
+
+    The ratings are read once: their compressed form is written, profiled and scored. A null
+    among them fails the job, as it does in a fit.
+    """
+    obs = cut(compress(check_columns(ratings)))
+    return sse_compressed(u_factors, i_factors, obs, rank, _profiles(obs, rank), how)
 
 
 def rmse(errors: DataFrame) -> DataFrame:

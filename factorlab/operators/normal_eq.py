@@ -6,22 +6,22 @@ other side, and return ``(key, xtx, xty)`` with the packed upper triangle.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorlab.functions.solve import lists_of, matrix_of, segment_grams
+from factorlab.functions.solve import STACK_BUDGET, lists_of, matrix_of, segment_grams
 from factorlab.functions.vectors import pack_symmetric, triangle
-from factorlab.operators.ratings import compress
-from factorlab.operators.skew import KeyProfile, hot_limit, lookup_join, with_piece
+from factorlab.operators.ratings import check_columns, compress
+from factorlab.operators.skew import BROADCAST_BYTES, KeyProfile, hot_limit, lookup_join, with_piece
 from factorlab.operators.skew import profile as key_profile
+from factorlab.session import cut
 
-# Above this rank the sum columns no longer fit one generated method (100 fields).
-MAX_COLUMN_RANK = 12
+# Above this rank one row of sums outweighs the vectors that are summed, and its columns no
+# longer fit one generated method (100 fields): lists of vectors are gathered instead.
+MAX_COLUMN_RANK = 10
 # Rows per Arrow chunk that are pre-aggregated together on the map side.
 _FOLD_ROWS = 200_000
 # Observations one gathered list may hold on average.
@@ -50,7 +50,10 @@ def sum_arrays(parts: DataFrame, key: str, rank: int) -> DataFrame:
 
 
 def by_arrow_fold(rows: DataFrame, key: str, rank: int) -> DataFrame:
-    """High ranks: fold each Arrow chunk with matrix products, then merge in the JVM."""
+    """Fold each Arrow chunk with matrix products, then merge in the JVM.
+
+    What a chunk yields is cut into slices, so that memory does not grow with its ids.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -62,10 +65,10 @@ def by_arrow_fold(rows: DataFrame, key: str, rank: int) -> DataFrame:
             held.append(batch)
             count += batch.num_rows
             if count >= _FOLD_ROWS:
-                yield _fold_chunk(held, key, rank)
+                yield from _fold_chunk(held, key, rank)
                 held, count = [], 0
         if count:
-            yield _fold_chunk(held, key, rank)
+            yield from _fold_chunk(held, key, rank)
 
     schema = T.StructType([rows.schema[key], T.StructField("s", T.ArrayType(T.DoubleType()))])
     parts = rows.select(key, "n", "r", "x").mapInArrow(fold, schema)
@@ -75,42 +78,60 @@ def by_arrow_fold(rows: DataFrame, key: str, rank: int) -> DataFrame:
                          F.slice(entries, tri + 1, rank).alias("xty"))
 
 
-def _fold_chunk(batches, key: str, rank: int) -> pa.RecordBatch:
+def _fold_chunk(batches, key: str, rank: int):
     table = pa.Table.from_batches(batches)
     ids = table[key].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     ends = np.r_[starts[1:], len(ids)]
-    grams, rhs = segment_grams(matrix_of(table["x"], rank), order, table["n"].to_numpy()[order],
-                               table["r"].to_numpy()[order], starts, ends)
-    packed = np.concatenate([pack_symmetric(grams), rhs], axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(ids[starts]), lists_of(packed)], [key, "s"])
+    x, n, r = matrix_of(table["x"], rank), table["n"].to_numpy()[order], table["r"].to_numpy()[order]
+    for at in _slices(len(starts), rank):
+        grams, rhs = segment_grams(x, order, n, r, starts[at], ends[at])
+        packed = np.concatenate([pack_symmetric(grams), rhs], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[starts[at]]), lists_of(packed)], [key, "s"])
+
+
+def _slices(groups: int, rank: int) -> list[slice]:
+    """Runs of groups whose Gram matrices fit the stack budget together."""
+    size = max(1, STACK_BUDGET // (rank * (rank + 1)))
+    return [slice(at, at + size) for at in range(0, groups, size)]
 
 
-def combine(rows: DataFrame, key: str, rank: int) -> DataFrame:
-    """Partial aggregation before the shuffle; the physical form depends on the rank."""
-    return by_columns(rows, key, rank) if rank <= MAX_COLUMN_RANK else by_arrow_fold(rows, key, rank)
+def combine(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyProfile) -> DataFrame:
+    """Sums by key; the physical form depends on the rank only, the result does not."""
+    return by_columns(rows, key, rank) if rank <= MAX_COLUMN_RANK else gather(rows, key, rank, spread_by, profile)
 
 
-def list_pieces(profile: KeyProfile) -> tuple[DataFrame | None, int]:
-    """(pieces of hot ids, pieces of all others) that keep gathered lists near LIST_ROWS."""
-    if profile.hot is None:
-        return None, max(1, math.ceil(profile.top / LIST_ROWS))
-    hot = profile.hot.select("id", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"))
-    return hot, math.ceil(profile.threshold / LIST_ROWS)
+def long_keys(profile: KeyProfile) -> tuple[DataFrame | None, bool]:
+    """Keys with more rows than a list may hold and their pieces, and whether these may be broadcast."""
+    if profile.top <= LIST_ROWS:
+        return None, True
+    many = profile.ids.filter(F.col("n") > LIST_ROWS).select(
+        "id", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("pieces"))
+    return many, profile.rows // LIST_ROWS * 32 <= BROADCAST_BYTES
 
 
 def gather(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyProfile) -> DataFrame:
     """Collect each entity's observations first, then fold each list at once.
 
-    Entities with more than LIST_ROWS rows are gathered in several lists, split by the hash
-    of ``spread_by``, whose folds are added up afterwards.
+    Entities of at most LIST_ROWS rows have one list each. Larger ones are gathered in several,
+    split by the hash of ``spread_by``, whose folds are added up afterwards.
     """
-    hot, ordinary = list_pieces(profile)
-    pieces = hot is not None or ordinary > 1
-    rows = with_piece(rows, key, spread_by, hot, ordinary=ordinary)
-    lists = rows.groupBy(*([key, "piece"] if pieces else [key])).agg(
+    many, few = long_keys(profile)
+    if many is None:
+        return _gathered(rows, [key], rank)
+    marks = many.select(F.col("id").alias(key))
+    marks = F.broadcast(marks) if few else marks
+    ordinary = _gathered(rows.join(marks, key, "left_anti"), [key], rank)
+    pieces = with_piece(rows.join(marks, key, "left_semi"), key, spread_by, many, few=few)
+    return ordinary.unionByName(sum_arrays(_gathered(pieces, [key, "piece"], rank), key, rank))
+
+
+def _gathered(rows: DataFrame, keys: list[str], rank: int) -> DataFrame:
+    """(key, xtx, xty) of every list; ``keys[0]`` is the key."""
+    key = keys[0]
+    lists = rows.groupBy(*keys).agg(
         F.collect_list("n").alias("n"), F.collect_list("r").alias("r"), F.collect_list("x").alias("x"))
     schema = T.StructType([rows.schema[key], T.StructField("xtx", T.ArrayType(T.DoubleType())),
                            T.StructField("xty", T.ArrayType(T.DoubleType()))])
@@ -120,34 +141,37 @@ def gather(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyPro
             ends = np.cumsum(_list_lengths(batch.column("n")))
             starts = np.r_[0, ends[:-1]].astype(np.int64)
             x = matrix_of(batch.column("x").flatten(), rank)
-            grams, rhs = segment_grams(x, np.arange(len(x)), batch.column("n").flatten().to_numpy(),
-                                       batch.column("r").flatten().to_numpy(), starts, ends)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), lists_of(pack_symmetric(grams)), lists_of(rhs)],
-                [key, "xtx", "xty"])
+            n, r = batch.column("n").flatten().to_numpy(), batch.column("r").flatten().to_numpy()
+            for at in _slices(batch.num_rows, rank):
+                grams, rhs = segment_grams(x, np.arange(len(x)), n, r, starts[at], ends[at])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key)[at], lists_of(pack_symmetric(grams)), lists_of(rhs)],
+                    [key, "xtx", "xty"])
 
-    folded = lists.select(key, "n", "r", "x").mapInArrow(fold, schema)
-    return sum_arrays(folded, key, rank) if pieces else folded
+    return lists.select(key, "n", "r", "x").mapInArrow(fold, schema)
 
 
-def attach_factors(ratings: DataFrame, factors: DataFrame, side: str, hot: DataFrame | None = None) -> DataFrame:
+def attach_factors(ratings: DataFrame, factors: DataFrame, side: str, hot: DataFrame | None = None,
+                   few: bool = True) -> DataFrame:
     """Ratings plus ``x``, the vector of their ``side``; rows without a vector drop out."""
-    return lookup_join(ratings, side, factors.withColumnRenamed("id", side), hot)
+    return lookup_join(ratings, side, factors.withColumnRenamed("id", side), hot, few=few)
 
 
 def normal_equations(ratings: DataFrame, factors: DataFrame, side: str, rank: int,
                      how: str = "combine") -> DataFrame:
     """(id, xtx, xty) of every entity of ``side``, given the vectors of the other side.
 
-    ``how``: combine (partial sums first), fold (partial sums in Arrow tasks) or gather.
+    ``how``: combine (by rank), fold (partial sums in Arrow tasks) or gather. The ratings are
+    read once; a null among them fails the job.
     """
     other = "i" if side == "u" else "u"
-    obs = compress(ratings)
-    rows = attach_factors(obs, factors, other, key_profile(obs, other, hot_limit(obs, rank)).hot)
-    if how == "gather":
-        normal = gather(rows, side, rank, other, key_profile(obs, side))
+    obs = cut(compress(check_columns(ratings)))
+    near = key_profile(obs, other, hot_limit(obs, rank), rank=rank)
+    rows = attach_factors(obs, factors, other, near.hot, near.few)
+    if how == "fold":
+        normal = by_arrow_fold(rows, side, rank)
     else:
-        normal = {"combine": combine, "fold": by_arrow_fold}[how](rows, side, rank)
+        normal = {"combine": combine, "gather": gather}[how](rows, side, rank, other, key_profile(obs, side))
     return normal.withColumnRenamed(side, "id")
 
 

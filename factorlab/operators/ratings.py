@@ -11,17 +11,11 @@ def compress(ratings: DataFrame) -> DataFrame:
 
     Copies of a pair stay separate observations in every formula: the normal equations need
     n*x*xT and n*r*x only, and the squared error is n*(p - r)^2 + ss. Map-side combining
-    makes a pair that holds a third of all rows as cheap as any other.
+    makes a pair that holds a third of all rows as cheap as any other. The spread comes from
+    merged variances: a difference of sums of squares would cancel for large, close ratings.
     """
-    summed = ratings.groupBy("u", "i").agg(F.expr("cast(count(*) as double)").alias("n"),
-                                           F.sum("r").alias("s"), F.expr("sum(r * r)").alias("q"))
-    # A single observation gives exactly r and 0.
-    return summed.selectExpr("u", "i", "n", "s / n as r", "greatest(q - n * (s / n) * (s / n), 0D) as ss")
-
-
-def rekey(ratings: DataFrame, by: str, partitions: int) -> DataFrame:
-    """Ratings hash-partitioned by one side."""
-    return ratings.repartition(partitions, by)
+    return ratings.groupBy("u", "i").agg(F.expr("cast(count(r) as double)").alias("n"), F.avg("r").alias("r"),
+                                         F.expr("count(r) * var_pop(r)").alias("ss"))
 
 
 def check_columns(ratings: DataFrame) -> DataFrame:

@@ -23,14 +23,22 @@ from factorlab.session import cut, shuffle_partitions
 
 STRATEGIES = ("auto", "join", "gather", "blocked", "broadcast")
 OTHER = {"u": "i", "i": "u"}
-# Ratings one block may hold on average: about 100 MB in its Python worker.
-ROWS_PER_BLOCK = 2_000_000
+# What a block may take in its Python worker on average: ratings, and up to a vector in and
+# a vector out for each of them.
+BLOCK_BYTES = 128 << 20
 # Compressed ratings per partition of a cached layout, at least and at most.
 MIN_PARTITION_ROWS, MAX_PARTITION_ROWS = 50_000, 8_000_000
 
 
+def rows_per_block(rank: int) -> int:
+    """Ratings of a block, so that it stays near BLOCK_BYTES even if no two share an entity."""
+    return max(1000, BLOCK_BYTES // (24 + 16 * rank))
+
+
 @dataclass
 class AlsResult:
+    """``strategy`` names the plan that ran, side by side if the sides differ."""
+
     u_factors: DataFrame
     i_factors: DataFrame
     trace: DataFrame | None
@@ -68,6 +76,8 @@ class AlsResult:
 class _Plan:
     """Shared state of a fit; subclasses know how to update one side from the other."""
 
+    name = ""
+
     def __init__(self, obs: DataFrame, profiles: dict, rank: int, lam: float, partitions: int):
         self.obs, self.profiles, self.rank, self.lam = obs, profiles, rank, lam
         self.partitions = partitions
@@ -100,8 +110,11 @@ class _Plan:
 
     def sse(self, factors: dict) -> DataFrame:
         """One row (nnz, sse) over the training data."""
-        hot = {side: p.hot for side, p in self.profiles.items()}
-        return M.sse_compressed(factors["u"], factors["i"], self.obs, self.rank, hot)
+        return M.sse_compressed(factors["u"], factors["i"], self.obs, self.rank, self.profiles)
+
+    def label(self) -> str:
+        """What ran: the name of the plan."""
+        return self.name
 
     def close(self) -> None:
         for df in self.cached:
@@ -115,13 +128,15 @@ class _Plan:
 class JoinPlan(_Plan):
     """Ratings stay partitioned by the source side; sums are combined before the shuffle."""
 
+    name = "join"
+
     def __init__(self, *args):
         super().__init__(*args)
         self.by_source = {}
         for src in ("u", "i"):
             hot = self.profiles[src].hot
             keys = [src] if hot is None else [src, "piece"]
-            placed = S.with_piece(self.obs.select("u", "i", "n", "r"), src, OTHER[src], hot)
+            placed = S.with_piece(self.obs.select("u", "i", "n", "r"), src, OTHER[src], hot, few=self.profiles[src].few)
             if hot is None:
                 placed = placed.drop("piece")
             self.by_source[src] = (
@@ -133,16 +148,19 @@ class JoinPlan(_Plan):
         placed, keys, hot = self.by_source[src]
         vectors = factors.withColumnRenamed("id", src)
         if hot is not None:
-            vectors = S.spread(vectors, src, hot)
+            vectors = S.spread(vectors, src, hot, few=self.profiles[src].few)
         return placed.join(vectors, keys).select("u", "i", "n", "r", "x")
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
-        return self.solved(N.combine(self.attached(side, factors), side, self.rank), side)
+        rows = self.attached(side, factors)
+        return self.solved(N.combine(rows, side, self.rank, OTHER[side], self.profiles[side]), side)
 
 
 class GatherPlan(JoinPlan):
     """Same join, but the ratings of an entity are gathered before they are summed."""
 
+    name = "gather"
+
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         rows = self.attached(side, factors)
         return self.solved(N.gather(rows, side, self.rank, OTHER[side], self.profiles[side]), side)
@@ -151,9 +169,12 @@ class GatherPlan(JoinPlan):
 class BroadcastPlan(_Plan):
     """The other side's factor table goes to every executor, if its checked size allows.
 
-    Beyond the limit the same half-step runs as a shuffled join, so the result is the same.
+    Beyond the limit the same half-step runs as a shuffled join, so the result is the same;
+    the label says so.
     """
 
+    name = "broadcast"
+
     def __init__(self, *args, limit_bytes: int = S.BROADCAST_BYTES):
         super().__init__(*args)
         self.limit_bytes = limit_bytes
@@ -162,6 +183,10 @@ class BroadcastPlan(_Plan):
     def fits(self, src: str) -> bool:
         return self.profiles[src].keys * (8 * self.rank + 48) <= self.limit_bytes
 
+    def label(self) -> str:
+        ran = {side: "broadcast" if self.fits(OTHER[side]) else "join" for side in ("u", "i")}
+        return ran["u"] if ran["u"] == ran["i"] else f"u:{ran['u']} i:{ran['i']}"
+
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         src = OTHER[side]
         if not self.fits(src):
@@ -170,7 +195,7 @@ class BroadcastPlan(_Plan):
             return self.fallback.update(side, factors)
         vectors = F.broadcast(factors.withColumnRenamed("id", src))
         rows = self.obs.select("u", "i", "n", "r").join(vectors, src)
-        return self.solved(N.combine(rows, side, self.rank), side)
+        return self.solved(N.combine(rows, side, self.rank, src, self.profiles[side]), side)
 
     def close(self) -> None:
         super().close()
@@ -186,10 +211,12 @@ class BlockedPlan(_Plan):
     one message per block.
     """
 
+    name = "blocked"
+
     def __init__(self, *args, blocks: int | None = None):
         super().__init__(*args)
         rows = self.profiles["u"].rows
-        self.blocks = blocks or max(4 * self.partitions, -(-rows // ROWS_PER_BLOCK))
+        self.blocks = blocks or max(4 * self.partitions, -(-rows // rows_per_block(self.rank)))
         self.sides = {dst: self._layout(dst) for dst in ("i", "u")}
         # The packed copies replace the observations from here on.
         self.obs.unpersist()
@@ -197,11 +224,12 @@ class BlockedPlan(_Plan):
     def _layout(self, dst: str):
         """(packed, links, hot) of one destination side; ratings never move again after this."""
         src, hot = OTHER[dst], self.profiles[dst].hot
-        placed = S.with_piece(self.obs.select("u", "i", "n", "r"), dst, src, hot)
+        few = self.profiles[dst].few
+        placed = S.with_piece(self.obs.select("u", "i", "n", "r"), dst, src, hot, few=few)
         if hot is None:
             placed = placed.withColumn("split", F.lit(False))
         else:
-            marks = F.broadcast(hot.select(F.col("id").alias(dst), F.lit(True).alias("split")))
+            marks = S.small(hot.select(F.col("id").alias(dst), F.lit(True).alias("split")), few)
             placed = placed.join(marks, dst, "left").fillna(False, ["split"])
         flat = placed.select(B.hashed_block(dst, "piece", self.blocks).alias("blk"),
                              F.col(src).alias("src"), F.col(dst).alias("dst"), "n", "r", "split")
@@ -240,22 +268,27 @@ class BlockedPlan(_Plan):
     def sse(self, factors: dict) -> DataFrame:
         """Training error in place: vectors of both sides travel to the ratings."""
         sent = self.messages("i", factors["u"]).withColumn("own", F.lit(False))
-        mine = S.spread(factors["i"], "id", self.sides["i"][2])
+        mine = S.spread(factors["i"], "id", self.sides["i"][2], few=self.profiles["i"].few)
         mine = mine.select(B.hashed_block("id", "piece", self.blocks).alias("to"), "id", "x", F.lit(True).alias("own"))
         gaps = sent.unionByName(mine).groupBy("to").cogroup(self.owned("i").groupBy("owner")).applyInArrow(
             B.score_block(self.rank), "sse double")
         return gaps.agg(F.lit(self.nnz).alias("nnz"), (F.coalesce(F.sum("sse"), F.lit(0.0)) + self.within).alias("sse"))
 
 
-def initial_factors(ids: DataFrame, rank: int, side: str) -> DataFrame:
-    """Seeded start: seed = id on the u side and -id on the i side."""
-    return ids.select("id", initial_vector("id" if side == "u" else "-id", rank).alias("x"))
+# A step between the seeds of different starts: odd, so that seeds do not meet shifted ids soon.
+SEED_STRIDE = 1_000_000_007
+
 
+def initial_factors(ids: DataFrame, rank: int, side: str, seed: int = 0) -> DataFrame:
+    """Seeded start: an entity's generator seed is its id, or -id on the i side, plus a multiple of ``seed``."""
+    own = "id" if side == "u" else "-id"
+    return ids.select("id", initial_vector(f"({own} + {seed * SEED_STRIDE}L)" if seed else own, rank).alias("x"))
 
-def _start(profile: S.KeyProfile, rank: int, side: str, given: DataFrame | None) -> DataFrame:
+
+def _start(profile: S.KeyProfile, rank: int, side: str, given: DataFrame | None, seed: int) -> DataFrame:
     """Seeded start vectors, or given ones: exactly one for every id of the side."""
     if given is None:
-        return initial_factors(profile.ids, rank, side)
+        return initial_factors(profile.ids, rank, side, seed)
     used = cut(given.select("id", "x").join(profile.ids.select("id"), "id", "left_semi"))
     per_id = used.groupBy("id").agg(F.count("*").alias("n"))
     if per_id.agg(F.count("*"), F.max("n")).first()[:] != (profile.keys, 1):
@@ -276,12 +309,15 @@ def fitting_partitions(spark, rows: int) -> int:
 def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int = 10,
             strategy: str = "auto", *, first: str = "i", trace: bool = False,
             blocks: int | None = None, partitions: int | None = None,
-            init: dict[str, DataFrame] | None = None,
+            init: dict[str, DataFrame] | None = None, seed: int = 0, hot_rows: int | None = None,
             broadcast_bytes: int = S.BROADCAST_BYTES) -> AlsResult:
     """Fit ``r ~ x_u . x_i``.
 
     ``first`` is the side updated first in each iteration; the start vectors of the other
-    side therefore decide the result. ``trace`` adds one row (iter, half, sse) per half-step.
+    side therefore decide the result. Other values of ``seed`` give other starts. ``trace``
+    adds one row (iter, half, sse) per half-step. ``hot_rows`` is the number of ratings above
+    which an id is split; by default it follows from the partitions and blocks, and it changes
+    the plan only, never the result.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -291,15 +327,18 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
     strategy = choose_strategy(rank) if strategy == "auto" else strategy
 
     obs = R.compress(R.check_columns(ratings)).persist(StorageLevel.MEMORY_AND_DISK)
-    limit = S.hot_limit(obs, rank)
-    profiles = {side: S.profile(obs, side, limit) for side in ("u", "i")}
-    args = (obs, profiles, rank, lam, partitions or fitting_partitions(spark, profiles["u"].rows))
+    rows = obs.count()
+    partitions = partitions or fitting_partitions(spark, rows)
+    most = hot_rows or (rows_per_block(rank) // 4 if strategy == "blocked" else None)
+    limit = S.hot_limit(obs, rank, partitions)
+    profiles = {side: S.profile(obs, side, limit, most, rank) for side in ("u", "i")}
+    args = (obs, profiles, rank, lam, partitions)
     plan = (JoinPlan(*args) if strategy == "join" else
             GatherPlan(*args) if strategy == "gather" else
             BlockedPlan(*args, blocks=blocks) if strategy == "blocked" else
             BroadcastPlan(*args, limit_bytes=broadcast_bytes))
 
-    factors = {side: _start(profiles[side], rank, side, (init or {}).get(side)) for side in ("u", "i")}
+    factors = {side: _start(profiles[side], rank, side, (init or {}).get(side), seed) for side in ("u", "i")}
     errors: list[DataFrame] = []
     for it in range(iters):
         for half, side in enumerate((first, OTHER[first]), start=1):
@@ -308,19 +347,25 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
                 error = plan.sse(factors)
                 errors.append(cut(error.select(F.lit(it).alias("iter"), F.lit(half).alias("half"), "sse")))
 
-    rows = None
+    steps = None
     for error in errors:
-        rows = error if rows is None else rows.unionByName(error)
-    return AlsResult(factors["u"], factors["i"], rows, strategy, rank, lam, obs, profiles, plan)
+        steps = error if steps is None else steps.unionByName(error)
+    return AlsResult(factors["u"], factors["i"], steps, plan.label(), rank, lam, obs, profiles, plan)
 
 
 def grouped_ridge(df: DataFrame, key: str, features: list[Column | str], target: Column | str,
                   lam: float = 0.01) -> DataFrame:
-    """One ridge regression per key: ``w = (XtX + lam I)^-1 Xty`` over the rows of the key."""
+    """One ridge regression per key: ``w = (XtX + lam I)^-1 Xty`` over the rows of the key.
+
+    Rows with a null or NaN among the features, or as target, are incomplete and do not count,
+    however many features there are; a key without complete rows has no regression. Null keys are one key.
+    """
     cols = [F.col(f) if isinstance(f, str) else f for f in features]
     goal = F.col(target) if isinstance(target, str) else target
     rows = df.select(F.col(key).alias("key"), F.lit(1.0).alias("n"), goal.cast("double").alias("r"),
                      F.array(*[c.cast("double") for c in cols]).alias("x"))
-    normal = N.combine(rows, "key", len(cols))
+    rows = rows.where("not isnan(r) and r is not null and forall(x, v -> v is not null and not isnan(v))")
+    rank = len(cols)
+    normal = N.by_columns(rows, "key", rank) if rank <= N.MAX_COLUMN_RANK else N.by_arrow_fold(rows, "key", rank)
     return normal.select(F.col("key").alias(key),
                          solve_packed(F.col("xtx"), F.col("xty"), len(cols), lam).alias("w"))

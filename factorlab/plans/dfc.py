@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factorlab.functions.solve import lists_of, matrix_of
 from factorlab.functions.vectors import dot
 from factorlab.operators import ratings as R
-from factorlab.operators.skew import BROADCAST_BYTES, lookup_join, profile
+from factorlab.operators.skew import BROADCAST_BYTES, hot_limit, lookup_join, profile
 from factorlab.plans.als import als_fit
 from factorlab.session import cut
 
@@ -60,8 +60,11 @@ class DfcResult:
         return _scored(ratings, "u", rows, self.cols.select("i", F.col("x").alias("xi")), self.rank)
 
     def rmse(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        """Three rows (metric, nnz, rmse): projected train and test, and per-partition test."""
-        train, test = R.compress(train), R.compress(test)
+        """Three rows (metric, nnz, rmse): projected train and test, and per-partition test.
+
+        Both inputs are read once, and their compressed forms scored; a null fails the job.
+        """
+        train, test = (cut(R.compress(R.check_columns(data))) for data in (train, test))
         named = (("train_projected", self.predictions(train)),
                  ("test_projected", self.predictions(test)),
                  ("test_partition", self.part_predictions(test)))
@@ -80,8 +83,9 @@ def _code(row: str, parts: int):
 
 
 def _scored(cells: DataFrame, row_key: str, rows: DataFrame, cols: DataFrame, rank: int) -> DataFrame:
-    near = lookup_join(cells, row_key, rows, profile(cells, row_key).hot, "left")
-    both = lookup_join(near, "i", cols, profile(cells, "i").hot, "left")
+    by_row, by_col = (profile(cells, key, hot_limit(cells, rank), rank=rank) for key in (row_key, "i"))
+    near = lookup_join(cells, row_key, rows, by_row.hot, "left", by_row.few)
+    both = lookup_join(near, "i", cols, by_col.hot, "left", by_col.few)
     return both.withColumn("pred", F.coalesce(dot("xu", "xi", rank), F.lit(0.0))).drop("xu", "xi")
 
 
@@ -139,19 +143,20 @@ def combine(w: DataFrame, h: DataFrame, rank: int) -> tuple[DataFrame, DataFrame
         return lists_of(t.reshape(len(t), -1))
 
     turned = inputs.select("part", turn("part", "c", "g", "k").alias("t"))
-    product = ", ".join("(" + " + ".join(f"t[{r * rank + c}] * x[{c}]" for c in range(rank)) + ")"
-                        for r in range(rank))
     # A partition that shares no row with partition 0 has C_p = 0, hence zero columns.
     turned = cut(turned)
     if turned.count() * rank * rank * 8 <= BROADCAST_BYTES:
         turned = F.broadcast(turned)
     cols = h.join(turned, "part", "left").select(
-        "part", "i", F.expr(f"coalesce(array({product}), array_repeat(0D, {rank}))"
-                            if rank <= 40 else _product_lambda(rank)).alias("x"))
+        "part", "i", F.expr(_product(rank)).alias("x"))
     return w.filter("part = 0").select(F.col("u").alias("id"), "x"), cols
 
 
-def _product_lambda(rank: int) -> str:
+def _product(rank: int) -> str:
+    """``t`` times ``x``; written out for small ranks only, as generated code may not exceed 64 KB."""
+    if rank <= 10:
+        product = ", ".join("(" + " + ".join(f"t[{r * rank + c}] * x[{c}]" for c in range(rank)) + ")" for r in range(rank))
+        return f"if(t is null, array_repeat(0D, {rank}), array({product}))"
     row = f"aggregate(zip_with(slice(t, r * {rank} + 1, {rank}), x, (a, b) -> a * b), 0D, (s, v) -> s + v)"
     return f"if(t is null, array_repeat(0D, {rank}), transform(sequence(0, {rank - 1}), r -> {row}))"
 

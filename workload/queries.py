@@ -6,6 +6,7 @@ order of floating sums differs between engines; ``+ 0.0`` turns a negative zero
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,12 @@ from factorlab.operators import blocks as B
 from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
 from factorlab.operators import stats
+from factorlab.operators.positions import ordered_positions
 from factorlab.operators.sampling import sample_cells
 from factorlab.operators.skew import profile
 from factorlab.operators.tiling import replicate, replicate_2x2
 from factorlab.plans import dfc as D
+from factorlab.plans import jobs
 from factorlab.plans.als import als_fit, grouped_ridge, initial_factors
 from factorlab.plans.sweep import generate_tile_train, sweep
 from factorlab.session import scratch_path
@@ -169,6 +172,13 @@ def q_column_slice(spark, sf_dir):
     return entries.selectExpr("i", "e.u as u", "e.r as r", "e.n as n")
 
 
+@query(f"SELECT u, r, count(*) AS n FROM ({Q.SUPP_PART}) WHERE i = (SELECT min(l_partkey) FROM lineitem) GROUP BY u, r")
+def q_one_column(spark, sf_dir):
+    ratings = supplier_part(spark, sf_dir)
+    first = ratings.agg(F.min("i")).first()[0]
+    return stats.column_slice(ratings, first).groupBy("u", "r").agg(F.count("*").alias("n"))
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 def _start_ctes(rank: int) -> list[tuple[str, str]]:
@@ -288,6 +298,37 @@ def q_grouped_ridge(spark, sf_dir):
     return long_rows(fitted.withColumnRenamed("l_suppkey", "id"), x="w")
 
 
+def _wide_ridge() -> tuple[list[str], str]:
+    """13 features, one of them null in some rows; rows that lack one do not count."""
+    bits = [f"cast(l_linenumber = {j} as double)" for j in range(1, 6)]
+    powers = [f"l_discount{' * l_discount' * j}" for j in range(3)] + [f"l_tax{' * l_tax' * j}" for j in range(2)]
+    return ["1.0D", *bits, *powers, "l_discount * l_tax", "case when l_linenumber < 7 then l_quantity / 50 end"], "l_quantity"
+
+
+def _wide_ridge_sql() -> str:
+    features = [f.replace("1.0D", "1.0::DOUBLE") for f in _wide_ridge()[0]]
+    xs = ", ".join(f"{f} AS x{j}" for j, f in enumerate(features))
+    tri = ", ".join(f"sum(x{a} * x{b}) AS g{a}_{b}" for a in range(13) for b in range(a, 13))
+    rhs = ", ".join(f"sum(x{a} * r) AS h{a}" for a in range(13))
+    rows = f"SELECT l_suppkey AS id, l_quantity AS r, {xs} FROM lineitem"
+    return Q.with_ctes([("f", rows), ("ne", f"SELECT id, {tri}, {rhs} FROM f WHERE x12 IS NOT NULL GROUP BY id"),
+                        ("w", Q.cholesky_solve("ne", 13, 0.1))], Q.long_rows("w", 13))
+
+
+@query(_wide_ridge_sql())
+def q_grouped_ridge_13(spark, sf_dir):
+    features, target = _wide_ridge()
+    fitted = grouped_ridge(table(spark, sf_dir, "lineitem"), "l_suppkey", [F.expr(f) for f in features], target, lam=0.1)
+    return long_rows(fitted.withColumnRenamed("l_suppkey", "id"), x="w")
+
+
+@query(Q.with_ctes([("t", Q.SUPP_PART), ("u_0", Q.start_vectors("(SELECT DISTINCT u AS id FROM t)", 3, "id + 5::BIGINT * 1000000007")),
+                    ("i_0", Q.start_vectors("(SELECT DISTINCT i AS id FROM t)", 3, "-id + 5::BIGINT * 1000000007"))],
+                   Q.long_rows("u_0", 3, "u") + " UNION ALL " + Q.long_rows("i_0", 3, "i")))
+def q_init_seeded(spark, sf_dir):
+    return fit_rows(als_fit(supplier_part(spark, sf_dir), 3, LAM, 0, "join", seed=5))
+
+
 def _init_sql(rank: int) -> str:
     return Q.with_ctes(_start_ctes(rank), Q.long_rows("u_0", rank, "u") + " UNION ALL " + Q.long_rows("i_0", rank, "i"))
 
@@ -396,6 +437,53 @@ def q_strategy_agreement(spark, sf_dir):
     return out
 
 
+@query(Q.with_ctes(_FIT3[0], " UNION ALL ".join(
+    f"SELECT '{name}' AS strategy, id, round(x0 + 2 * x1 + 3 * x2, 4) + 0.0 AS mark FROM {_FIT3[1][-1]['i']}"
+    for name in ("join", "gather", "blocked", "broadcast"))))
+def q_strategy_agreement_i(spark, sf_dir):
+    ratings, out = supplier_part(spark, sf_dir), None
+    for name in ("join", "gather", "blocked", "broadcast"):
+        marks = als_fit(ratings, 3, 0.1, 2, name).i_factors.selectExpr(
+            f"'{name}' as strategy", "id", "round(x[0] + 2 * x[1] + 3 * x[2], 4) + 0.0D as mark")
+        out = marks if out is None else out.unionByName(marks)
+    return out
+
+
+_EVENTS = ("SELECT user_id AS u, dense_rank() OVER (ORDER BY event_type) - 1 AS i, value AS r FROM events "
+           "WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL")
+
+
+def event_ratings(spark, sf_dir):
+    """Value by user and event type: five columns, each of which holds a fifth of all rows."""
+    events = table(spark, sf_dir, "events").where("user_id is not null and event_type is not null and value is not null")
+    kinds = ordered_positions(events.select("event_type").distinct(), [], ["event_type"], "i")
+    return events.join(kinds, "event_type").selectExpr("user_id as u", "i", "value as r")
+
+
+def _hot_fit(strategy: str):
+    def run(spark, sf_dir):
+        return fit_rows(als_fit(event_ratings(spark, sf_dir), 3, 1.0, 2, strategy, hot_rows=40))
+    run.__name__ = f"q_als_events_{strategy}"
+    return run
+
+
+for _strategy in ("blocked", "join", "gather"):
+    query(Q.factors(_EVENTS, 3, 1.0, 2))(_hot_fit(_strategy))
+
+
+@query(f"SELECT u, i, count(*)::DOUBLE AS n, round(avg(r), 6) + 0.0 AS r FROM ({Q.CUST_PART}) GROUP BY u, i")
+def q_packed_ratings(spark, sf_dir):
+    """The rating layout that blocked fits use, unpacked again: sources by position, entities by their ends."""
+    fit = als_fit(customer_part(spark, sf_dir), 3, LAM, 0, "blocked", hot_rows=50)
+    packed = fit.plan.sides["i"][0]
+    sources = packed.where("size(src) > 0").select("owner", "src")
+    rows = packed.drop("src").join(sources, "owner").select(
+        "src", "n", "r", "pick", F.expr("flatten(zip_with(dst, transform(ends, (e, j) -> e - if(j > 0, ends[j - 1], 0)), "
+                                        "(d, k) -> array_repeat(d, k)))").alias("own"))
+    flat = rows.select("src", F.explode(F.arrays_zip("own", "pick", "n", "r")).alias("e"))
+    return flat.selectExpr("src[e.pick] as u", "e.own as i", "e.n as n", "round(e.r, 6) + 0.0D as r")
+
+
 # --- divide, factor, combine -------------------------------------------------------------------
 
 _DFC = Q.dfc_ctes(Q.CUST_PART, 2, LAM, 2, PARTS, "SELECT count(*) AS n FROM part")
@@ -480,12 +568,17 @@ def _normal_value_sql(tag: str, *keys: str) -> str:
 
 
 def _cells_ctes(rank: int, train: float, test: float, seed: int) -> list[tuple[str, str]]:
-    sql = "SELECT pos, pos % m AS u, pos // m AS i, m, n, train FROM size, range(train + test) AS p(pos)"
+    # m * n has a divisor next below its square root here, so that no number of the grid is in excess
+    grid = ("SELECT a, m * n // a AS b FROM size, range(1, ceil(sqrt(m * n))::BIGINT + 1) AS s(a) "
+            "WHERE a > greatest(ceil(sqrt(m * n))::BIGINT - 10000, ceil(sqrt(m * n))::BIGINT // 2, 0) AND (m * n) % a = 0 "
+            "ORDER BY a DESC LIMIT 1")
+    sql = "SELECT pos, pos % a AS u, pos // a AS i, a, b, m, train FROM size, grid, range(train + test) AS p(pos)"
     for turn in range(4):
-        sql = f"SELECT pos, (u + {_hash_sql(f'{seed}/{turn}/u', 'i')}) % m AS u, i, m, n, train FROM ({sql})"
-        sql = f"SELECT pos, u, (i + {_hash_sql(f'{seed}/{turn}/i', 'u')}) % n AS i, m, n, train FROM ({sql})"
-    return [("size", _sizes_sql(rank, train, test)),
-            ("cells", f"SELECT u, i, i * m + u AS idx, pos >= train AS is_test FROM ({sql})")]
+        sql = f"SELECT pos, (u + {_hash_sql(f'{seed}/{turn}/u', 'i')}) % a AS u, i, a, b, m, train FROM ({sql})"
+        sql = f"SELECT pos, u, (i + {_hash_sql(f'{seed}/{turn}/i', 'u')}) % b AS i, a, b, m, train FROM ({sql})"
+    return [("size", _sizes_sql(rank, train, test)), ("grid", grid),
+            ("cells", f"SELECT idx % m AS u, idx // m AS i, idx, pos >= train AS is_test "
+                      f"FROM (SELECT i * a + u AS idx, m, pos, train FROM ({sql}))")]
 
 
 @query(Q.with_ctes(_cells_ctes(5, 1.0, 0.1, 7), "SELECT * FROM cells"))
@@ -495,6 +588,23 @@ def q_sample_cells(spark, sf_dir):
     return sample_cells(spark, m, n, train, test, seed=7)
 
 
+@query(Q.with_ctes(_cells_ctes(5, 1.0, 0.1, 7), f"""
+    SELECT s_suppkey, p_partkey, is_test, s_acctbal, p_retailprice FROM cells
+    JOIN (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS u FROM supplier) USING (u)
+    JOIN (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) USING (i)
+    WHERE NOT EXISTS (SELECT 1 FROM ({Q.SUPP_PART}) l WHERE l.u = s_suppkey AND l.i = p_partkey)"""))
+def q_sample_unseen_cells(spark, sf_dir):
+    """Sampled (supplier, part) pairs that no order has, with what the tables know of both."""
+    suppliers = ordered_positions(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), [], ["s_suppkey"], "u")
+    parts = ordered_positions(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [], ["p_partkey"], "i")
+    m, n = dims(spark, sf_dir)
+    _, train, test = sample_sizes(m, n, 5)
+    seen = supplier_part(spark, sf_dir).select(F.col("u").alias("s_suppkey"), F.col("i").alias("p_partkey")).distinct()
+    named = sample_cells(spark, m, n, train, test, seed=7).join(suppliers, "u").join(parts, "i")
+    return named.join(seen, ["s_suppkey", "p_partkey"], "left_anti").select(
+        "s_suppkey", "p_partkey", "is_test", "s_acctbal", "p_retailprice")
+
+
 def _synth_ctes(rank: int, train: float, test: float, seed: int, noise: float = 0.0) -> list[tuple[str, str]]:
     z = f"/ sqrt(sqrt({rank}::DOUBLE))"
 
@@ -533,6 +643,43 @@ def q_generate_tile_train(spark, sf_dir):
     return rows.selectExpr("data", "nnz", rounded("rmse"))
 
 
+@query(Q.with_ctes(
+    _synth_ctes(2, 4.0, 0.1, 3),
+    "SELECT is_test, row_number() OVER (PARTITION BY is_test ORDER BY i, u) - 1 AS pos, u + 1 AS u, i + 1 AS i, "
+    "round(r, 4) + 0.0 AS r FROM synth"))
+def q_generate_files(spark, sf_dir):
+    """The lines of the generator's files, numbered in file order."""
+    paths, out = jobs.generate_job(spark, scratch_path(spark, "generated"), *dims(spark, sf_dir), 2, 4.0, 0.1, seed=3), None
+    for path, is_test in zip(paths, (False, True)):
+        lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"),
+                                             F.col("_metadata.file_block_start").alias("block"),
+                                             F.monotonically_increasing_id().alias("line"), F.split("value", " ").alias("f"))
+        numbered = ordered_positions(lines, [], ["file", "block", "line"]).select(
+            F.lit(is_test).alias("is_test"), "pos", F.expr("cast(f[0] as bigint)").alias("u"),
+            F.expr("cast(f[1] as bigint)").alias("i"), F.expr("round(cast(f[2] as double), 4) + 0.0D").alias("r"))
+        out = numbered if out is None else out.unionByName(numbered)
+    return out
+
+
+@query(_tiled_sql(Q.SUPP_PART, 2))
+def q_replicate_job(spark, sf_dir):
+    path = scratch_path(spark, "ratings")
+    T.write_ratings(supplier_part(spark, sf_dir), path, index_base=1)
+    return T.read_ratings(spark, jobs.replicate_job(spark, path, 2, *dims(spark, sf_dir)), index_base=0)
+
+
+@query(Q.with_ctes(
+    _synth_ctes(2, 4.0, 0.1, 3) + _TILED[0]
+    + [("held", "SELECT u + a * m AS u, i + b * n AS i, r FROM synth, size, range(2) AS ra(a), range(2) AS rb(b) WHERE is_test"),
+       ("train_e", Q.sse("t", _TILED[1][-1], 2)), ("test_e", Q.sse("held", _TILED[1][-1], 2))],
+    "SELECT a.nnz AS train_nnz, round(sqrt(a.sse / a.nnz), 4) + 0.0 AS train_rmse, b.nnz AS test_nnz, "
+    "round(sqrt(b.sse / b.nnz), 4) + 0.0 AS test_rmse, true AS timed FROM train_e a, test_e b"))
+def q_pipeline(spark, sf_dir):
+    metrics = jobs.pipeline_job(spark, scratch_path(spark, "pipeline"), *dims(spark, sf_dir), data_rank=2, train_factor=4.0,
+                                repfact=2, seed=3, rank=2, lam=0.1, iters=3)
+    return metrics.selectExpr("train_nnz", rounded("train_rmse"), "test_nnz", rounded("test_rmse"), "seconds > 0 as timed")
+
+
 # --- sweeps and reports -----------------------------------------------------------------------------
 
 def _sweep_sql(settings: list[tuple[int, int]]) -> str:
@@ -562,6 +709,30 @@ def q_scale_sweep(spark, sf_dir):
     return _sweep_rows(sweep(supplier_part(spark, sf_dir), ranks=(2,), repfacts=(1, 2), m=m, n=n, lam=LAM, iters=2))
 
 
+@query(Q.with_ctes(
+    _SPLIT[0] + [("held", f"{Q.SUPP_PART} WHERE {Q.TEST_ROW}"), ("a", Q.sse("t", _SPLIT[1][-1], 2)),
+                 ("b", Q.sse("held", _SPLIT[1][-1], 2))],
+    "SELECT 2 AS rank, 2 AS maxiter, a.nnz AS train_nnz, round(sqrt(a.sse / a.nnz), 6) + 0.0 AS train_rmse, b.nnz AS test_nnz, "
+    "round(sqrt(b.sse / b.nnz), 6) + 0.0 AS test_rmse, true AS timed FROM a, b"))
+def q_run_metrics(spark, sf_dir):
+    """Both errors and the seconds of a fit, through the metrics log."""
+    path, started = scratch_path(spark, "metrics"), time.monotonic()
+    train, test = supplier_part_split(spark, sf_dir)
+    fit = als_fit(train, 2, LAM, 2)
+    T.write_metrics(jobs.run_metrics(fit, test, time.monotonic() - started), path, rank=2, maxiter=2)
+    return T.read_metrics(spark, path).selectExpr("rank", "maxiter", "train_nnz", rounded("train_rmse", 6), "test_nnz",
+                                                  rounded("test_rmse", 6), "seconds > 0 as timed")
+
+
+_SWEEP = [(name, rank) for rank in (2, 4) for name in ("blocked", "broadcast")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS strategy, * FROM ({_sweep_sql([(1, rank)])})" for name, rank in _SWEEP))
+def q_strategy_sweep(spark, sf_dir):
+    rows = sweep(supplier_part(spark, sf_dir), ranks=(2, 4), strategies=("blocked", "broadcast"), lam=LAM, iters=2)
+    return rows.selectExpr("strategy", "repfact", "rank", "nnz", rounded("sse", 1), rounded("rmse", 6), rounded("loss", 1))
+
+
 @query(Q.with_ctes(_FIT2[0], "SELECT 2 AS rank, 2 AS maxiter, nnz, round(sqrt(sse / nnz), 6) + 0.0 AS rmse "
                    f"FROM ({Q.sse('t', _FIT2[1][-1], 2)})"))
 def q_metrics_sink(spark, sf_dir):
