@@ -5,7 +5,7 @@ CLASHING = ["score", "row", "key", "n", "fp", "bucket", "seg", "drops", "kept",
 
 
 @pytest.fixture(scope="session")
-def awkward(spark):
+def awkward(spark, tmp_path_factory):
     """Documents with nulls in any column, empty and very long texts, repeated rows, and columns of all names in use."""
     long = " ".join(f"word{i % 977} tail{i % 13}" for i in range(60_000))
     rows = [(0, "The same text of a few plain words that come again.", "en", "a", 1),
@@ -15,9 +15,9 @@ def awkward(spark):
             (None, "A text without an id, but with words in it.", "en", "c", 3), (None, None, None, None, None),
             (6, "ÄÖÜ ß é   \U0001f600 123", "de", "c", 2), (7, "word", "en", "c", 4)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for i, name in enumerate(CLASHING):
-        frame = frame.selectExpr("*", f"{i} as `{name}`")
-    return frame
+    path = str(tmp_path_factory.mktemp("awkward") / "documents.parquet")
+    frame.selectExpr("*", *[f"{i} as `{name}`" for i, name in enumerate(CLASHING)]).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @pytest.fixture(scope="session")
