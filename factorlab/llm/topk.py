@@ -3,8 +3,10 @@
 Codes are cut into m segments. Whoever differs from a query in fewer than m * (s + 1) bits
 has a segment within s bits of the query's, so after all segments have been searched to
 radius s every code up to distance m * (s + 1) - 1 has been seen. Each round looks up the
-next shell of the ball around every segment of the queries that are still open, verifies
-whole distances in the join, and closes the queries whose k-th distance is covered.
+next shell of the ball around the segments of the queries that are still open, verifies
+whole distances in the join, and closes the queries whose k-th distance is covered. The k-th
+distance seen so far also tells which segments need the next shell at all: a code within b
+bits differs in at most (b - j) // m bits in some segment j, counted from 0.
 
 Equal codes are one entry of the tables, with the k smallest of their ids: ties go to the
 smaller id, so no other id of the code can be among the k. Equal query codes are searched
@@ -37,16 +39,16 @@ def binary_code(vector: str = "embedding"):
 
 
 def segments_for(count: int) -> int:
-    """Segments of about log2(count) bits: then a lookup meets about one stranger."""
-    width = max(8.0, np.log2(max(count, 2)))
-    return max(1, min(8, round(BITS / width)))
-
+    """Segments of about log2(count) - 2 bits: a lookup meets about four strangers.
 
-def _signed(x: int) -> int:
-    return x - (1 << BITS) if x >> (BITS - 1) else x
+    Wider ones would meet fewer, but balls grow faster with the width than strangers do.
+    """
+    width = max(8.0, np.log2(max(count, 2)) - 2)
+    return max(1, min(8, round(BITS / width)))
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment; the wider ones come first."""
     out, first = [], 0
     for j in range(m):
         width = BITS // m + (j < BITS % m)
@@ -55,15 +57,28 @@ def _segments(m: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(code: str, parts: list[tuple[int, int]]):
+    """The segments of a code as an array of (seg, width, key)."""
+    def key(first, width):
+        moved = F.shiftrightunsigned(F.col(code), first)
+        return moved if width == BITS else moved.bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*[F.struct(F.lit(j).alias("seg"), F.lit(w).alias("width"), key(f, w).cast("bigint").alias("key"))
+                     for j, (f, w) in enumerate(parts)])
+
+
 def _smallest(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key; the limit also acts before the shuffle."""
     return (rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
             .where(F.col("nth") <= k))
 
 
-def _shell(first: int, width: int, radius: int) -> np.ndarray:
-    masks = [sum(1 << (first + i) for i in c) for c in combinations(range(width), radius)]
-    return np.array([_signed(m) for m in masks], dtype=np.int64)
+def _shell(widths: set[int], radius: int):
+    """The flips of exactly ``radius`` bits of a segment, by its ``width``."""
+    def flips(width):
+        masks = [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+        return F.lit(np.array([x - (1 << BITS) if x >> (BITS - 1) else x for x in masks], dtype=np.int64))
+    wide, narrow = max(widths), min(widths)
+    return flips(wide) if wide == narrow else F.when(F.col("width") == wide, flips(wide)).otherwise(flips(narrow))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
@@ -73,9 +88,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None
     entries = cut(ids.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("first")))
     m = segments or segments_for(entries.count())
     parts = _segments(m)
-    homes = [F.struct(F.lit(j).alias("seg"), F.col("code").bitwiseAND(F.lit(_signed(((1 << w) - 1) << f))).alias("key"))
-             for j, (f, w) in enumerate(parts)]
-    index = cut(entries.select("code", "n", "first", F.explode(F.array(*homes)).alias("s"))
+    index = cut(entries.select("code", "n", "first", F.explode(_pieces("code", parts)).alias("s"))
                 .select("code", "n", "first", "s.seg", "s.key"))
     asked = queries.where("code is not null").select("query_id", "code")
     # bound: the k-th distance seen so far; nothing beyond it can still come in
@@ -83,13 +96,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None
     best = closed = None
     for radius in range(BITS):
         covered = min(BITS, m * (radius + 1) - 1)
-        probes = None
-        for j, (f, w) in enumerate(parts):
-            if radius <= w:
-                mask = F.lit(_signed(((1 << w) - 1) << f))
-                part = (open_.select("q", "bound", F.lit(j).alias("seg"), F.explode(F.lit(_shell(f, w, radius))).alias("flip"))
-                        .select("q", "bound", "seg", F.col("q").bitwiseAND(mask).bitwiseXOR(F.col("flip")).alias("key")))
-                probes = part if probes is None else probes.unionByName(part)
+        # who is within the bound b is within (b - j) // m bits in some segment j
+        need = (open_.select("q", "bound", F.explode(_pieces("q", parts)).alias("s")).select("q", "bound", "s.*")
+                .where((F.col("bound") - F.col("seg") >= radius * m) & (F.col("width") >= radius)))
+        probes = (need.select("q", "bound", "seg", "key", F.explode(_shell({w for _, w in parts}, radius)).alias("flip"))
+                  .select("q", "bound", "seg", F.col("key").bitwiseXOR(F.col("flip")).alias("key")))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         at = (probes.seg == index.seg) & (probes.key == index.key) & (distance <= F.col("bound"))
         seen = probes.join(index, at).select("q", "code", distance.alias("distance"), "n", "first")
