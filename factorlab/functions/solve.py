@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from factorlab.functions.vectors import unpack_symmetric
 
 # Doubles held at once: by the padded stacks in segment_grams, and by the Gram matrices of a slice (32 MB).
-STACK_BUDGET = 4_000_000
+_STACK_BUDGET = 4_000_000
+
+
+def slice_size(rank: int) -> int:
+    """How many entities' Gram matrices may be held at once."""
+    return max(1, _STACK_BUDGET // (rank * (rank + 1)))
 
 
 def matrix_of(lists, width: int) -> np.ndarray:
@@ -45,11 +50,11 @@ def segment_grams(x, pick, weight, target, starts, ends):
         # Longest segment that still shares a stack with the current one: 1.25x its length.
         longest = int(lengths[order[at]] * 1.25)
         stop = int(np.searchsorted(lengths[order], longest, side="right"))
-        stop = min(stop, at + max(1, STACK_BUDGET // (longest * (rank + 1))))
+        stop = min(stop, at + max(1, _STACK_BUDGET // (longest * (rank + 1))))
         members = order[at:stop]
         width = int(lengths[members[-1]])
-        for piece in range(0, width, max(1, STACK_BUDGET // (rank + 1))):
-            span = np.arange(piece, min(width, piece + max(1, STACK_BUDGET // (rank + 1))))
+        for piece in range(0, width, max(1, _STACK_BUDGET // (rank + 1))):
+            span = np.arange(piece, min(width, piece + max(1, _STACK_BUDGET // (rank + 1))))
             inside = span[None, :] < lengths[members][:, None]
             rows = np.where(inside, starts[members][:, None] + span[None, :], 0)
             w = np.where(inside, weight[rows], 0.0)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.functions.solve import STACK_BUDGET, lists_of, matrix_of, ridge_solve, segment_grams
+from factorlab.functions.solve import lists_of, matrix_of, ridge_solve, segment_grams, slice_size
 from factorlab.functions.vectors import pack_symmetric
 from factorlab.operators.positions import ordered_positions
 
@@ -130,7 +130,7 @@ def update_block(rank: int, lam: float, split: bool):
     equations instead, because their pieces have to be added up first. Entities are taken in
     slices, so that their Gram matrices fit the stack budget whatever the rank is.
     """
-    most = max(1, STACK_BUDGET // (rank * (rank + 1)))
+    most = slice_size(rank)
     lists = pa.list_(pa.float64())
     names = ["x", "xtx", "xty"] if split else ["x"]
     schema = pa.schema([("id", pa.int64()), *[(name, lists) for name in names]])

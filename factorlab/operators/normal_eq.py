@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorlab.functions.solve import STACK_BUDGET, lists_of, matrix_of, segment_grams
+from factorlab.functions.solve import lists_of, matrix_of, segment_grams, slice_size
 from factorlab.functions.vectors import pack_symmetric, triangle
 from factorlab.operators.ratings import check_columns, compress
 from factorlab.operators.skew import BROADCAST_BYTES, KeyProfile, hot_limit, lookup_join, with_piece
@@ -94,7 +94,7 @@ def _fold_chunk(batches, key: str, rank: int):
 
 def _slices(groups: int, rank: int) -> list[slice]:
     """Runs of groups whose Gram matrices fit the stack budget together."""
-    size = max(1, STACK_BUDGET // (rank * (rank + 1)))
+    size = slice_size(rank)
     return [slice(at, at + size) for at in range(0, groups, size)]
 
 

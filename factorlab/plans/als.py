@@ -6,6 +6,7 @@ One half-step solves, for every entity e of one side and the vectors x of the ot
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -48,6 +49,7 @@ class AlsResult:
     observations: DataFrame
     profiles: dict = field(repr=False)
     plan: _Plan = field(repr=False)
+    step_seconds: list[float] = field(default_factory=list, repr=False)  # of each half-step
 
     def predict(self, ratings: DataFrame) -> DataFrame:
         return M.predict(self.u_factors, self.i_factors, ratings, self.rank)
@@ -340,9 +342,12 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
 
     factors = {side: _start(profiles[side], rank, side, (init or {}).get(side), seed) for side in ("u", "i")}
     errors: list[DataFrame] = []
+    seconds: list[float] = []
     for it in range(iters):
         for half, side in enumerate((first, OTHER[first]), start=1):
+            started = time.monotonic()
             factors[side] = plan.step(side, factors[OTHER[side]])
+            seconds.append(time.monotonic() - started)
             if trace:
                 error = plan.sse(factors)
                 errors.append(cut(error.select(F.lit(it).alias("iter"), F.lit(half).alias("half"), "sse")))
@@ -350,7 +355,7 @@ def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int =
     steps = None
     for error in errors:
         steps = error if steps is None else steps.unionByName(error)
-    return AlsResult(factors["u"], factors["i"], steps, plan.label(), rank, lam, obs, profiles, plan)
+    return AlsResult(factors["u"], factors["i"], steps, plan.label(), rank, lam, obs, profiles, plan, seconds)
 
 
 def grouped_ridge(df: DataFrame, key: str, features: list[Column | str], target: Column | str,

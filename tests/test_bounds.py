@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factorlab.functions.solve import STACK_BUDGET
+from factorlab.functions.solve import slice_size
 from factorlab.operators import blocks as B
 from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
@@ -113,7 +113,7 @@ def test_a_block_of_many_small_entities_is_solved_in_slices(monkeypatch):
         return grams(*args)
     monkeypatch.setattr(B, "segment_grams", watched)
     out = B.update_block(rank, 0.1, False)((), sent, packed)
-    assert max(sizes) * rank * (rank + 1) <= STACK_BUDGET and sum(sizes) == entities == out.num_rows
+    assert max(sizes) <= slice_size(rank) < entities and sum(sizes) == entities == out.num_rows
     i = 17
     want = np.linalg.solve(np.outer(x[i], x[i]) + 0.1 * np.eye(rank), x[i] * owned["r"][i].as_py())
     assert out["x"][out["id"].to_pylist().index(i)].as_py() == pytest.approx(want)
