@@ -4,7 +4,8 @@ First pass: every row is scattered by a seeded hash of its id and text into one
 buckets that each fits in a task's memory. Second pass: each bucket is put in a fixed order,
 shuffled by Spark's seeded ``shuffle`` (a Fisher-Yates shuffle of an array), and numbered on
 from the buckets before it. The numbers cut into equal runs are the shards, so a bucket's
-rows go to one shard, or to two where a run ends, and can be written where they are.
+rows go to one shard, or to two where a run ends, and can be written where they are. A task
+takes few buckets, one after another in their order, so there are never more tasks than Spark can plan.
 
 The counts of two shards are at most one apart, whatever the data looks like. The result
 depends on the rows and the seed alone, not on files, partitions or retries.
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 8 << 20
+#: The second pass has a task for each of this many buckets; beyond that, a task takes buckets of about ``TASK_BYTES`` in turn.
+TASKS = 4096
+TASK_BYTES = 256 << 20
 RUN = 4096
 SEED = 17
 
@@ -34,19 +38,23 @@ def shard(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BU
     """
     total = docs.agg(F.sum(size_bytes(text_col)).alias("bytes"), F.count("*").alias("rows")).first()
     rows = total["rows"]
-    buckets = max(shards, -(-(total["bytes"] or 0) // bucket_bytes))
+    size = total["bytes"] or 0
+    buckets = max(shards, -(-size // bucket_bytes))
+    tasks = min(buckets, max(TASKS, -(-size // TASK_BYTES)))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     packed = docs.select(F.pmod(key, F.lit(buckets)).cast("bigint").alias("bucket"),
                          F.xxhash64(F.lit(seed + 1), *hashed).alias("mix"),
                          F.struct(*(carry or ["*"])).alias("row"))
     starts = _starts(packed.groupBy("bucket").agg(F.count("*").alias("n")))
-    piles = (packed.repartition(buckets, "bucket").groupBy("bucket")
+    # Spark seeds a task's shuffles by its number and goes on from bucket to bucket: their order is fixed too
+    piles = (packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").groupBy("bucket")
              .agg(F.collect_list(F.struct("mix", "row")).alias("pile")))
     dealt = F.shuffle(F.array_sort("pile", lambda x, y: F.when(x["mix"] < y["mix"], -1)
                                    .when(x["mix"] > y["mix"], 1).otherwise(0)), F.lit(seed))
-    number = (piles.join(starts, "bucket")
-              .select("start", F.posexplode(dealt).alias("at", "x"))
+    # shuffled before the join, which may run on other tasks, as adaptive execution finds best
+    number = (piles.select("bucket", dealt.alias("dealt")).join(starts, "bucket")
+              .select("start", F.posexplode("dealt").alias("at", "x"))
               .select((F.col("start") + F.col("at")).alias("number"), F.col("x.row").alias("row")))
     cut = F.expr(f"cast(((number + 1) * {shards} - 1) div {max(rows, 1)}L as int)")
     first = F.expr(f"(shard * {rows}L) div {shards}")

@@ -49,6 +49,22 @@ def test_shards_depend_on_rows_and_seed_alone(spark):
     assert sum(abs(a - b) == 1 for a, b in zip(order, order[1:])) < 15  # neighbours are not left together
 
 
+def test_shards_are_the_same_from_any_partitions(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 as int)) as text")
+    monkeypatch.setattr(sharding, "TASKS", 3)
+
+    def places(frame):
+        rows = sharding.shard(frame, 5, bucket_bytes=128).collect()
+        return {r["row"]["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+    seen, width = places(docs.repartition(7)), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        assert seen == places(docs.orderBy(F.desc("doc_id")).repartition(2, "text"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert sorted(seen.values()) == [(s, n) for s in range(5) for n in range(80)]
+
+
 def test_written_shards(spark, awkward, tmp_path):
     sharding.write_shards(awkward.drop("shard", "slot"), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
