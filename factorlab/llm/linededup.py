@@ -4,7 +4,8 @@ A state is three tables in the shared folder. ``refs`` names the keys of every d
 ``counts`` has for every key the number of documents that hold it, and ``filters`` a cuckoo
 filter for every shard of keys, of those that at least ``least`` documents hold. Inserting
 documents adds to the counts, deleting them subtracts, and only keys that pass the threshold
-one way or the other enter or leave a filter. States are never changed in place: each step
+one way or the other enter or leave a filter. When shards would get too large there are twice
+as many, and the filters are built anew from the counts. States are never changed in place: each step
 writes a new one, so a failed step leaves the old one whole.
 
 To deduplicate, the references are held against the filters where they lie; what passes is
@@ -34,7 +35,9 @@ from factorlab.session import scratch_path
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
+#: Shards of the filters: so many at least, and twice as many whenever one would hold more than ``SHARD_KEYS`` keys.
 SHARDS = 64
+SHARD_KEYS = 100_000
 #: Filters up to this size go to every task; beyond it the references are joined with the counts instead.
 FILTER_BYTES = 64 << 20
 _STRIP = " \t\n\v\f\r"
@@ -116,8 +119,12 @@ def _counted(state: State, refs: DataFrame, sign: int) -> State:
     both = _written(summed.where("n > 0 or was > 0"), "counts")
     counts = spark.read.parquet(both)
     crossed = counts.where(f"(n >= {state.least}) <> (was >= {state.least})")
-    shard = F.pmod(F.xxhash64("key"), F.lit(state.shards)).cast("int")
-    moves = crossed.select(shard.alias("shard"), "key", (F.col("n") > F.col("was")).alias("enters"))
+    shards = _enough_shards(state.shards, counts.where(F.col("n") >= state.least).count())
+    if shards > state.shards:  # all keys are dealt anew
+        state = replace(state, shards=shards, filters=None)
+        crossed = counts.where(F.col("n") >= state.least)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    moves = crossed.select(shard.alias("shard"), "key", (F.col("n") >= state.least).alias("enters"))
     old = (spark.read.parquet(state.filters) if state.filters
            else spark.createDataFrame([], "shard int, filter binary, keys array<binary>"))
     filters = (old.groupBy("shard").cogroup(moves.groupBy("shard"))
@@ -125,6 +132,12 @@ def _counted(state: State, refs: DataFrame, sign: int) -> State:
     return replace(state, counts=both, filters=_written(filters, "filters"))
 
 
+def _enough_shards(shards: int, keys: int) -> int:
+    while keys > shards * SHARD_KEYS:
+        shards *= 2
+    return shards
+
+
 def _moved(old: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
     """One shard's filter after keys have entered and left; built anew from its keys when it is full."""
     shard = int((moves if len(moves) else old)["shard"].iloc[0])

@@ -165,6 +165,21 @@ def test_insertions_in_parts_and_deletions_are_exact(spark):
     assert line_result(linededup.dedup(docs, state)) == slow_lines(rows)
 
 
+def test_shards_of_filters_grow_with_their_keys(spark, monkeypatch):
+    docs = line_docs(spark, 3, 60)
+    rows = [tuple(r) for r in docs.collect()]
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    first = linededup.insert(linededup.State(shards=1), docs.where("doc_id < 12"))
+    state = linededup.insert(first, docs.where("doc_id >= 12"))
+    assert state.shards > first.shards >= 1
+    filters = spark.read.parquet(state.filters)
+    often = spark.read.parquet(state.counts).where(f"n >= {state.least}")
+    assert sorted(k for r in filters.collect() for k in r["keys"]) == sorted(r["key"] for r in often.collect())
+    assert line_result(linededup.dedup(docs, state)) == slow_lines(rows)
+    state = linededup.delete(state, docs.where("doc_id >= 12").select("doc_id"))
+    assert line_result(linededup.dedup(docs.where("doc_id < 12"), state)) == slow_lines([r for r in rows if r[0] < 12])
+
+
 def test_awkward_lines(spark, awkward, nothing):
     state = linededup.insert(linededup.State(), awkward)
     out = linededup.dedup(awkward, state)
