@@ -152,7 +152,7 @@ def flag(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: s
     """``docs`` with ``n_words``, ``n_hit``, ``spans`` (first word and length), ``items`` and ``contaminated``."""
     spark = docs.sparkSession
     pieces = cut(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-                 .mapInArrow(_pieces, "item string, piece binary"))
+                 .mapInArrow(_pieces, "item string, piece binary").distinct())
     total = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)))
