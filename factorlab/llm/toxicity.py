@@ -1,19 +1,23 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Terms are words and their beginnings of 4 to 6 bytes. From a bounded sample of labelled
-documents those terms are kept that the labels depend on (log-likelihood ratio). Copies would
-make any of their words look telling, so a document counts in inverse proportion to how many
-share one of its min-hash keys. Document frequencies of the terms come from all documents.
-
-The examples make an inverted index in blocks: for every term and block of examples the
-largest weight is known, so the cosine with any example of a block is bounded by a sum of
-those. A document opens blocks in order of their bounds until no closed block can hold one of
-its k nearest: the k found are exact. They vote with their cosines, and a monotone curve,
-fitted to votes on the sample with each example left out, turns votes into a rate of label 1.
+The space has every word of the examples. Some terms (words and their beginnings of 4 to 6
+bytes) are telling: the labels of a bounded sample of documents depend on them (log-likelihood
+ratio). They only weigh more: if a text has telling and other terms, the telling ones make
+``TELLING`` of its squared length, so no word is left out and copies have a cosine of one.
+Copies would make any of their words look telling, so in choosing terms a document counts in
+inverse proportion to how many share one of its min-hash keys. Document frequencies come from
+all documents.
+
+A text is compared with all examples: in single precision first, the commonest terms by a
+matrix product and the others by posting lists. Those that may be among its k nearest, by a
+bound of the rounding error, are then compared in double precision: the k found are exact. A
+neighbour's vote grows with its cosine without much of a bound, so that a copy outweighs all
+others, and a monotone curve, fitted to votes on the sample with each example left out, turns
+votes into a rate of label 1.
 
 Texts that share no term with any example, empty and null ones too, all have the same vote:
 what is known of such examples. Without labels every score is 0. Rows are scored one by one, so
-repeated ones score alike. The index holds at most ``EXAMPLES`` examples and ``TERMS`` terms
+repeated ones score alike. The index holds at most ``EXAMPLES`` examples, with all their words,
 and is all that is broadcast; everything else is counted over all rows.
 """
 
@@ -34,14 +38,20 @@ from factorlab.session import cut
 
 #: How many labelled rows are learned from, at most: those with the smallest hashes of their ids.
 EXAMPLES = 20_000
-#: How many terms are kept, at most: those the labels depend on most.
+#: How many terms are telling, at most: those the labels depend on most.
 TERMS = 4096
 #: The chance that any term passes of which labels are independent.
 CHANCE = 0.05
+#: What telling terms make of the squared length of a text that has others too.
+TELLING = 0.9
 NEIGHBOURS = 10
-BLOCK = 128
+#: How many of the commonest terms are compared by matrix products, and for how many texts at once.
+COMMON = 512
+TOGETHER = 64
 THRESHOLD = 0.7
 _PRIOR = 0.1
+#: A copy votes with one over this.
+_NEARLY = 0.01
 _STEPS = 100
 _KEYS = 4
 _PREFIXES = (4, 5, 6)
@@ -72,21 +82,29 @@ def held_out(id_col: str = "doc_id"):
 class Model:
     terms: dict[bytes, int] = field(default_factory=dict)
     gate: set[bytes] = field(default_factory=set)
+    words: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
-    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     prior: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, _STEPS + 1))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        """Occurrences of the model's terms in the whole text."""
+        """Occurrences of the model's terms, telling (``terms``) or not (``words``), in the whole text."""
         found: dict[int, int] = {}
-        gate, terms = self.gate, self.terms
+        gate, terms, words = self.gate, self.terms, self.words
         for word, n in Counter(words_of(text)).items():
+            at = words.get(word)
+            if at is not None:
+                found[at] = n
             if word[:4] in gate:
                 for term in terms_of(word):
                     at = terms.get(term)
@@ -95,51 +113,81 @@ class Model:
         return found
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their weights, of length one: (1 + log tf) idf."""
-        at = np.fromiter(sorted(counts), np.int64, len(counts))
-        w = (1 + np.log([counts[t] for t in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
-        return at, w / np.sqrt(np.sum(w * w)) if len(at) else w
+        """Terms and their weights, of length one: (1 + log tf) idf, telling terms weighed up to ``TELLING``."""
+        at = np.fromiter(counts, np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(at)
+        at = at[order]
+        w = (1 + np.log(n[order])) * self.idf[at]
+        split = int(np.searchsorted(at, len(self.terms)))
+        both = 0 < split < len(at)
+        for part, share in ((w[:split], TELLING), (w[split:], 1 - TELLING)):
+            if len(part):
+                part *= np.sqrt((share if both else 1.0) / np.sum(part * part))
+        return at, w
 
     def index(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Posting lists by term and block of examples, with the largest weight of each."""
+        """The examples' vectors, and in single precision columns of the commonest terms and postings of the others."""
         self.ids, self.toxic = ids, toxic
-        blocks = -(-len(ids) // BLOCK)
-        owner = np.repeat(np.arange(len(ids)), [len(v[0]) for v in vectors]).astype(np.int64)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        cell = term.astype(np.int64) * max(blocks, 1) + owner // BLOCK
-        order = np.argsort(cell, kind="stable")
-        cells = len(self.terms) * max(blocks, 1)
-        self.starts = np.searchsorted(cell[order], np.arange(cells + 1))
-        self.owners, self.weights = owner[order].astype(np.int32), weight[order]
-        most = np.zeros(cells)
-        np.maximum.at(most, cell, weight)
-        self.most = most.reshape(len(self.terms), max(blocks, 1))
+        lengths = np.array([len(v[0]) for v in vectors], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.at = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        self.weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        size = len(self.idf)
+        often = np.argsort(-np.bincount(self.at, minlength=size), kind="stable")[:COMMON]
+        self.column = np.full(size, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        place = self.column[self.at]
+        self.common = np.zeros((len(often), len(ids)), np.float32)
+        self.common[place[place >= 0], owner[place >= 0]] = self.weights[place >= 0]
+        rare = np.nonzero(place < 0)[0]
+        rare = rare[np.argsort(self.at[rare], kind="stable")]
+        self.starts = np.searchsorted(self.at[rare], np.arange(size + 1))
+        self.owners, self.posted = owner[rare], self.weights[rare].astype(np.float32)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact ``NEIGHBOURS`` examples of highest cosine (ties: the first), and the cosines."""
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
+        return next(self.all_nearest([(at, w)], [leave]))
+
+    def all_nearest(self, vectors, leave=None):
+        """``nearest`` of each of ``vectors``, in their order."""
+        whole = np.zeros(len(self.idf))
+        for start in range(0, len(vectors), TOGETHER):
+            some = vectors[start:start + TOGETHER]
+            asked = np.zeros((len(some), len(self.common)), np.float32)
+            for row, (at, w) in zip(asked, some):
+                place = self.column[at] if len(self.ids) else np.zeros(0, np.int32)
+                row[place[place >= 0]] = w[place >= 0] if len(place) else 0
+            rough = asked @ self.common
+            for i, (at, w) in enumerate(some):
+                yield self._nearest(rough[i], at, w, whole, -1 if leave is None else leave[start + i])
+
+    def _nearest(self, rough, at, w, whole, leave):
         if not len(at) or not len(self.ids):
-            return best, cosines
-        blocks = self.most.shape[1]
-        bounds = w @ self.most[at]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == NEIGHBOURS and bounds[b] < cosines[-1] - 1e-9:
-                break
-            scores = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, x in zip(at.tolist(), w.tolist()):
-                s, e = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                if s < e:
-                    scores[self.owners[s:e] - b * BLOCK] += x * self.weights[s:e]
-            hit = np.nonzero(scores > 0)[0]
-            hit = hit[hit + b * BLOCK != leave]
-            best, cosines = np.concatenate([best, hit + b * BLOCK]), np.concatenate([cosines, scores[hit]])
-            keep = np.lexsort((best, -np.round(cosines, 9)))[:NEIGHBOURS]
-            best, cosines = best[keep], cosines[keep]
-        return best, cosines
+            return np.zeros(0, np.int64), np.zeros(0)
+        first = self.starts[at]
+        many = self.starts[at + 1] - first
+        total = int(many.sum())
+        if total:
+            places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+            rough = rough + np.bincount(self.owners[places], np.repeat(w, many) * self.posted[places], len(rough)).astype(np.float32)
+        if leave >= 0:
+            rough[leave] = -1
+        # sums of n products of unit vectors in single precision are wrong by n units of rounding, at most
+        wrong = (len(at) + 4) * 2.0 ** -23
+        k = min(NEIGHBOURS, len(rough))
+        hit = np.nonzero((rough > 0) & (rough >= np.partition(rough, -k)[-k] - 2 * wrong))[0]
+        whole[at] = w
+        cosines = np.array([whole[self.at[s:e]] @ self.weights[s:e] for s, e in zip(self.ends[hit], self.ends[hit + 1])])
+        whole[at] = 0
+        hit, cosines = hit[cosines > 0], cosines[cosines > 0]
+        keep = np.lexsort((hit, -np.round(cosines, 9)))[:NEIGHBOURS]
+        return hit[keep], cosines[keep]
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines @ self.toxic[best] + _PRIOR * self.prior) / (cosines.sum() + _PRIOR))
+        strength = cosines / (1 - np.minimum(cosines, 1) + _NEARLY)
+        return float((strength @ self.toxic[best] + _PRIOR * self.prior) / (strength.sum() + _PRIOR))
 
     def calibrated(self, vote: float) -> float:
         return float(self.curve[int(round(vote * _STEPS))])
@@ -178,6 +226,14 @@ def _term_counts(batches):
             names=["term", "clean", "toxic"])
 
 
+def _vocabulary(batches):
+    """Each task's different words."""
+    words = {w for batch in batches for text in values(batch.column(0)) for w in words_of(text)}
+    rest = list(words)
+    for start in range(0, len(rest), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(rest[start:start + 50_000], pa.binary())], names=["word"])
+
+
 def least_ratio(tests: int) -> float:
     """The log-likelihood ratio that one of ``tests`` independent terms passes with ``CHANCE``.
 
@@ -222,42 +278,55 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     model = Model()
     model.terms = {t: i for i, t in enumerate(telling_terms(sample, terms))}
     model.gate = {t[:4] for t in model.terms}
+    seen = sample.select("text").mapInArrow(_vocabulary, "word binary").distinct().toArrow().column("word")
+    model.words = {w: len(model.terms) + i for i, w in enumerate(sorted(set(seen.to_pylist()) - model.terms.keys()))}
+    size = len(model.terms) + len(model.words)
     bare = spark.sparkContext.broadcast(vars(model))
 
     def frequencies(batches):
-        seen, total, bare_model = Counter(), 0, Model(**bare.value)
+        seen, total, bare_model = np.zeros(size + 1, np.int64), 0, Model(**bare.value)
         for batch in batches:
             for text in values(batch.column(0)):
-                seen.update(bare_model.counts(text).keys())
+                counts = bare_model.counts(text)
+                seen[np.fromiter(counts, np.int64, len(counts))] += 1
                 total += 1
-        seen[-1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())],
-                                         names=["term", "n"])
-
-    found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term bigint, n bigint")
-             .groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([found.get(i, 0) for i in range(len(model.terms))], dtype=float)
-    model.idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
+        seen[size] = total
+        some = np.nonzero(seen)[0]
+        for start in range(0, len(some), 50_000):
+            part = some[start:start + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(seen[part], pa.int64())], names=["term", "n"])
+
+    found = (docs.select("text").mapInArrow(frequencies, "term bigint, n bigint")
+             .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    df = np.zeros(size + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    model.idf = np.log((1 + df[size]) / (1 + df[:size])) + 1
 
     def vectors(batches):
         bare_model = Model(**bare.value)
         for batch in batches:
             counts = [bare_model.counts(t) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int64())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], names=["doc_id", "toxic", "at", "n"])
+                [batch.column(0), batch.column(2),
+                 pa.array([np.fromiter(c, np.int32, len(c)).tobytes() for c in counts], pa.binary()),
+                 pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in counts], pa.binary())],
+                names=["doc_id", "toxic", "at", "n"])
 
     held = cut(sample.select("doc_id", "text", F.col("toxic").cast("bigint").alias("toxic"))
-               .mapInArrow(vectors, "doc_id bigint, toxic bigint, at array<bigint>, n array<bigint>"))
-    bland = held.where(F.size("at") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+               .mapInArrow(vectors, "doc_id bigint, toxic bigint, at binary, n binary"))
+    bland = held.where(F.length("at") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     model.prior = bland["t"] / bland["n"] if bland["n"] else 0.0
-    rows = sorted(held.where(F.size("at") > 0).collect(), key=lambda r: r["doc_id"])
-    model.index(np.array([r["doc_id"] for r in rows], np.int64), np.array([float(r["toxic"]) for r in rows]),
-                [model.vector(dict(zip(r["at"], r["n"]))) for r in rows])
+    rows = held.where(F.length("at") > 0).toArrow().sort_by("doc_id")
+    model.index(rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(float),
+                [model.vector(_unpacked(at, n)) for at, n in zip(values(rows.column("at")), values(rows.column("n")))])
     _calibrate(model, held, bland)
     return model
 
 
+def _unpacked(at: bytes, n: bytes) -> dict[int, int]:
+    return dict(zip(np.frombuffer(at, np.int32).tolist(), np.frombuffer(n, np.int32).tolist()))
+
+
 def _calibrate(model: Model, held: DataFrame, bland) -> None:
     """A monotone curve from votes to the rate of label 1, each example judged by the others."""
     shared = held.sparkSession.sparkContext.broadcast(vars(model))
@@ -265,13 +334,12 @@ def _calibrate(model: Model, held: DataFrame, bland) -> None:
     def votes(batches):
         m = Model(**shared.value)
         for batch in batches:
-            out = []
-            for doc, at, n in zip(*(values(batch.column(i)) for i in (0, 2, 3))):
-                leave = int(np.searchsorted(m.ids, doc))
-                out.append(int(round(m.vote(*m.nearest(*m.vector(dict(zip(at, n))), leave)) * _STEPS)))
+            asked = [m.vector(_unpacked(at, n)) for at, n in zip(values(batch.column(2)), values(batch.column(3)))]
+            leave = np.searchsorted(m.ids, batch.column(0).to_numpy()).tolist()
+            out = [int(round(m.vote(*near) * _STEPS)) for near in m.all_nearest(asked, leave)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(1)], names=["step", "toxic"])
 
-    steps = (held.where(F.size("at") > 0).repartition(held.sparkSession.sparkContext.defaultParallelism)
+    steps = (held.where(F.length("at") > 0).repartition(held.sparkSession.sparkContext.defaultParallelism)
              .mapInArrow(votes, "step bigint, toxic bigint").groupBy("step")
              .agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect())
     n, t = np.zeros(_STEPS + 1), np.zeros(_STEPS + 1)
@@ -299,8 +367,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def judged(columns):
         m, scores, proof = Model(**shared.value), [], []
-        for text in values(columns[0]):
-            best, cosines = m.nearest(*m.vector(m.counts(text)))
+        asked = [m.vector(m.counts(text)) for text in values(columns[0])]
+        for best, cosines in m.all_nearest(asked):
             scores.append(m.calibrated(m.vote(best, cosines)))
             proof.append(m.ids[best].tolist())
         return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),

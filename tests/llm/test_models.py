@@ -1,6 +1,7 @@
 """Language, URL, HTML, search and toxicity operators."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -149,6 +150,22 @@ def test_toxicity_learns_telling_words_and_not_those_of_copies(spark):
     assert toxicity.without_toxic(docs, labels).count() == 540
 
 
+def test_copies_of_toxic_examples_are_toxic(spark):
+    """Every toxic example has words of its own, so that none of them is telling."""
+    rng, letters = random.Random(5), "bcdfghklmnprstvwz"
+    words = ["".join(rng.choices(letters, k=7)) for _ in range(900)]
+    plain = [(i, " ".join(rng.choices(words[:300], k=30)), 0) for i in range(300)]
+    learned = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 3 != 1][:30]
+    held = [i for i in range(400, 600) if zlib.crc32(str(i).encode()) % 3 == 1][:30]
+    texts = [" ".join(words[300 + 20 * n:320 + 20 * n] + rng.choices(words[:300], k=5)) for n in range(30)]
+    rows = plain + [(i, t, 1) for ids in (learned, held) for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i]["predicted"] == 1 and got[i]["evidence"][0] == copy for i, copy in zip(held, learned))
+    assert not any(got[r[0]]["predicted"] for r in plain)
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(6)
     model = toxicity.Model(terms={str(i).encode(): i for i in range(40)}, idf=np.ones(40))
