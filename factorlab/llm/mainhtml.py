@@ -10,8 +10,12 @@ it has no such container.
 The winners are one short row for each host. Up to ``BROADCAST_HOSTS`` of them go to every task, more are
 joined on the host. Votes are combined before they are shuffled, so a large host is a few rows.
 
-Null and empty pages have an empty text; pages without a URL share the host ''. If the
-classes declare a whole page to be no article, classes are ignored. Repeated pages vote each.
+A class, id or role drops an element only if it is one of ``DROPPED_CLASSES`` as a whole, and
+never one that contains an article or main element, or most of the page's text outside links.
+Where classes would still remove most of that text between them, all are ignored. If there is such
+text in article or main elements, only that counts: an advertisement beside a short article is none of it.
+
+Null and empty pages have an empty text; pages without a URL share the host ''. Repeated pages vote each.
 """
 
 from __future__ import annotations
@@ -47,27 +51,30 @@ _TOKEN = re.compile(r"[^a-z]+")
 
 
 class _Reader(HTMLParser):
-    """Blocks of a page: for each its container path, and its text."""
+    """Blocks of a page: for each its container path, and its text in pieces with the doubtful elements around them."""
 
-    def __init__(self, by_class: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.by_class = by_class
-        self.stack: list[tuple[str, str | None, bool]] = []  # tag, label if a container, whether it is dropped
-        self.dropped = self.links = 0
-        self.parts: list[str] = []
-        self.linked = 0
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.stack: list[tuple[str, str | None, bool, bool]] = []  # tag, label if a container, dropped, in doubt
+        self.dropped = self.links = self.articles = 0
+        self.total = [0, 0]  # text outside links, that in articles
+        self.around: tuple[int, ...] = ()  # the open elements that classes would drop
+        self.doubtful: list[list[int]] = []  # of each such element: its text outside links, that in articles, and articles in it
+        self.outer: list[tuple[int, ...]] = []  # and those it stands in
+        self.parts: list[tuple[str, int, tuple[int, ...]]] = []
+        self.read: list[tuple[tuple[str, ...], list[tuple[str, int, tuple[int, ...]]]]] = []
 
     def _end_block(self):
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((tuple(x[1] for x in self.stack if x[1]), text, self.linked))
-            self.parts, self.linked = [], 0
+            self.read.append((tuple(x[1] for x in self.stack if x[1]), self.parts))
+            self.parts = []
 
     def _pop(self, upto: int):
-        for tag, _, dropped in self.stack[upto:]:
+        for tag, _, dropped, doubt in self.stack[upto:]:
             self.dropped -= dropped
+            self.articles -= tag in ("article", "main")
+            if doubt:
+                self.around = self.around[:-1]
             self.links -= tag == "a"
         del self.stack[upto:]
 
@@ -83,15 +90,23 @@ class _Reader(HTMLParser):
                     break
         if tag in VOID:
             return
-        own = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-        tokens = set(_TOKEN.split(own)) if own else set()
-        dropped = tag in DROPPED or self.by_class and tag not in ("html", "body", "article", "main") and bool(tokens & DROPPED_CLASSES)
+        dropped = tag in DROPPED
+        if tag in ("article", "main"):
+            for i in self.around:
+                self.doubtful[i][2] += 1
+        doubt = tag not in ("html", "body", "article", "main") and any(
+            name in DROPPED_CLASSES for k, v in attrs if v and k in ("class", "id", "role") for name in v.lower().split())
+        if doubt:
+            self.outer.append(self.around)
+            self.around += (len(self.doubtful),)
+            self.doubtful.append([0, 0, 0])
         label = None
         if tag in CONTAINERS:
             classes = " ".join(v for k, v in attrs if v and k == "class").lower()
             label = ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in classes.split())])
-        self.stack.append((tag, label, dropped))
+        self.stack.append((tag, label, dropped, doubt))
         self.dropped += dropped
+        self.articles += tag in ("article", "main")
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -108,24 +123,40 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((data, len(data) if self.links else 0, self.around))
+            if not self.links:
+                n = len(data.strip())
+                for counts in (self.total, *[self.doubtful[i] for i in self.around]):
+                    counts[0] += n
+                    counts[1] += n if self.articles else 0
 
     def close(self):
         super().close()
         self._end_block()
 
+    def blocks(self, without: set[int]) -> list[tuple[tuple[str, ...], str, int]]:
+        """The blocks that have text outside the elements of ``without``."""
+        found = []
+        for path, parts in self.read:
+            kept = [x for x in parts if without.isdisjoint(x[2])] if without else parts
+            text = " ".join("".join([x[0] for x in kept]).split())
+            if text:
+                found.append((path, text, sum(x[1] for x in kept)))
+        return found
+
 
 def read_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """``(container path, text, characters in links)`` of the blocks of a page, in page order."""
-    for by_class in (True, False):
-        reader = _Reader(by_class)
-        reader.feed(html or "")
-        reader.close()
-        if reader.blocks:
-            return reader.blocks
-    return []
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    scope = 1 if reader.total[1] else 0
+    total = reader.total[scope]
+    without = {i for i, x in enumerate(reader.doubtful) if not x[2] and 2 * x[scope] <= total}
+    # elements inside others that go are part of those
+    gone = sum(reader.doubtful[i][scope] for i in without if without.isdisjoint(reader.outer[i]))
+    blocks = reader.blocks(without) if 2 * gone <= total else []
+    return blocks or reader.blocks(set())
 
 
 def best_container(blocks) -> tuple[str, ...]:

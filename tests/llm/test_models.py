@@ -77,6 +77,29 @@ def test_main_text_of_one_page(html, text):
     assert mainhtml.below(blocks, mainhtml.best_container(blocks)) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    "class='layout has-sidebar'", "class='no-sidebar'", "class='comments-open'", "class='with-header'", "id='search-results'",
+    "class='banner'", "role='search'"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_wrappers_do_not_lose_the_article(wrapper, tag):
+    """Another line of the page must not become its whole text, whatever the wrapper is called."""
+    html = (f"<div {wrapper}><{tag}><p>The whole article, longer than all else.</p><div class='share'>Send on</div></{tag}></div>"
+            "<p>2024</p>")
+    blocks = mainhtml.read_blocks(html)
+    assert [x[1] for x in blocks] == ["The whole article, longer than all else.", "2024"]
+    short = f"<div {wrapper}><article><p>Short.</p></article></div><p>{'Imprint and terms of use. ' * 5}</p>"
+    assert "Short." in [x[1] for x in mainhtml.read_blocks(short)]
+
+
+def test_classes_that_remove_most_of_the_text_are_ignored():
+    parts = "".join(f"<div class='{c}'><p>A third of the text.</p></div>" for c in ("widget", "promo", "related"))
+    assert len(mainhtml.read_blocks(parts + "<p>2024</p>")) == 4
+    short = "<article><p>Short.</p></article><div class='ad'>An advertisement longer than that.</div>"
+    assert [x[1] for x in mainhtml.read_blocks(short)] == ["Short."]
+    html = "<p>An article that is the longest part of the page.<span class='ad'>Buy</span></p><div class='comments'>No</div>"
+    assert [x[1] for x in mainhtml.read_blocks(html)] == ["An article that is the longest part of the page."]
+
+
 def test_hosts_agree_on_a_path(spark):
     """One page's largest container is an odd one; its host's other pages decide."""
     usual = "<div class='story-{i}'><p>{a}</p><p>tail</p></div><div class='more'><p>{b}</p></div>"
