@@ -1,6 +1,7 @@
 """Sharding, mixing, decontamination and the pipeline."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -71,6 +72,23 @@ def test_written_shards(spark, awkward, tmp_path):
     assert back.groupBy("shard").count().count() == 3 and back.count() == awkward.count()
 
 
+def test_copies_spread_over_buckets(spark):
+    """A third of the rows is one row, another sixth one text without an id in rows that differ elsewhere."""
+    docs = spark.range(600).selectExpr(
+        "case when id < 300 then null else id end as doc_id", "case when id < 300 then 'the same text' else 'text ' || id end as text",
+        "case when id < 200 then 0 else id end as other", "map('k', case when id < 200 then 0 else id end) as m")
+
+    def ordered(frame):
+        rows = sharding.shard(frame, 5, bucket_bytes=400).collect()
+        return [(r["row"]["doc_id"], r["row"]["other"], r["row"]["m"]["k"]) for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    first = ordered(docs)
+    assert first == ordered(docs.repartition(7).orderBy("text"))
+    assert Counter(first) == Counter((r["doc_id"], r["other"], r["m"]["k"]) for r in docs.collect())
+    # a bucket holds about 20 rows; in one bucket the 300 would stand together
+    longest = max(len(list(run)) for _, run in itertools.groupby(first, key=lambda x: x[0] is None))
+    assert longest < 60
+
+
 def test_awkward_shards(awkward, nothing):
     rows = sharding.shard(awkward, 4).collect()
     assert sorted(Counter(r["shard"] for r in rows).values()) == [2, 3, 3, 3]
