@@ -10,7 +10,8 @@ all documents.
 
 A text is compared with all examples: in single precision first, the commonest terms by a
 matrix product and the others by posting lists. Those that may be among its k nearest, by a
-bound of the rounding error, are then compared in double precision: the k found are exact. A
+bound of the rounding error, are then compared in double precision: the k found are exact. The
+examples travel as compressed counts, and every Python worker makes its own index of them. A
 neighbour's vote grows with its cosine without much of a bound, so that a copy outweighs all
 others, and a monotone curve, fitted to votes on the sample with each example left out, turns
 votes into a rate of label 1.
@@ -23,7 +24,9 @@ and is all that is broadcast; everything else is counted over all rows.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -82,12 +85,14 @@ def held_out(id_col: str = "doc_id"):
 class Model:
     terms: dict[bytes, int] = field(default_factory=dict)
     gate: set[bytes] = field(default_factory=set)
+    spelled: bytes = b""
     words: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
@@ -97,6 +102,27 @@ class Model:
     prior: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, _STEPS + 1))
 
+    def __getstate__(self):
+        """What cannot be made again: terms, counts and what was learned of them."""
+        names = ("terms", "gate", "spelled", "idf", "ids", "toxic", "ends", "times", "prior", "curve")
+        return zlib.compress(pickle.dumps({n: getattr(self, n) for n in names} | {"at": np.diff(self.at, prepend=np.int32(0))}), 1)
+
+    def __setstate__(self, state):
+        vars(self).update(vars(Model()) | pickle.loads(zlib.decompress(state)))
+        self.at = np.cumsum(self.at, dtype=np.int32)
+        self.words = {w: len(self.terms) + i for i, w in enumerate(self.spelled.split())}
+        if len(self.at):
+            owner = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
+            w = (1 + np.log(self.times)) * self.idf[self.at]
+            telling = self.at < len(self.terms)
+            squares = [np.bincount(owner, w * w * mask, len(self.ids)) for mask in (telling, ~telling)]
+            both = (squares[0] > 0) & (squares[1] > 0)
+            for mask, square, share in zip((telling, ~telling), squares, (TELLING, 1 - TELLING)):
+                scale = np.sqrt(np.where(both, share, 1.0) / np.where(square > 0, square, 1.0))
+                w[mask] *= scale[owner[mask]]
+            self.weights = w
+            self._post(owner.astype(np.int32))
+
     def counts(self, text: str | None) -> dict[int, int]:
         """Occurrences of the model's terms, telling (``terms``) or not (``words``), in the whole text."""
         found: dict[int, int] = {}
@@ -133,13 +159,15 @@ class Model:
         self.ends = np.concatenate([[0], np.cumsum(lengths)])
         self.at = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         self.weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        self._post(np.repeat(np.arange(len(ids), dtype=np.int32), lengths))
+
+    def _post(self, owner: np.ndarray) -> None:
         size = len(self.idf)
         often = np.argsort(-np.bincount(self.at, minlength=size), kind="stable")[:COMMON]
         self.column = np.full(size, -1, np.int32)
         self.column[often] = np.arange(len(often))
         place = self.column[self.at]
-        self.common = np.zeros((len(often), len(ids)), np.float32)
+        self.common = np.zeros((len(often), len(self.ids)), np.float32)
         self.common[place[place >= 0], owner[place >= 0]] = self.weights[place >= 0]
         rare = np.nonzero(place < 0)[0]
         rare = rare[np.argsort(self.at[rare], kind="stable")]
@@ -279,12 +307,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     model.terms = {t: i for i, t in enumerate(telling_terms(sample, terms))}
     model.gate = {t[:4] for t in model.terms}
     seen = sample.select("text").mapInArrow(_vocabulary, "word binary").distinct().toArrow().column("word")
-    model.words = {w: len(model.terms) + i for i, w in enumerate(sorted(set(seen.to_pylist()) - model.terms.keys()))}
-    size = len(model.terms) + len(model.words)
-    bare = spark.sparkContext.broadcast(vars(model))
+    spelled = sorted(w for w in values(seen) if w not in model.terms)
+    size = len(model.terms) + len(spelled)
+    model.spelled = b" ".join(spelled)
+    del seen, spelled
+    bare = spark.sparkContext.broadcast(model)
 
     def frequencies(batches):
-        seen, total, bare_model = np.zeros(size + 1, np.int64), 0, Model(**bare.value)
+        seen, total, bare_model = np.zeros(size + 1, np.int64), 0, bare.value
         for batch in batches:
             for text in values(batch.column(0)):
                 counts = bare_model.counts(text)
@@ -303,9 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     model.idf = np.log((1 + df[size]) / (1 + df[:size])) + 1
 
     def vectors(batches):
-        bare_model = Model(**bare.value)
+        bare_model = bare.value
         for batch in batches:
-            counts = [bare_model.counts(t) for t in values(batch.column(1))]
+            counts = [dict(sorted(bare_model.counts(t).items())) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
                  pa.array([np.fromiter(c, np.int32, len(c)).tobytes() for c in counts], pa.binary()),
@@ -316,9 +346,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
                .mapInArrow(vectors, "doc_id bigint, toxic bigint, at binary, n binary"))
     bland = held.where(F.length("at") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     model.prior = bland["t"] / bland["n"] if bland["n"] else 0.0
+    bare.destroy()
     rows = held.where(F.length("at") > 0).toArrow().sort_by("doc_id")
-    model.index(rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(float),
-                [model.vector(_unpacked(at, n)) for at, n in zip(values(rows.column("at")), values(rows.column("n")))])
+    model.ids, model.toxic = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(float)
+    model.at, model.times = (np.frombuffer(b"".join(values(rows.column(c))), np.int32) for c in ("at", "n"))
+    model.ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in values(rows.column("at"))])]).astype(np.int64)
+    del rows
     _calibrate(model, held, bland)
     return model
 
@@ -329,10 +362,10 @@ def _unpacked(at: bytes, n: bytes) -> dict[int, int]:
 
 def _calibrate(model: Model, held: DataFrame, bland) -> None:
     """A monotone curve from votes to the rate of label 1, each example judged by the others."""
-    shared = held.sparkSession.sparkContext.broadcast(vars(model))
+    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def votes(batches):
-        m = Model(**shared.value)
+        m = shared.value
         for batch in batches:
             asked = [m.vector(_unpacked(at, n)) for at, n in zip(values(batch.column(2)), values(batch.column(3)))]
             leave = np.searchsorted(m.ids, batch.column(0).to_numpy()).tolist()
@@ -342,6 +375,7 @@ def _calibrate(model: Model, held: DataFrame, bland) -> None:
     steps = (held.where(F.length("at") > 0).repartition(held.sparkSession.sparkContext.defaultParallelism)
              .mapInArrow(votes, "step bigint, toxic bigint").groupBy("step")
              .agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect())
+    shared.destroy()
     n, t = np.zeros(_STEPS + 1), np.zeros(_STEPS + 1)
     for r in steps:
         n[r["step"]], t[r["step"]] = r["n"], r["t"]
@@ -363,10 +397,10 @@ def _calibrate(model: Model, held: DataFrame, bland) -> None:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence`` (ids of the examples that voted, nearest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(columns):
-        m, scores, proof = Model(**shared.value), [], []
+        m, scores, proof = shared.value, [], []
         asked = [m.vector(m.counts(text)) for text in values(columns[0])]
         for best, cosines in m.all_nearest(asked):
             scores.append(m.calibrated(m.vote(best, cosines)))
