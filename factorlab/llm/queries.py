@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, langid, linededup, mainhtml, mixing, sharding, simhash, topk, toxicity, urlfilter
+from factorlab.llm import alignment, decontaminate, langid, linededup, mainhtml, mixing, sharding, simhash, topk, toxicity, urlfilter
 from factorlab.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,11 @@ def op9_toxicity(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = alignment.score(alignment.align(docs, *alignment.tokenizers()))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                       F.col("groups").alias("groups_sha256"))
