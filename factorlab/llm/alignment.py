@@ -23,7 +23,6 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +105,7 @@ def tokenizers(folder: str = TOKENIZERS) -> tuple[ByteLevel, SentencePiece]:
 
 
 def _loaded(tokenizer):
-    """One instance for each Python worker."""
+    """One instance for each task."""
     key = (type(tokenizer).__name__, hashlib.sha1(tokenizer.data).digest())
     if key not in _LOADED:
         encode, spelled = tokenizer.load()
@@ -114,10 +113,11 @@ def _loaded(tokenizer):
     return _LOADED[key]
 
 
-@lru_cache(maxsize=4)
 def _names(count: int) -> np.ndarray:
     """Each id as decimal digits after each of the marks, by mark and id."""
-    return np.array([mark + str(i).encode() for mark in _MARKS for i in range(count)], dtype=object)
+    if count not in _LOADED:
+        _LOADED[count] = np.array([mark + str(i).encode() for mark in _MARKS for i in range(count)], dtype=object)
+    return _LOADED[count]
 
 
 def pieces_of(text: str, size: int = PIECE_CHARS) -> list[str]:
@@ -295,10 +295,10 @@ def align(docs: DataFrame, a, b, text_col: str = "text", spelled: bool = False)
     """Encode and align every text once; the result is a written table. ``spelled`` keeps the groups, else their SHA-256."""
     spark = docs.sparkSession
     deep, wide = len(b.load()[1]), len(a.load()[1])
-    shared = spark.sparkContext.broadcast((a, b))
+    kinds, shared = (type(a), type(b)), spark.sparkContext.broadcast((a.data, b.data))
 
     def aligned(columns: list[pa.Array]) -> list[pa.Array]:
-        return _Batch(*shared.value, spelled).run(columns[0])
+        return _Batch(*(kind(data) for kind, data in zip(kinds, shared.value)), spelled).run(columns[0])
 
     pair = "int" if wide * deep < 1 << 31 else "bigint"
     rows = add_columns(docs, [text_col], "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "

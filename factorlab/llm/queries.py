@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import alignment, decontaminate, langid, linededup, mainhtml, mixing, sharding, simhash, topk, toxicity, urlfilter
+from factorlab.llm import alignment, decontaminate, langid, linededup, mainhtml, mixing, personal, sharding, simhash, topk, toxicity, urlfilter, whitening
 from factorlab.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +224,26 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query()
+def op11_whitening(spark, sf_dir):
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    shares = F.lit(np.array(model.values / model.trace if len(model.values) else [], dtype=np.float64))
+    long = rows.select("vec_id", F.col("deviation").cast("bigint").alias("deviation"),
+                       F.posexplode("whitened").alias("at", "whitened"))
+    return long.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("bigint").alias("n"),
+                       "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"),
+                       F.lit(model.identity_error).alias("identity_error"))
+
+
+@query()
+def op12_personal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = personal.spans(docs, personal.fit(docs))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint) as n_{kind}") for kind in personal.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(personal.spelled("base"), 256).alias("base_sha256"),
+                       personal.spelled("spans").alias("spans"))
+
+
 @query()
 def op13_alignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
