@@ -68,10 +68,63 @@ def segment_grams(x, pick, weight, target, starts, ends):
 
 
 def ridge_solve(xtx: np.ndarray, xty: np.ndarray, lam: float) -> np.ndarray:
-    """Solve (XtX + lam I) w = Xty for a whole stack; lam is added once per system."""
+    """Solve (XtX + lam I) w = Xty for a whole stack; lam is added once per system.
+
+    The systems are symmetric and, if lam is positive, definite: one batched Cholesky solves
+    them. Systems that are singular up to rounding (no lam, and fewer or collinear
+    observations) get their least-squares solution of least norm, and only these.
+    """
     if not len(xtx):
         return np.zeros(xty.shape)
-    return np.linalg.solve(xtx + lam * np.eye(xtx.shape[-1]), xty[..., None])[..., 0]
+    return _definite_or_least_norm(xtx + lam * np.eye(xtx.shape[-1]), xty)
+
+
+def _definite_or_least_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        low = np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return _least_norm(a, b)
+        half = len(a) // 2  # a stack fails as a whole: halves find the systems that do
+        return np.concatenate([_definite_or_least_norm(a[:half], b[:half]), _definite_or_least_norm(a[half:], b[half:])])
+    pivots = np.diagonal(low, axis1=1, axis2=2) ** 2
+    sure = pivots.min(axis=1) > _singular(a.shape[-1]) * np.diagonal(a, axis1=1, axis2=2).max(axis=1)
+    out = _substituted(low, b)
+    if not sure.all():
+        out[~sure] = _least_norm(a[~sure], b[~sure])
+    return out
+
+
+def _singular(rank: int) -> float:
+    """What part of the largest diagonal entry or eigenvalue is rounding."""
+    return 16 * rank * np.finfo(float).eps
+
+
+def _substituted(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Forward and back substitution, all systems of the stack in step."""
+    y = np.empty(b.shape)
+    for j in range(b.shape[1]):
+        y[:, j] = (b[:, j] - np.einsum("nk,nk->n", low[:, j, :j], y[:, :j])) / low[:, j, j]
+    for j in reversed(range(b.shape[1])):
+        y[:, j] = (y[:, j] - np.einsum("nk,nk->n", low[:, j + 1:, j], y[:, j + 1:])) / low[:, j, j]
+    return y
+
+
+def _least_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(a)
+    real = values > _singular(a.shape[-1]) * np.abs(values).max(axis=1, keepdims=True)
+    parts = np.einsum("nij,ni->nj", vectors, b) * np.where(real, 1 / np.where(real, values, 1.0), 0.0)
+    return np.einsum("nij,nj->ni", vectors, parts)
+
+
+def explained(xtx: np.ndarray, xty: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``2 wT Xty - wT XtX w``: what a system's solution takes off its sum of squared targets."""
+    return 2 * np.einsum("ni,ni->n", w, xty) - np.einsum("ni,nij,nj->n", w, xtx, w)
+
+
+def _solved(tri: pa.Array, rhs: pa.Array, rank: int, lam: float):
+    full, right = unpack_symmetric(matrix_of(tri, rank * (rank + 1) // 2), rank), matrix_of(rhs, rank)
+    return full, right, ridge_solve(full, right, lam)
 
 
 def solve_packed(xtx: Column, xty: Column, rank: int, lam: float) -> Column:
@@ -79,7 +132,17 @@ def solve_packed(xtx: Column, xty: Column, rank: int, lam: float) -> Column:
 
     @F.arrow_udf("array<double>")
     def batch(tri: pa.Array, rhs: pa.Array) -> pa.Array:
-        full = unpack_symmetric(matrix_of(tri, rank * (rank + 1) // 2), rank)
-        return lists_of(ridge_solve(full, matrix_of(rhs, rank), lam))
+        return lists_of(_solved(tri, rhs, rank, lam)[2])
+
+    return batch(xtx, xty)
+
+
+def solve_explained(xtx: Column, xty: Column, rank: int, lam: float) -> Column:
+    """As :func:`solve_packed`, a struct of the solution ``x`` and what it explains, ``gain``."""
+
+    @F.arrow_udf("struct<x: array<double>, gain: double>")
+    def batch(tri: pa.Array, rhs: pa.Array) -> pa.Array:
+        full, right, w = _solved(tri, rhs, rank, lam)
+        return pa.StructArray.from_arrays([lists_of(w), pa.array(explained(full, right, w))], ["x", "gain"])
 
     return batch(xtx, xty)

@@ -1,19 +1,22 @@
 """Block layout: entities hashed to blocks, one vector message per (source, block).
 
 Relational form of the two link tables: ``out_links(src, blk)`` says which blocks need a
-source's vector, ``in_links(blk, src, dst, n, r)`` holds the ratings a block owns.
+source's vector, ``in_links(blk, src, dst, n, r)`` holds the ratings a block owns. Fits use
+``rating_table`` and ``send_table``, which come from one exchange of the ratings for each side:
+a pair of blocks exchanges one message, whose vectors are known by their places.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlab.functions.solve import lists_of, matrix_of, ridge_solve, segment_grams, slice_size
+from factorlab.functions.solve import explained, lists_of, matrix_of, ridge_solve, segment_grams, slice_size
 from factorlab.functions.vectors import pack_symmetric
 from factorlab.operators.positions import ordered_positions
+from factorlab.operators.skew import small
 
 
 def block_of(key: Column | str, blocks: int) -> Column:
@@ -69,108 +72,157 @@ def unblock(packed: DataFrame) -> DataFrame:
     return flat.select(F.col("e.ids").alias("id"), F.col("e.xs").alias("x"))
 
 
-# Ratings per packed row: a few MB, so that no row of the packed table is large.
-PACK_ROWS = 200_000
+# The sender of a message that carries the vector of one hot source: it comes after all blocks.
+LONE = (1 << 31) - 1
+# The sender of a vector that the receiving block owns.
+OWN = -1
+# Rows whose residuals are computed at once.
+SCORE_ROWS = 200_000
 
-PACKED_SCHEMA = ("owner int, src array<bigint>, dst array<bigint>, ends array<int>, split array<boolean>, "
-                 "pick array<int>, n array<double>, r array<double>")
+MESSAGE_SCHEMA = "to int, sender int, id bigint, x binary"
 
 
-def pack_links(key, block, owned):
-    """All ratings (src, dst, n, r, split) of one block as a few rows of arrays.
+def rating_table(obs: DataFrame, dst: str, src: str, blocks: int, partitions: int, hot: dict, few: dict) -> DataFrame:
+    """All ratings in the blocks that own their ``dst``, after one exchange; nothing moves them again.
 
-    ``dst`` are the block's entities, ``ends`` where their ratings end, ``pick`` the source of
-    each rating as a position in the block's ascending sources. The first row lists those.
+    Rows ``(blk, dst, src, to, lone, split, pick, n, r)``, partitioned by ``blk`` and in order of
+    ``dst`` and ``to`` within it. ``to`` is the block that holds the same rating in the other
+    side's table, so both tables know from their own rows which vectors a pair of blocks
+    exchanges. Ids that are hot on the ``dst`` side (``split``) lie in several blocks; sources
+    that are hot (``lone``) are sent by themselves. ``pick`` is the place of the source among
+    all vectors that the block receives: by sending block and id, the lone ones last by id.
     """
-    kinds = {"owner": pa.int32(), "src": pa.list_(pa.int64()), "dst": pa.list_(pa.int64()),
-             "ends": pa.list_(pa.int32()), "split": pa.list_(pa.bool_()), "pick": pa.list_(pa.int32()),
-             "n": pa.list_(pa.float64()), "r": pa.list_(pa.float64())}
-    if not owned.num_rows:
-        return pa.schema(list(kinds.items())).empty_table()
-    dst = owned["dst"].to_numpy()
-    order = np.argsort(dst, kind="stable")
-    dst = dst[order]
-    sources, pick = np.unique(owned["src"].to_numpy()[order], return_inverse=True)
-    n, r = owned["n"].to_numpy()[order], owned["r"].to_numpy()[order]
-    split = owned["split"].to_numpy()[order]
-    starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
-    ends = np.r_[starts[1:], len(dst)]
-    # A row takes whole entities, as many as reach PACK_ROWS ratings.
-    row_of = starts // PACK_ROWS
-    rows = []
-    for at in np.unique(row_of):
-        mine = row_of == at
-        lo, hi = starts[mine][0], ends[mine][-1]
-        rows.append({"owner": key[0].as_py(), "src": [] if rows else sources, "dst": dst[starts[mine]],
-                     "ends": (ends[mine] - lo).astype(np.int32), "split": split[starts[mine]],
-                     "pick": pick[lo:hi].astype(np.int32), "n": n[lo:hi], "r": r[lo:hi]})
-    return pa.table({name: pa.array([row[name] for row in rows], kind) for name, kind in kinds.items()})
-
-
-def _packed_rows(packed: pa.Table):
-    """(dst, starts, ends, split, pick, n, r) of every packed row."""
-    for at in range(packed.num_rows):
-        dst, ends, split, pick, n, r = (
-            packed[name][at].values.to_numpy(zero_copy_only=False)
-            for name in ("dst", "ends", "split", "pick", "n", "r"))
-        ends = ends.astype(np.int64)
-        yield dst, np.r_[0, ends[:-1]], ends, split, pick, n, r
-
-
-def _vectors_by_id(sent: pa.Table, rank: int):
-    ids = sent["id"].to_numpy()
-    order = np.argsort(ids)
-    return ids[order], matrix_of(sent["x"], rank)[order]
-
-
-def update_block(rank: int, lam: float, split: bool):
-    """The cogroup function of one block: messages + packed ratings -> new vectors.
-
-    With ``split``, entities flagged as pieces of a hot one come back as unsolved normal
-    equations instead, because their pieces have to be added up first. Entities are taken in
-    slices, so that their Gram matrices fit the stack budget whatever the rank is.
+    placed = obs.select("u", "i", "n", "r")
+    for side, by in ((dst, src), (src, dst)):
+        placed = _with_pieces(placed, side, by, hot[side], few[side])
+    flat = placed.select(
+        hashed_block(dst, f"_{dst}", blocks).alias("blk"), F.col(dst).alias("dst"), F.col(src).alias("src"),
+        hashed_block(src, f"_{src}", blocks).alias("to"), F.col(f"_hot_{src}").alias("lone"),
+        F.col(f"_hot_{dst}").alias("split"), "n", "r")
+    mine = flat.repartition(partitions, "blk")
+    sender = F.when(F.col("lone"), LONE).otherwise(F.col("to"))
+    arrival = Window.partitionBy("blk").orderBy(sender, "src")
+    return mine.withColumn("pick", F.dense_rank().over(arrival) - 1).sortWithinPartitions("blk", "dst", "to")
+
+
+def _with_pieces(df: DataFrame, key: str, by: str, hot: DataFrame | None, few: bool) -> DataFrame:
+    """Add the piece ``_key`` that a hash of ``by`` gives a row of a hot key (others: 0), and ``_hot_key``."""
+    if hot is None:
+        return df.withColumn(f"_{key}", F.lit(0)).withColumn(f"_hot_{key}", F.lit(False))
+    marks = small(hot.select(F.col("id").alias(key), F.col("pieces").alias("_pieces")), few)
+    piece = F.expr(f"cast(pmod(xxhash64({by}), coalesce(_pieces, 1)) as int)")
+    return (df.join(marks, key, "left").withColumn(f"_{key}", piece)
+            .withColumn(f"_hot_{key}", F.col("_pieces").isNotNull()).drop("_pieces"))
+
+
+def send_table(table: DataFrame) -> DataFrame:
+    """``(blk, to, ids)``: which of its own vectors a block sends to another, ascending; no exchange.
+
+    ``table`` is the rating table of the sending side.
     """
-    most = slice_size(rank)
-    lists = pa.list_(pa.float64())
-    names = ["x", "xtx", "xty"] if split else ["x"]
-    schema = pa.schema([("id", pa.int64()), *[(name, lists) for name in names]])
-
-    def step(key, sent: pa.Table, packed: pa.Table) -> pa.Table:
-        out = [schema.empty_table()]
-        _, x = _vectors_by_id(sent, rank)
-        for dst, starts, ends, piece, pick, n, r in _packed_rows(packed):
-            for lo in range(0, len(dst), most):
-                at = slice(lo, lo + most)
-                grams, rhs = segment_grams(x, pick, n, r, starts[at], ends[at])
-                ids, part = dst[at], piece[at]
-                whole = ~part
-                out.append(pa.table({"id": ids[whole], "x": lists_of(ridge_solve(grams[whole], rhs[whole], lam))}))
-                if split:
-                    out.append(pa.table({"id": ids[part], "xtx": lists_of(pack_symmetric(grams[part])),
-                                         "xty": lists_of(rhs[part])}))
-        return pa.concat_tables(out, promote_options="default").select(schema.names)
+    return (table.where("not split").groupBy("blk", "to").agg(F.sort_array(F.collect_set("dst")).alias("ids"))
+            .sortWithinPartitions("blk"))
+
+
+def _vectors(sent: pa.Table, rank: int) -> np.ndarray:
+    """All vectors of messages, in the order that ``pick`` counts."""
+    order = np.lexsort((sent["id"].to_numpy(), sent["sender"].to_numpy()))
+    parts = sent["x"].combine_chunks().take(pa.array(order)) if len(order) else []
+    data = b"".join(p.as_buffer() for p in parts)
+    return np.frombuffer(data).reshape(-1, rank)
+
+
+def binary_vectors(x: Column) -> Column:
+    """Vectors ``array<double>`` as bytes."""
+
+    @F.arrow_udf("binary")
+    def packed(lists: pa.Array) -> pa.Array:
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return pa.array([values[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+    return packed(x)
+
+
+def send_block(rank: int):
+    """The cogroup function of a sending block: its vectors ``(id, x)`` and its send table -> one message a receiver."""
+
+    def step(key, vectors: pa.Table, links: pa.Table) -> pa.Table:
+        ids = vectors["id"].to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], matrix_of(vectors["x"], rank)[order]
+        sent = [x[np.searchsorted(ids, wanted.values.to_numpy())].tobytes() for wanted in links["ids"]]
+        return pa.table({"to": links["to"], "sender": links["blk"], "id": pa.nulls(len(sent), pa.int64()).fill_null(0),
+                         "x": pa.array(sent, pa.binary())})
 
     return step
 
 
-def update_schema(split: bool) -> str:
-    return "id bigint, x array<double>" + (", xtx array<double>, xty array<double>" if split else "")
+def _entities(owned: pa.Table, piece: str | None = None):
+    """``(dst, starts, ends)`` of ratings that come in order of their ``dst``, and of its ``piece`` if there are any."""
+    dst = owned["dst"].to_numpy()
+    new = dst[1:] != dst[:-1]
+    if piece:
+        new = new | (np.diff(owned[piece].to_numpy()) != 0)
+    starts = np.flatnonzero(np.r_[True, new]) if len(dst) else np.zeros(0, np.int64)
+    return dst, starts, np.r_[starts[1:], len(dst)].astype(np.int64)
+
+
+def solve_entities(dst, starts, ends, split, pick, n, r, x, rank: int, lam: float):
+    """New vectors of consecutive runs of ratings as Arrow tables, in slices that bound the Gram matrices.
+
+    Rows ``(id, x, gain, xtx, xty)``: solved entities have ``x`` and ``gain``; pieces of split ones
+    their normal equations instead, which have to be added up first.
+    """
+    lists = pa.list_(pa.float64())
+    most = slice_size(rank)
+    for lo in range(0, len(starts), most):
+        at = slice(lo, lo + most)
+        grams, rhs = segment_grams(x, pick, n, r, starts[at], ends[at])
+        ids, part = dst[starts[at]], split[starts[at]]
+        whole = ~part
+        w = ridge_solve(grams[whole], rhs[whole], lam)
+        none = pa.nulls(int(whole.sum()), lists)
+        yield pa.table([pa.array(ids[whole]), lists_of(w), pa.array(explained(grams[whole], rhs[whole], w)), none, none], SOLVED)
+        if part.any():
+            count = int(part.sum())
+            yield pa.table([pa.array(ids[part]), pa.nulls(count, lists), pa.nulls(count, pa.float64()),
+                            lists_of(pack_symmetric(grams[part])), lists_of(rhs[part])], SOLVED)
+
+
+SOLVED = ["id", "x", "gain", "xtx", "xty"]
+SOLVED_SCHEMA = "id bigint, x array<double>, gain double, xtx array<double>, xty array<double>"
+_LISTS = pa.list_(pa.float64())
+_EMPTY = pa.schema([("id", pa.int64()), ("x", _LISTS), ("gain", pa.float64()), ("xtx", _LISTS), ("xty", _LISTS)]).empty_table()
+
+
+def update_block(rank: int, lam: float):
+    """The cogroup function of one block: messages + its ratings -> new vectors, as :func:`solve_entities`."""
+
+    def step(key, sent: pa.Table, owned: pa.Table) -> pa.Table:
+        if not owned.num_rows:
+            return _EMPTY
+        dst, starts, ends = _entities(owned)
+        pick, n, r = (owned[c].to_numpy() for c in ("pick", "n", "r"))
+        split = owned["split"].to_numpy()
+        return pa.concat_tables([_EMPTY, *solve_entities(dst, starts, ends, split, pick, n, r, _vectors(sent, rank), rank, lam)])
+
+    return step
 
 
 def score_block(rank: int):
-    """The cogroup function for the training error: both sides' vectors arrive as messages."""
-
-    def step(key, sent: pa.Table, packed: pa.Table) -> pa.Table:
-        total = 0.0
-        own = sent["own"].to_numpy()
-        _, x = _vectors_by_id(sent.filter(pa.array(~own)), rank)
-        ids, v = _vectors_by_id(sent.filter(pa.array(own)), rank)
-        for dst, starts, ends, _, pick, n, r in _packed_rows(packed):
-            at = np.repeat(np.searchsorted(ids, dst), ends - starts)
-            for lo in range(0, len(pick), PACK_ROWS):
-                part = slice(lo, lo + PACK_ROWS)
-                gap = np.einsum("ij,ij->i", x[pick[part]], v[at[part]]) - r[part]
-                total += float(n[part] @ (gap * gap))
+    """The cogroup function for the training error: messages and the block's own vectors arrive together."""
+
+    def step(key, sent: pa.Table, owned: pa.Table) -> pa.Table:
+        total, own = 0.0, sent["sender"].to_numpy() == OWN
+        x, mine = _vectors(sent.filter(pa.array(~own)), rank), sent.filter(pa.array(own))
+        ids, w = np.sort(mine["id"].to_numpy()), _vectors(mine, rank)
+        at = np.searchsorted(ids, owned["dst"].to_numpy())
+        pick, n, r = (owned[c].to_numpy() for c in ("pick", "n", "r"))
+        for lo in range(0, len(pick), SCORE_ROWS):
+            part = slice(lo, lo + SCORE_ROWS)
+            gap = np.einsum("ij,ij->i", x[pick[part]], w[at[part]]) - r[part]
+            total += float(n[part] @ (gap * gap))
         return pa.table({"sse": [total]})
 
     return step

@@ -98,9 +98,25 @@ def _slices(groups: int, rank: int) -> list[slice]:
     return [slice(at, at + size) for at in range(0, groups, size)]
 
 
-def combine(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyProfile) -> DataFrame:
-    """Sums by key; the physical form depends on the rank only, the result does not."""
-    return by_columns(rows, key, rank) if rank <= MAX_COLUMN_RANK else gather(rows, key, rank, spread_by, profile)
+def combining(rank: int, profile: KeyProfile, partitions: int) -> str:
+    """How sums by key are best combined before the shuffle: ``columns``, ``fold``, or not at all (``gather``).
+
+    Up to MAX_COLUMN_RANK a row of sums is as cheap as a vector. Above, a partial sum is about
+    k/2 vectors long, so folding pays if the rows that a task sums for a key are more than that.
+    """
+    if rank <= MAX_COLUMN_RANK:
+        return "columns"
+    chunk = min(profile.rows / max(partitions, 1), _FOLD_ROWS)
+    keys = profile.keys * -np.expm1(-chunk / profile.keys) if profile.keys else 0  # that a chunk may see, if evenly dealt
+    return "fold" if keys and chunk / keys > (rank + 3) / 2 else "gather"
+
+
+def combine(rows: DataFrame, key: str, rank: int, spread_by: str, profile: KeyProfile, form: str | None = None) -> DataFrame:
+    """Sums by key; the physical form changes the cost, the result does not."""
+    form = form or combining(rank, profile, rows.sparkSession.sparkContext.defaultParallelism)
+    if form == "gather":
+        return gather(rows, key, rank, spread_by, profile)
+    return by_columns(rows, key, rank) if form == "columns" else by_arrow_fold(rows.sortWithinPartitions(key), key, rank)
 
 
 def long_keys(profile: KeyProfile) -> tuple[DataFrame | None, bool]:

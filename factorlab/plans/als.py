@@ -9,17 +9,20 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.functions.seeding import initial_vector
-from factorlab.functions.solve import solve_packed
+from factorlab.functions.solve import matrix_of, solve_explained, solve_packed
 from factorlab.operators import blocks as B
 from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
 from factorlab.operators import ratings as R
 from factorlab.operators import skew as S
+from factorlab.plans.cost import estimate
 from factorlab.session import cut, shuffle_partitions
 
 STRATEGIES = ("auto", "join", "gather", "blocked", "broadcast")
@@ -27,8 +30,10 @@ OTHER = {"u": "i", "i": "u"}
 # What a block may take in its Python worker on average: ratings, and up to a vector in and
 # a vector out for each of them.
 BLOCK_BYTES = 128 << 20
-# Compressed ratings per partition of a cached layout, at least and at most.
+# Merged ratings per partition of a cached layout, at least and at most.
 MIN_PARTITION_ROWS, MAX_PARTITION_ROWS = 50_000, 8_000_000
+# Ratings that the broadcast plan reads before it solves the entities that are complete.
+CHUNK_ROWS = 200_000
 
 
 def rows_per_block(rank: int) -> int:
@@ -36,6 +41,62 @@ def rows_per_block(rank: int) -> int:
     return max(1000, BLOCK_BYTES // (24 + 16 * rank))
 
 
+@dataclass
+class Prepared:
+    """Ratings read, merged, profiled and, on first use, laid out once, for any number of fits.
+
+    ``rank`` is the highest that a fit may have: blocks and hot keys are sized for it. Layouts
+    do not depend on lam, iterations, starts or smaller ranks, and fits share them.
+    """
+
+    obs: DataFrame  # (u, i, n, r, ss)
+    rank: int
+    partitions: int
+    blocks: int
+    profiles: dict
+    rows: int
+    nnz: int
+    within: float  # what copies of a pair differ from their mean, squared
+    squares: float  # of all ratings, less ``within``
+    layouts: dict = field(default_factory=dict, repr=False)
+    kept: list = field(default_factory=list, repr=False)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Cache a layout now: only a built cache tells Catalyst how it is partitioned and sorted."""
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        df.count()
+        return df
+
+    def layout(self, name: str, make):
+        """The layout ``name``, made on first use."""
+        if name not in self.layouts:
+            self.layouts[name] = make()
+        return self.layouts[name]
+
+    def hot(self) -> tuple[dict, dict]:
+        return ({side: p.hot for side, p in self.profiles.items()}, {side: p.few for side, p in self.profiles.items()})
+
+    def unpersist(self) -> None:
+        for df in (*self.kept, self.obs):
+            df.unpersist()
+        self.kept, self.layouts = [], {}
+
+
+def prepare(ratings: DataFrame, rank: int = 10, *, partitions: int | None = None, blocks: int | None = None,
+            hot_rows: int | None = None) -> Prepared:
+    """Read ``ratings`` once; copies are merged in the tasks that read them, nothing is shuffled but ids."""
+    obs = R.merge_copies(R.check_columns(ratings)).persist(StorageLevel.MEMORY_AND_DISK)
+    total = obs.agg(F.count("*").alias("rows"), F.expr("cast(coalesce(sum(n), 0) as bigint)").alias("nnz"),
+                    F.expr("coalesce(sum(ss), 0D)").alias("within"), F.expr("coalesce(sum(n * r * r), 0D)").alias("squares")).first()
+    rows = total["rows"]
+    partitions = partitions or fitting_partitions(ratings.sparkSession, rows)
+    most = hot_rows or rows_per_block(rank) // 4
+    limit = S.hot_limit(obs, rank, partitions)
+    profiles = {side: S.profile(obs, side, limit, most, rank) for side in ("u", "i")}
+    blocks = blocks or max(4 * partitions, -(-rows // rows_per_block(rank)))
+    return Prepared(obs, rank, partitions, blocks, profiles, rows, total["nnz"], total["within"], total["squares"])
+
+
 @dataclass
 class AlsResult:
     """``strategy`` names the plan that ran, side by side if the sides differ."""
@@ -46,11 +107,15 @@ class AlsResult:
     strategy: str
     rank: int
     lam: float
-    observations: DataFrame
-    profiles: dict = field(repr=False)
+    prepared: Prepared = field(repr=False)
     plan: _Plan = field(repr=False)
+    owned: bool = field(default=True, repr=False)  # whether the prepared ratings were made for this fit
     step_seconds: list[float] = field(default_factory=list, repr=False)  # of each half-step
 
+    @property
+    def profiles(self) -> dict:
+        return self.prepared.profiles
+
     def predict(self, ratings: DataFrame) -> DataFrame:
         return M.predict(self.u_factors, self.i_factors, ratings, self.rank)
 
@@ -70,38 +135,29 @@ class AlsResult:
         return M.train_loss(self.sse(), self.reg_cost())
 
     def unpersist(self) -> None:
-        """Drop the cached ratings. The factors are checkpointed and stay."""
-        self.plan.close()
-        self.observations.unpersist()
+        """Drop the cached ratings, unless other fits share them. The factors are checkpointed and stay."""
+        if self.owned:
+            self.prepared.unpersist()
 
 
 class _Plan:
-    """Shared state of a fit; subclasses know how to update one side from the other."""
+    """One way to update one side from the other; subclasses differ in what they move."""
 
     name = ""
 
-    def __init__(self, obs: DataFrame, profiles: dict, rank: int, lam: float, partitions: int):
-        self.obs, self.profiles, self.rank, self.lam = obs, profiles, rank, lam
-        self.partitions = partitions
-        totals = obs.agg(F.expr("cast(coalesce(sum(n), 0) as bigint)"), F.expr("coalesce(sum(ss), 0D)")).first()
-        self.nnz, self.within = totals[0], totals[1]
-        self.cached: list[DataFrame] = []
+    def __init__(self, data: Prepared, rank: int, lam: float):
+        self.data, self.rank, self.lam = data, rank, lam
+        self.obs, self.profiles, self.partitions = data.obs, data.profiles, data.partitions
+        self.ran: dict[str, str] = {}
         self.held: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, build: bool = True) -> DataFrame:
-        """Cache a layout now: only a built cache tells Catalyst how it is partitioned and sorted."""
-        self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        if build:
-            df.count()
-        return df
-
     def hold(self, df: DataFrame) -> DataFrame:
         """Cache for the current half-step only."""
         self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
     def step(self, side: str, factors: DataFrame) -> DataFrame:
-        """One materialized half-step."""
+        """One materialized half-step: ``(id, x, gain)``."""
         done = cut(self.update(side, factors))
         while self.held:
             self.held.pop().unpersist()
@@ -110,21 +166,38 @@ class _Plan:
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def error(self, done: DataFrame) -> DataFrame:
+        """The training error after a half-step, from its normal equations alone: one row ``sse``.
+
+        For an entity with solution w, sum r^2 - 2 wT Xty + wT XtX w. The half-step has summed all
+        of it, so no rating is read again. It is a difference of sums: its absolute error is about
+        rank * 1e-16 * sum r^2, so a relative one of 1e-9 as long as a fit leaves a millionth of
+        the squares. Below zero it is zero.
+        """
+        gain = F.coalesce(F.sum("gain"), F.lit(0.0))
+        return done.agg((F.greatest(F.lit(0.0), F.lit(self.data.squares) - gain) + F.lit(self.data.within)).alias("sse"))
+
     def sse(self, factors: dict) -> DataFrame:
-        """One row (nnz, sse) over the training data."""
+        """One row (nnz, sse) over the training data, rating by rating."""
         return M.sse_compressed(factors["u"], factors["i"], self.obs, self.rank, self.profiles)
 
     def label(self) -> str:
-        """What ran: the name of the plan."""
-        return self.name
-
-    def close(self) -> None:
-        for df in self.cached:
-            df.unpersist()
+        """What ran: the name of the plan, or of each side's if they differ."""
+        names = set(self.ran.values()) or {self.name}
+        return names.pop() if len(names) == 1 else " ".join(f"{side}:{self.ran[side]}" for side in ("u", "i"))
 
     def solved(self, normal: DataFrame, key: str) -> DataFrame:
-        x = solve_packed(F.col("xtx"), F.col("xty"), self.rank, self.lam)
-        return normal.select(F.col(key).alias("id"), x.alias("x"))
+        x = solve_explained(F.col("xtx"), F.col("xty"), self.rank, self.lam)
+        return normal.select(F.col(key).alias("id"), x.alias("w")).select("id", "w.x", "w.gain")
+
+    def added_up(self, updated: DataFrame, split: bool) -> DataFrame:
+        """Solved entities as they are; the pieces of split ones are added up and solved."""
+        if not split:
+            return updated.select("id", "x", "gain")
+        # Both branches read the results, so these are held for the length of the step.
+        updated = self.hold(updated)
+        summed = N.sum_arrays(updated.where("x is null"), "id", self.rank)
+        return updated.where("x is not null").select("id", "x", "gain").unionByName(self.solved(summed, "id"))
 
 
 class JoinPlan(_Plan):
@@ -132,30 +205,31 @@ class JoinPlan(_Plan):
 
     name = "join"
 
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.by_source = {}
-        for src in ("u", "i"):
-            hot = self.profiles[src].hot
+    def placed(self, src: str):
+        """(rows, keys): the ratings by their source, hot ones in pieces."""
+        def make():
+            hot, few = self.profiles[src].hot, self.profiles[src].few
             keys = [src] if hot is None else [src, "piece"]
-            placed = S.with_piece(self.obs.select("u", "i", "n", "r"), src, OTHER[src], hot, few=self.profiles[src].few)
+            rows = S.with_piece(self.obs.select("u", "i", "n", "r"), src, OTHER[src], hot, few=few)
             if hot is None:
-                placed = placed.drop("piece")
-            self.by_source[src] = (
-                self.keep(placed.repartition(self.partitions, *keys).sortWithinPartitions(*keys)), keys, hot)
+                rows = rows.drop("piece")
+            return self.data.keep(rows.repartition(self.partitions, *keys).sortWithinPartitions(*keys)), keys
+        return self.data.layout(f"by {src}", make)
 
     def attached(self, side: str, factors: DataFrame) -> DataFrame:
         """Rows (side, n, r, x): each rating with the vector of its other side."""
         src = OTHER[side]
-        placed, keys, hot = self.by_source[src]
-        vectors = factors.withColumnRenamed("id", src)
-        if hot is not None:
-            vectors = S.spread(vectors, src, hot, few=self.profiles[src].few)
-        return placed.join(vectors, keys).select("u", "i", "n", "r", "x")
+        rows, keys = self.placed(src)
+        vectors = factors.select(F.col("id").alias(src), "x")
+        if self.profiles[src].hot is not None:
+            vectors = S.spread(vectors, src, self.profiles[src].hot, few=self.profiles[src].few)
+        return rows.join(vectors, keys).select("u", "i", "n", "r", "x")
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
-        rows = self.attached(side, factors)
-        return self.solved(N.combine(rows, side, self.rank, OTHER[side], self.profiles[side]), side)
+        rows, profile = self.attached(side, factors), self.profiles[side]
+        form = N.combining(self.rank, profile, self.partitions)
+        self.ran[side] = "join" if form != "gather" else "gather"
+        return self.solved(N.combine(rows, side, self.rank, OTHER[side], profile, form), side)
 
 
 class GatherPlan(JoinPlan):
@@ -169,112 +243,153 @@ class GatherPlan(JoinPlan):
 
 
 class BroadcastPlan(_Plan):
-    """The other side's factor table goes to every executor, if its checked size allows.
+    """The other side's factors go to every task as one array; the ratings never move.
 
-    Beyond the limit the same half-step runs as a shuffled join, so the result is the same;
-    the label says so.
+    They are laid out once by the side that is solved, each with the place of its source in that
+    array, so a half-step reads them in order, sums and solves in place: it has no exchange
+    but that of the normal equations of split entities. Only factors of a checked size are sent;
+    beyond the limit the same half-step runs as a shuffled join, and the label says so.
     """
 
     name = "broadcast"
 
-    def __init__(self, *args, limit_bytes: int = S.BROADCAST_BYTES):
-        super().__init__(*args)
+    def __init__(self, data: Prepared, rank: int, lam: float, limit_bytes: int = S.BROADCAST_BYTES):
+        super().__init__(data, rank, lam)
         self.limit_bytes = limit_bytes
-        self.fallback = None
+        self.fallback = JoinPlan(data, rank, lam)
 
     def fits(self, src: str) -> bool:
         return self.profiles[src].keys * (8 * self.rank + 48) <= self.limit_bytes
 
-    def label(self) -> str:
-        ran = {side: "broadcast" if self.fits(OTHER[side]) else "join" for side in ("u", "i")}
-        return ran["u"] if ran["u"] == ran["i"] else f"u:{ran['u']} i:{ran['i']}"
+    def ids(self, side: str) -> np.ndarray:
+        """All ids of a side whose factors fit, ascending."""
+        return self.data.layout(f"ids {side}", lambda: np.sort(
+            self.profiles[side].ids.select("id").toArrow().column("id").to_numpy()))
+
+    def placed(self, dst: str) -> DataFrame:
+        """Rows (dst, split, pick, n, r) in order of ``dst``, each entity or piece in one partition."""
+        src, hot, few = OTHER[dst], self.profiles[dst].hot, self.profiles[dst].few
+
+        def make():
+            known = self.obs.sparkSession.sparkContext.broadcast(self.ids(src))
+
+            def picked(batches):
+                for batch in batches:
+                    at = np.searchsorted(known.value, batch.column(0).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns[1:]], names)
+
+            rows = B._with_pieces(self.obs.select("u", "i", "n", "r"), dst, src, hot, few)
+            names = ["pick", "dst", "piece", "split", "n", "r"]
+            rows = rows.select(src, F.col(dst).alias("dst"), F.col(f"_{dst}").alias("piece"), F.col(f"_hot_{dst}").alias("split"), "n", "r")
+            rows = rows.mapInArrow(picked, "pick int, dst bigint, piece int, split boolean, n double, r double")
+            return self.data.keep(rows.repartition(self.partitions, "dst", "piece").sortWithinPartitions("dst", "piece"))
+        return self.data.layout(f"for {dst}", make)
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
         src = OTHER[side]
         if not self.fits(src):
-            if self.fallback is None:
-                self.fallback = JoinPlan(self.obs, self.profiles, self.rank, self.lam, self.partitions)
-            return self.fallback.update(side, factors)
-        vectors = F.broadcast(factors.withColumnRenamed("id", src))
-        rows = self.obs.select("u", "i", "n", "r").join(vectors, src)
-        return self.solved(N.combine(rows, side, self.rank, src, self.profiles[side]), side)
-
-    def close(self) -> None:
-        super().close()
-        if self.fallback is not None:
-            self.fallback.close()
+            done = self.fallback.update(side, factors)
+            self.ran[side] = self.fallback.ran[side]
+            return done
+        self.ran[side] = self.name
+        rank, lam = self.rank, self.lam
+        table = factors.select("id", "x").toArrow()
+        order = np.argsort(table["id"].to_numpy())
+        sent = factors.sparkSession.sparkContext.broadcast(matrix_of(table["x"], rank)[order])
+
+        def solve(rows: pa.Table):
+            """The entities of complete runs of rows."""
+            dst, starts, ends = B._entities(rows, "piece")
+            split = rows["split"].to_numpy()
+            pick, n, r = (rows[c].to_numpy() for c in ("pick", "n", "r"))
+            for made in B.solve_entities(dst, starts, ends, split, pick, n, r, sent.value, rank, lam):
+                yield from made.to_batches()
+
+        def run(batches):
+            held, count = [], 0
+            for batch in batches:
+                held.append(batch)
+                count += batch.num_rows
+                if count >= CHUNK_ROWS:
+                    rows = pa.Table.from_batches(held)
+                    _, starts, _ = B._entities(rows, "piece")
+                    whole = int(starts[-1])  # the last one may go on
+                    yield from solve(rows.slice(0, whole))
+                    held = rows.slice(whole).combine_chunks().to_batches()
+                    count = rows.num_rows - whole
+                    if not whole:
+                        count = 0  # an entity of more rows than a chunk: read on
+            if held:
+                yield from solve(pa.Table.from_batches(held))
+
+        updated = self.placed(side).mapInArrow(run, B.SOLVED_SCHEMA)
+        return self.added_up(updated, self.profiles[side].hot is not None)
 
 
 class BlockedPlan(_Plan):
     """Ratings stay with the block that owns their destination; only vectors move.
 
-    A vector is sent once per block that needs it. Hot destinations are split into pieces
-    that live in different blocks and are summed before the solve; hot sources cost at most
+    Both link tables of a side come from one exchange of its ratings. A pair of blocks exchanges
+    one message, with every vector that is needed there once. Hot destinations are split into
+    pieces that live in different blocks and are summed before the solve; hot sources cost at most
     one message per block.
     """
 
     name = "blocked"
 
-    def __init__(self, *args, blocks: int | None = None):
-        super().__init__(*args)
-        rows = self.profiles["u"].rows
-        self.blocks = blocks or max(4 * self.partitions, -(-rows // rows_per_block(self.rank)))
-        self.sides = {dst: self._layout(dst) for dst in ("i", "u")}
-        # The packed copies replace the observations from here on.
-        self.obs.unpersist()
-
-    def _layout(self, dst: str):
-        """(packed, links, hot) of one destination side; ratings never move again after this."""
-        src, hot = OTHER[dst], self.profiles[dst].hot
-        few = self.profiles[dst].few
-        placed = S.with_piece(self.obs.select("u", "i", "n", "r"), dst, src, hot, few=few)
-        if hot is None:
-            placed = placed.withColumn("split", F.lit(False))
-        else:
-            marks = S.small(hot.select(F.col("id").alias(dst), F.lit(True).alias("split")), few)
-            placed = placed.join(marks, dst, "left").fillna(False, ["split"])
-        flat = placed.select(B.hashed_block(dst, "piece", self.blocks).alias("blk"),
-                             F.col(src).alias("src"), F.col(dst).alias("dst"), "n", "r", "split")
-        # Grouping next to the list of blocks streams a group into Python about twice as fast
-        # as a plain grouped map, which measures its batch after every row.
-        listed = self.obs.sparkSession.range(self.blocks).selectExpr("cast(id as int) as block")
-        packed = listed.groupBy("block").cogroup(
-            flat.repartition(self.partitions, "blk").groupBy("blk")).applyInArrow(B.pack_links, B.PACKED_SCHEMA)
-        packed = self.keep(packed.repartition(self.partitions, "owner").sortWithinPartitions("owner"), build=False)
-        # Building the links reads, and so builds, every partition of the packed ratings.
-        links = self.keep(packed.select(F.col("owner").alias("blk"), F.explode("src").alias("src"))
-                          .repartition(self.partitions, "src").sortWithinPartitions("src"))
-        return packed, links, hot
+    def tables(self, dst: str) -> tuple[DataFrame, DataFrame]:
+        """(ratings by the blocks of ``dst``, what these blocks send when the other side is updated)."""
+        def make():
+            hot, few = self.data.hot()
+            made = B.rating_table(self.obs, dst, OTHER[dst], self.data.blocks, self.partitions, hot, few)
+            rows = self.data.keep(made.drop("src"))
+            return rows, self.data.keep(B.send_table(rows))
+        return self.data.layout(f"blocks of {dst}", make)
+
+    def lone(self, src: str) -> DataFrame:
+        """(id, to): the blocks that need the vector of a hot source."""
+        def make():
+            hot, few = self.data.hot()
+            dst = OTHER[src]
+            marks = S.small(hot[src].select(F.col("id").alias(src)), few[src])
+            placed = B._with_pieces(self.obs.select("u", "i").join(marks, src, "left_semi"), dst, src, hot[dst], few[dst])
+            block = B.hashed_block(dst, f"_{dst}", self.data.blocks)
+            return self.data.keep(placed.select(F.col(src).alias("id"), block.alias("to")).distinct())
+        return self.data.layout(f"lone {src}", make)
 
     def messages(self, side: str, factors: DataFrame) -> DataFrame:
-        vectors = factors.select(F.col("id").alias("src"), "x")
-        return self.sides[side][1].join(vectors, "src").select(
-            F.col("blk").alias("to"), F.col("src").alias("id"), "x")
+        """One message from each block of the other side to each block of ``side`` that needs any of its vectors.
 
-    def owned(self, side: str) -> DataFrame:
-        return self.sides[side][0].drop("src")
+        Hot sources have their own.
+        """
+        src = OTHER[side]
+        links = self.tables(src)[1]
+        block = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(self.data.blocks)).cast("int")
+        vectors = factors.select(block.alias("blk"), "id", "x")
+        sent = vectors.groupBy("blk").cogroup(links.groupBy("blk")).applyInArrow(B.send_block(self.rank), B.MESSAGE_SCHEMA)
+        if self.profiles[src].hot is None:
+            return sent
+        alone = factors.select("id", "x").join(self.lone(src), "id").select(
+            "to", F.lit(B.LONE).alias("sender"), "id", B.binary_vectors(F.col("x")).alias("x"))
+        return sent.unionByName(alone)
 
     def update(self, side: str, factors: DataFrame) -> DataFrame:
-        hot = self.sides[side][2]
-        split = hot is not None
         updated = self.messages(side, factors).groupBy("to").cogroup(
-            self.owned(side).groupBy("owner")).applyInArrow(
-            B.update_block(self.rank, self.lam, split), B.update_schema(split))
-        if not split:
-            return updated
-        # Both branches read the block results, so these are held for the length of the step.
-        updated = self.hold(updated)
-        summed = N.sum_arrays(updated.filter("x is null"), "id", self.rank)
-        return updated.filter("x is not null").select("id", "x").unionByName(self.solved(summed, "id"))
+            self.tables(side)[0].groupBy("blk")).applyInArrow(B.update_block(self.rank, self.lam), B.SOLVED_SCHEMA)
+        return self.added_up(updated, self.profiles[side].hot is not None)
 
     def sse(self, factors: dict) -> DataFrame:
         """Training error in place: vectors of both sides travel to the ratings."""
-        sent = self.messages("i", factors["u"]).withColumn("own", F.lit(False))
-        mine = S.spread(factors["i"], "id", self.sides["i"][2], few=self.profiles["i"].few)
-        mine = mine.select(B.hashed_block("id", "piece", self.blocks).alias("to"), "id", "x", F.lit(True).alias("own"))
-        gaps = sent.unionByName(mine).groupBy("to").cogroup(self.owned("i").groupBy("owner")).applyInArrow(
-            B.score_block(self.rank), "sse double")
-        return gaps.agg(F.lit(self.nnz).alias("nnz"), (F.coalesce(F.sum("sse"), F.lit(0.0)) + self.within).alias("sse"))
+        profile = self.profiles["i"]
+        mine = S.spread(factors["i"].select("id", "x"), "id", profile.hot, few=profile.few)
+        mine = mine.withColumn("to", B.hashed_block("id", "piece", self.data.blocks))
+        if profile.hot is not None:
+            mine = mine.dropDuplicates(["to", "id"])  # two pieces may share a block
+        mine = mine.select("to", F.lit(B.OWN).alias("sender"), "id", B.binary_vectors(F.col("x")).alias("x"))
+        gaps = self.messages("i", factors["u"]).unionByName(mine).groupBy("to").cogroup(
+            self.tables("i")[0].groupBy("blk")).applyInArrow(B.score_block(self.rank), "sse double")
+        return gaps.agg(F.lit(self.data.nnz).cast("bigint").alias("nnz"),
+                        (F.coalesce(F.sum("sse"), F.lit(0.0)) + F.lit(self.data.within)).alias("sse"))
 
 
 # A step between the seeds of different starts: odd, so that seeds do not meet shifted ids soon.
@@ -298,9 +413,12 @@ def _start(profile: S.KeyProfile, rank: int, side: str, given: DataFrame | None,
     return used
 
 
-def choose_strategy(rank: int) -> str:
-    """Blocks move k doubles per message where combined sums move k(k+3)/2 per group."""
-    return "blocked" if rank > 2 else "join"
+def choose_strategy(data: Prepared, rank: int, broadcast_bytes: int = S.BROADCAST_BYTES) -> str:
+    """The strategy whose half-steps cost least by :mod:`factorlab.plans.cost`."""
+    keys = {side: p.keys for side, p in data.profiles.items()}
+    cores = data.obs.sparkSession.sparkContext.defaultParallelism
+    seconds = estimate(data.rows, keys["u"], keys["i"], rank, data.partitions, data.blocks, cores, broadcast_bytes)
+    return min(seconds, key=seconds.get)
 
 
 def fitting_partitions(spark, rows: int) -> int:
@@ -308,54 +426,51 @@ def fitting_partitions(spark, rows: int) -> int:
     return max(1, min(shuffle_partitions(spark), rows // MIN_PARTITION_ROWS + 1), rows // MAX_PARTITION_ROWS)
 
 
-def als_fit(ratings: DataFrame, rank: int = 10, lam: float = 0.01, iters: int = 10,
+def als_fit(ratings: DataFrame | Prepared, rank: int = 10, lam: float = 0.01, iters: int = 10,
             strategy: str = "auto", *, first: str = "i", trace: bool = False,
             blocks: int | None = None, partitions: int | None = None,
             init: dict[str, DataFrame] | None = None, seed: int = 0, hot_rows: int | None = None,
             broadcast_bytes: int = S.BROADCAST_BYTES) -> AlsResult:
     """Fit ``r ~ x_u . x_i``.
 
-    ``first`` is the side updated first in each iteration; the start vectors of the other
-    side therefore decide the result. Other values of ``seed`` give other starts. ``trace``
-    adds one row (iter, half, sse) per half-step. ``hot_rows`` is the number of ratings above
-    which an id is split; by default it follows from the partitions and blocks, and it changes
-    the plan only, never the result.
+    ``ratings`` may have been prepared for several fits (:func:`prepare`). ``first`` is the side
+    updated first in each iteration; the start vectors of the other side therefore decide the
+    result. Other values of ``seed`` give other starts. ``trace`` adds one row (iter, half, sse)
+    per half-step. ``hot_rows`` is the number of ratings above which an id is split; by default it
+    follows from the partitions and blocks, and it changes the plan only, never the result.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if rank < 1 or iters < 0 or first not in OTHER:
         raise ValueError("rank >= 1, iters >= 0 and first in ('u', 'i') are required")
-    spark = ratings.sparkSession
-    strategy = choose_strategy(rank) if strategy == "auto" else strategy
-
-    obs = R.compress(R.check_columns(ratings)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = obs.count()
-    partitions = partitions or fitting_partitions(spark, rows)
-    most = hot_rows or (rows_per_block(rank) // 4 if strategy == "blocked" else None)
-    limit = S.hot_limit(obs, rank, partitions)
-    profiles = {side: S.profile(obs, side, limit, most, rank) for side in ("u", "i")}
-    args = (obs, profiles, rank, lam, partitions)
-    plan = (JoinPlan(*args) if strategy == "join" else
-            GatherPlan(*args) if strategy == "gather" else
-            BlockedPlan(*args, blocks=blocks) if strategy == "blocked" else
-            BroadcastPlan(*args, limit_bytes=broadcast_bytes))
-
-    factors = {side: _start(profiles[side], rank, side, (init or {}).get(side), seed) for side in ("u", "i")}
+    owned = not isinstance(ratings, Prepared)
+    if not owned and (blocks, partitions, hot_rows) != (None, None, None):
+        raise ValueError("blocks, partitions and hot_rows belong to prepare()")
+    data = prepare(ratings, rank, partitions=partitions, blocks=blocks, hot_rows=hot_rows) if owned else ratings
+    if rank > data.rank:
+        raise ValueError(f"the ratings are prepared for ranks up to {data.rank}")
+    strategy = choose_strategy(data, rank, broadcast_bytes) if strategy == "auto" else strategy
+    plan = (JoinPlan(data, rank, lam) if strategy == "join" else
+            GatherPlan(data, rank, lam) if strategy == "gather" else
+            BlockedPlan(data, rank, lam) if strategy == "blocked" else
+            BroadcastPlan(data, rank, lam, broadcast_bytes))
+
+    factors = {side: _start(data.profiles[side], rank, side, (init or {}).get(side), seed) for side in ("u", "i")}
     errors: list[DataFrame] = []
     seconds: list[float] = []
     for it in range(iters):
         for half, side in enumerate((first, OTHER[first]), start=1):
             started = time.monotonic()
-            factors[side] = plan.step(side, factors[OTHER[side]])
+            done = plan.step(side, factors[OTHER[side]])
+            factors[side] = done.select("id", "x")
             seconds.append(time.monotonic() - started)
             if trace:
-                error = plan.sse(factors)
-                errors.append(cut(error.select(F.lit(it).alias("iter"), F.lit(half).alias("half"), "sse")))
+                errors.append(cut(plan.error(done).select(F.lit(it).alias("iter"), F.lit(half).alias("half"), "sse")))
 
     steps = None
     for error in errors:
         steps = error if steps is None else steps.unionByName(error)
-    return AlsResult(factors["u"], factors["i"], steps, plan.label(), rank, lam, obs, profiles, plan, seconds)
+    return AlsResult(factors["u"], factors["i"], steps, plan.label(), rank, lam, data, plan, owned, seconds)
 
 
 def grouped_ridge(df: DataFrame, key: str, features: list[Column | str], target: Column | str,

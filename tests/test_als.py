@@ -1,10 +1,14 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from factorlab.operators import blocks as B
 from factorlab.operators import normal_eq as N
 from factorlab.operators import ratings as R
 from factorlab.operators import skew as S
 from factorlab.plans import als as A
+from factorlab.plans.sweep import sweep
 from factorlab.session import cut
 from tests import brute
 
@@ -190,33 +194,147 @@ def test_wrong_options_raise(ratings_of):
         A.als_fit(ratings_of(brute.TINY).drop("r"))
 
 
-def exchanges(df):
-    """Number of exchanges in the plan of ``df``, outside of its cached relations."""
+def nodes(df, name):
+    """Number of nodes in the plan of ``df`` whose names begin with ``name``, outside of its cached relations."""
     def count(node):
         children = node.children()
-        return node.nodeName().startswith("Exchange") + sum(
+        return node.nodeName().startswith(name) + sum(
             count(children.apply(k)) for k in range(children.size()))
-    return count(df._jdf.queryExecution().executedPlan().executedPlan())
+    plan = df._jdf.queryExecution().executedPlan()
+    return count(plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan)
 
 
-@pytest.mark.parametrize("partitions", [2, 4, 9])
-def test_ratings_are_not_moved_by_a_half_step(spark, ratings_of, partitions):
+def exchanges(df):
+    return nodes(df, "Exchange")
+
+
+@pytest.fixture()
+def shuffled_joins(spark):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        obs = R.compress(ratings_of(brute.TINY)).persist()
-        profiles = {s: S.profile(obs, s) for s in "ui"}
-        factors = cut(A.initial_factors(profiles["u"].ids, 2, "u"))
-        blocked = A.BlockedPlan(obs, profiles, 2, 0.1, partitions)
-        # The vectors go to their links, the messages to their block.
-        assert exchanges(blocked.update("i", factors)) == 2
-        blocked.close()
-        join = A.JoinPlan(obs, profiles, 2, 0.1, partitions)
-        # The vectors go to the ratings, the partial sums to their entity.
-        assert exchanges(join.update("i", factors)) == 2
-        join.close()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("partitions", [2, 4, 9])
+def test_ratings_are_not_moved_by_a_half_step(ratings_of, shuffled_joins, partitions):
+    data = A.prepare(ratings_of(brute.TINY), 2, partitions=partitions)
+    factors = cut(A.initial_factors(data.profiles["u"].ids, 2, "u"))
+    # The vectors go to the blocks that send them, the messages to those that need them.
+    assert exchanges(A.BlockedPlan(data, 2, 0.1).update("i", factors)) == 2
+    # The vectors go to the ratings, the partial sums to their entity.
+    assert exchanges(A.JoinPlan(data, 2, 0.1).update("i", factors)) == 2
+    # The factors are broadcast, the ratings are read where they are.
+    assert exchanges(A.BroadcastPlan(data, 2, 0.1).update("i", factors)) == 0
+    data.unpersist()
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_both_link_tables_of_a_side_take_one_exchange_of_the_ratings(ratings_of, hot_rows):
+    data = A.prepare(ratings_of(skewed_rows()), 3, partitions=3, blocks=5, hot_rows=hot_rows)
+    assert exchanges(data.obs) == 0
+    hot, few = data.hot()
+    assert (hot["u"] is None) == (hot_rows is None)
+    plan = A.BlockedPlan(data, 3, 0.1)
+    for dst, src in (("u", "i"), ("i", "u")):
+        made = B.rating_table(data.obs, dst, src, data.blocks, data.partitions, hot, few)
+        assert nodes(made, "Exchange") == 1
+        rows, links = plan.tables(dst)
+        assert exchanges(B.send_table(rows)) == 0
+        assert {r["blk"] for r in rows.select("blk").distinct().collect()} <= set(range(5))
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_a_pair_of_blocks_exchanges_one_message(ratings_of, hot_rows):
+    rows = skewed_rows()
+    data = A.prepare(ratings_of(rows), 3, partitions=3, blocks=5, hot_rows=hot_rows)
+    plan = A.BlockedPlan(data, 3, 0.1)
+    sent = plan.messages("i", A.initial_factors(data.profiles["u"].ids, 3, "u")).collect()
+    among = [(r["to"], r["sender"]) for r in sent if r["sender"] != B.LONE]
+    assert len(among) == len(set(among)) <= 5 * 5
+    alone = [(r["to"], r["id"]) for r in sent if r["sender"] == B.LONE]
+    assert len(alone) == len(set(alone)) and (len(alone) > 0) == (hot_rows is not None)
+    # every vector that a rating needs, once for each block that needs it
+    table = plan.tables("i")[0].groupBy("blk").agg(F.max("pick").alias("last")).collect()
+    counts = {}
+    for r in sent:
+        counts[r["to"]] = counts.get(r["to"], 0) + len(r["x"]) // 24
+    assert {r["blk"]: r["last"] + 1 for r in table} == counts
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_ratings_of_one_chunk_at_a_time(ratings_of, strategy, monkeypatch):
+    monkeypatch.setattr(R, "MERGE_ROWS", 7)
+    monkeypatch.setattr(A, "CHUNK_ROWS", 11)
+    monkeypatch.setattr(B, "SCORE_ROWS", 13)
+    monkeypatch.setattr(N, "_FOLD_ROWS", 9)
+    check(ratings_of, skewed_rows(), 12, 0.5, 1, strategy)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("rank", [2, 12])
+def test_singular_systems_have_the_least_norm(ratings_of, strategy, rank):
+    """Without lam an entity of fewer ratings than the rank has many solutions; the shortest is taken."""
+    rows = brute.TINY + [(9, 9, 2.0)]
+    fit = A.als_fit(ratings_of(rows), rank, 0.0, 1, strategy)
+    u, i = brute.collected(fit.u_factors), brute.collected(fit.i_factors)
+    start = brute.start({r[0] for r in rows}, rank)
+    for found, mine, theirs, side in ((i, 1, start, 0), (u, 0, i, 1)):
+        for e, w in found.items():
+            x = np.array([theirs[r[side]] for r in rows if r[mine] == e])
+            y = np.array([r[2] for r in rows if r[mine] == e])
+            np.testing.assert_allclose(x @ w, x @ (np.linalg.pinv(x, rcond=1e-7) @ y), rtol=1e-5, atol=1e-6)
+            assert np.linalg.norm(w) <= np.linalg.norm(np.linalg.pinv(x, rcond=1e-7) @ y) * (1 + 1e-5)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_the_trace_reads_no_ratings(ratings_of, strategy, monkeypatch):
+    monkeypatch.setattr(S, "MIN_HOT_ROWS", 1)
+    rows = skewed_rows()
+    fit = A.als_fit(ratings_of(rows), 2, 0.5, 1, strategy, trace=True)
+    u0 = brute.start({r[0] for r in rows}, 2)
+    i1 = brute.half_step(rows, u0, 2, 0.5, 1)
+    u1 = brute.half_step(rows, i1, 2, 0.5, 0)
+    got = [r["sse"] for r in fit.trace.orderBy("half").collect()]
+    assert got == pytest.approx([brute.sse(rows, u0, i1), brute.sse(rows, u1, i1)], rel=1e-9)
+    done = fit.plan.step("i", fit.u_factors)
+    error = fit.plan.error(done)
+    assert nodes(error, "Exchange") <= 1 and not any(kind in error._jdf.queryExecution().toString() for kind in ("Join", "MapIn", "FlatMap"))
+
+
+def test_sums_are_combined_before_the_shuffle_where_that_saves_rows(ratings_of):
+    dense = [(u, i, float((u * i) % 5)) for u in range(40) for i in range(30)]
+    sparse = [(u, u // 2, 1.0 + u % 3) for u in range(60)]
+    for rows, ran, folds in ((dense, "join", True), (sparse, "gather", False)):
+        fit = check(ratings_of, rows, 12, 1.0, 1, "join", partitions=1)
+        assert fit.strategy == ran
+        assert (nodes(fit.plan.update("i", fit.u_factors), "MapInArrow") == 1) and N.combining(12, fit.profiles["i"], 1) == ("fold" if folds else "gather")
+        assert ("collect_list" in fit.plan.update("i", fit.u_factors)._jdf.queryExecution().toString()) == (not folds)
+
+
+def test_prepared_ratings_serve_several_fits(spark, ratings_of):
+    rows, reads = skewed_rows(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+    watched = ratings_of(rows).mapInArrow(counted, "u bigint, i bigint, r double")
+    made = sweep(watched, ranks=(1, 2, 3, 12), strategies=("blocked", "broadcast"), lam=0.5, iters=1, blocks=(None, 3), test=ratings_of(rows[:50])).collect()
+    assert reads.value == 2 * len(rows)  # once for each number of blocks
+    assert len(made) == 16 and {r["blocks"] for r in made} >= {3}
+    for r in made:
+        u, i = brute.als(rows, r["rank"], 0.5, 1)
+        assert r["sse"] == pytest.approx(brute.sse(rows, u, i), rel=1e-7)
+        assert r["test_nnz"] == 50 and r["test_rmse"] == pytest.approx((brute.sse(rows[:50], u, i) / 50) ** 0.5, rel=1e-7)
+    data = A.prepare(ratings_of(rows), 3)
+    fits = [A.als_fit(data, rank, 0.5, 1, s) for rank in (2, 3) for s in STRATEGIES]
+    fits[0].unpersist()
+    assert data.layouts and len({round(f.sse().first()["sse"], 6) for f in fits}) == 2
+    with pytest.raises(ValueError, match="up to 3"):
+        A.als_fit(data, 4)
+    with pytest.raises(ValueError, match="prepare"):
+        A.als_fit(data, 2, blocks=4)
 
 
 def test_partitions_follow_the_data(spark):

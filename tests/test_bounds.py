@@ -102,17 +102,16 @@ def test_a_block_of_many_small_entities_is_solved_in_slices(monkeypatch):
     rank, entities = 100, 4000
     rng = np.random.default_rng(2)
     x = rng.normal(size=(entities, rank))
-    sent = pa.table({"id": np.arange(entities), "x": pa.array(list(x), pa.list_(pa.float64()))})
-    owned = pa.table({"src": np.arange(entities), "dst": np.arange(entities), "n": np.ones(entities),
+    sent = pa.table({"sender": [0], "id": [0], "x": pa.array([x.tobytes()], pa.binary())})
+    owned = pa.table({"dst": np.arange(entities), "pick": np.arange(entities), "n": np.ones(entities),
                       "r": rng.normal(size=entities), "split": np.zeros(entities, bool)})
-    packed = B.pack_links((pa.scalar(0),), None, owned)
     sizes, grams = [], B.segment_grams
 
     def watched(*args):
         sizes.append(len(args[4]))
         return grams(*args)
     monkeypatch.setattr(B, "segment_grams", watched)
-    out = B.update_block(rank, 0.1, False)((), sent, packed)
+    out = B.update_block(rank, 0.1)((), sent, owned)
     assert max(sizes) <= slice_size(rank) < entities and sum(sizes) == entities == out.num_rows
     i = 17
     want = np.linalg.solve(np.outer(x[i], x[i]) + 0.1 * np.eye(rank), x[i] * owned["r"][i].as_py())

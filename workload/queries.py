@@ -9,7 +9,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorlab.functions.vectors import outer_packed, triangle
@@ -23,7 +25,7 @@ from factorlab.operators.skew import profile
 from factorlab.operators.tiling import replicate, replicate_2x2
 from factorlab.plans import dfc as D
 from factorlab.plans import jobs
-from factorlab.plans.als import als_fit, grouped_ridge, initial_factors
+from factorlab.plans.als import BlockedPlan, als_fit, grouped_ridge, initial_factors, prepare
 from factorlab.plans.sweep import generate_tile_train, sweep
 from factorlab.session import scratch_path
 from factorlab.sources import text as T
@@ -322,6 +324,15 @@ def q_grouped_ridge_13(spark, sf_dir):
     return long_rows(fitted.withColumnRenamed("l_suppkey", "id"), x="w")
 
 
+@query("SELECT id, unnest(range(3)) AS pos, round(unnest([0.0, s / 5, 2 * s / 5]), 4) + 0.0 AS val FROM (SELECT l_suppkey AS id, "
+       "sum(l_quantity * l_discount) / sum(l_discount * l_discount) AS s FROM lineitem GROUP BY l_suppkey)")
+def q_grouped_ridge_collinear(spark, sf_dir):
+    """Without lam, a feature that is zero and two of which one is twice the other: the solution of least norm."""
+    fitted = grouped_ridge(table(spark, sf_dir, "lineitem"), "l_suppkey",
+                           [F.lit(0.0), "l_discount", F.col("l_discount") * 2], "l_quantity", lam=0.0)
+    return long_rows(fitted.withColumnRenamed("l_suppkey", "id"), x="w")
+
+
 @query(Q.with_ctes([("t", Q.SUPP_PART), ("u_0", Q.start_vectors("(SELECT DISTINCT u AS id FROM t)", 3, "id + 5::BIGINT * 1000000007")),
                     ("i_0", Q.start_vectors("(SELECT DISTINCT i AS id FROM t)", 3, "-id + 5::BIGINT * 1000000007"))],
                    Q.long_rows("u_0", 3, "u") + " UNION ALL " + Q.long_rows("i_0", 3, "i")))
@@ -460,6 +471,31 @@ def event_ratings(spark, sf_dir):
     return events.join(kinds, "event_type").selectExpr("user_id as u", "i", "value as r")
 
 
+def _wide_fit(strategy: str, rank: int):
+    """Fits above the rank up to which sums are columns; each label must name what ran."""
+    def run(spark, sf_dir):
+        fit = als_fit(supplier_part(spark, sf_dir), rank, 1.0, 1, strategy)
+        assert set(fit.strategy.replace("u:", "").replace("i:", "").split()) <= {strategy, "gather"}, fit.strategy
+        return fit_rows(fit)
+    run.__name__ = f"q_als_{strategy}_r{rank}"
+    return run
+
+
+for _strategy, _rank in (("join", 12), ("gather", 12), ("blocked", 12), ("broadcast", 12), ("join", 20), ("broadcast", 20)):
+    query(Q.factors(Q.SUPP_PART, _rank, 1.0, 1))(_wide_fit(_strategy, _rank))
+
+
+def _traced(strategy: str):
+    def run(spark, sf_dir):
+        return dense_fit(spark, sf_dir, trace=True, strategy=strategy).trace.selectExpr("iter", "half", rounded("sse", 2))
+    run.__name__ = f"q_als_trace_{strategy}"
+    return run
+
+
+for _strategy in ("join", "gather", "broadcast"):
+    query(ORACLE["q_als_trace"])(_traced(_strategy))
+
+
 def _hot_fit(strategy: str):
     def run(spark, sf_dir):
         return fit_rows(als_fit(event_ratings(spark, sf_dir), 3, 1.0, 2, strategy, hot_rows=40))
@@ -467,21 +503,49 @@ def _hot_fit(strategy: str):
     return run
 
 
-for _strategy in ("blocked", "join", "gather"):
+for _strategy in ("blocked", "join", "gather", "broadcast"):
     query(Q.factors(_EVENTS, 3, 1.0, 2))(_hot_fit(_strategy))
 
 
 @query(f"SELECT u, i, count(*)::DOUBLE AS n, round(avg(r), 6) + 0.0 AS r FROM ({Q.CUST_PART}) GROUP BY u, i")
 def q_packed_ratings(spark, sf_dir):
     """The rating layout that blocked fits use, unpacked again: sources by position, entities by their ends."""
-    fit = als_fit(customer_part(spark, sf_dir), 3, LAM, 0, "blocked", hot_rows=50)
-    packed = fit.plan.sides["i"][0]
-    sources = packed.where("size(src) > 0").select("owner", "src")
-    rows = packed.drop("src").join(sources, "owner").select(
-        "src", "n", "r", "pick", F.expr("flatten(zip_with(dst, transform(ends, (e, j) -> e - if(j > 0, ends[j - 1], 0)), "
-                                        "(d, k) -> array_repeat(d, k)))").alias("own"))
-    flat = rows.select("src", F.explode(F.arrays_zip("own", "pick", "n", "r")).alias("e"))
-    return flat.selectExpr("src[e.pick] as u", "e.own as i", "e.n as n", "round(e.r, 6) + 0.0D as r")
+    plan = BlockedPlan(prepare(customer_part(spark, sf_dir), 3, hot_rows=50), 3, LAM)
+    sent = plan.tables("u")[1].select("to", F.col("blk").alias("sender"), F.explode("ids").alias("u"))
+    if plan.profiles["u"].hot is not None:
+        sent = sent.unionByName(plan.lone("u").select("to", F.lit(B.LONE).alias("sender"), F.col("id").alias("u")))
+    arrival = Window.partitionBy("to").orderBy("sender", "u")
+    sources = sent.select(F.col("to").alias("blk"), "u", (F.row_number().over(arrival) - 1).alias("pick"))
+    rows = plan.tables("i")[0].join(sources, ["blk", "pick"]).groupBy("u", F.col("dst").alias("i"))
+    return rows.agg(F.sum("n").alias("n"), F.expr("round(sum(n * r) / sum(n), 6) + 0.0D").alias("r"))
+
+
+def _first_messages(spark, sf_dir, hot_rows):
+    """Every rating with the start vector that its block finds at the rating's place among all it was sent."""
+    plan = BlockedPlan(prepare(supplier_part(spark, sf_dir), 2, hot_rows=hot_rows), 2, LAM)
+    sent = plan.messages("i", starts(spark, sf_dir, "u", 2))
+
+    def opened(key, messages):
+        x = B._vectors(messages, 2)
+        return pa.table({"blk": pa.array(np.full(len(x), key[0].as_py(), np.int32)), "pick": pa.array(np.arange(len(x), dtype=np.int32)),
+                         "x0": x[:, 0], "x1": x[:, 1]})
+    vectors = sent.groupBy("to").applyInArrow(opened, "blk int, pick int, x0 double, x1 double")
+    return plan.tables("i")[0].join(vectors, ["blk", "pick"]).groupBy(F.col("dst").alias("i"), "x0", "x1").agg(
+        F.sum("n").alias("n")).selectExpr("i", "round(x0, 6) + 0.0D as x0", "round(x1, 6) + 0.0D as x1", "n")
+
+
+_FIRST_MESSAGES = Q.with_ctes(_start_ctes(2), "SELECT i, round(x0, 6) + 0.0 AS x0, round(x1, 6) + 0.0 AS x1, "
+                              "count(*)::DOUBLE AS n FROM t JOIN u_0 ON t.u = u_0.id GROUP BY i, u, x0, x1")
+
+
+@query(_FIRST_MESSAGES)
+def q_block_messages(spark, sf_dir):
+    return _first_messages(spark, sf_dir, None)
+
+
+@query(_FIRST_MESSAGES)
+def q_block_messages_hot(spark, sf_dir):
+    return _first_messages(spark, sf_dir, 400)
 
 
 # --- divide, factor, combine -------------------------------------------------------------------
@@ -703,6 +767,23 @@ def q_rank_sweep(spark, sf_dir):
     return _sweep_rows(sweep(supplier_part(spark, sf_dir), ranks=(1, 2, 3), lam=LAM, iters=2))
 
 
+@query(_sweep_sql([(1, 4), (1, 10), (1, 12)]))
+def q_rank_sweep_high(spark, sf_dir):
+    return _sweep_rows(sweep(supplier_part(spark, sf_dir), ranks=(4, 10, 12), strategies=("broadcast",), lam=LAM, iters=2))
+
+
+@query(Q.with_ctes(
+    _SPLIT[0] + [("held", f"{Q.SUPP_PART} WHERE {Q.TEST_ROW}"), ("a", Q.sse("t", _SPLIT[1][-1], 2)),
+                 ("b", Q.sse("held", _SPLIT[1][-1], 2))],
+    "SELECT partitions, blocks, a.nnz, round(sqrt(a.sse / a.nnz), 6) + 0.0 AS rmse, b.nnz AS test_nnz, round(sqrt(b.sse / b.nnz), 6) + 0.0 "
+    "AS test_rmse, true AS timed FROM a, b, (VALUES (2), (5)) AS p(partitions), (VALUES (3), (16)) AS q(blocks)"))
+def q_block_sweep(spark, sf_dir):
+    """Partitions and blocks change the cost of a fit and nothing else; every setting scores held-out ratings."""
+    train, test = supplier_part_split(spark, sf_dir)
+    rows = sweep(train, ranks=(2,), strategies=("blocked",), partitions=(2, 5), blocks=(3, 16), lam=LAM, iters=2, test=test)
+    return rows.selectExpr("partitions", "blocks", "nnz", rounded("rmse", 6), "test_nnz", rounded("test_rmse", 6), "seconds > 0 as timed")
+
+
 @query(_sweep_sql([(1, 2), (2, 2)]))
 def q_scale_sweep(spark, sf_dir):
     m, n = dims(spark, sf_dir)
