@@ -17,7 +17,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.llm.common import SPACE_TABLE, add_columns, byte_words, values
@@ -50,11 +50,14 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
+def _fingerprint(columns: list[pa.Array]) -> list[pa.Array]:
+    return [pa.array([simhash(t) for t in values(columns[0])], pa.int64())]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return add_columns(rows, ["text"], "fp bigint",
-                       lambda c: [pa.array([simhash(t) for t in values(c[0])], pa.int64())]).select("doc_id", "fp")
+    return add_columns(rows, ["text"], "fp bigint", _fingerprint).select("doc_id", "fp")
 
 
 def plan_segments(count: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -127,14 +130,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, once if it is repeated.
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id, rows without one coming last.
 
-    Rows without an id are kept, as nothing can name them.
+    Among rows that share this id the one of the least hash of id and text stays, and of rows
+    equal in both any one. Classes are of fingerprints, so rows without an id, repeated rows and
+    different texts under one id are all judged by their own text.
     """
-    keepers = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    packed = docs.where("doc_id is not null").select("doc_id", "text", F.struct("*").alias("row"))
-    once = (packed.join(keepers, "doc_id", "left_semi").withColumn("copy", F.row_number().over(order))
-            .where("copy = 1").select("row.*"))
-    return once.unionByName(docs.where("doc_id is null"))
+    place = F.struct(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"),
+                     F.xxhash64(id_col, text_col).alias("mix"), F.xxhash64(F.lit(SEED), text_col).alias("mix2"))
+    packed = docs.select(place.alias("place"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    rows = cut(add_columns(packed.select("place", "text"), ["text"], "fp bigint", _fingerprint).select("place", "fp"))
+    first = cut(rows.groupBy("fp").agg(F.min("place").alias("place")))
+    roots = star_components(hamming_links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
+    keepers = (first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+               .agg(F.min("place").alias("place")).select("place"))
+    # rows equal in id and text become one in the tasks that read them, before they are shuffled
+    return packed.groupBy("place").agg(F.first("row").alias("row")).join(keepers, "place", "left_semi").select("row.*")

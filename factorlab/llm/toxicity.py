@@ -8,13 +8,14 @@ Copies would make any of their words look telling, so in choosing terms a docume
 inverse proportion to how many share one of its min-hash keys. Document frequencies come from
 all documents.
 
-A text is compared with all examples: in single precision first, the commonest terms by a
-matrix product and the others by posting lists. Those that may be among its k nearest, by a
-bound of the rounding error, are then compared in double precision: the k found are exact. The
-examples travel as compressed counts, and every Python worker makes its own index of them. A
-neighbour's vote grows with its cosine without much of a bound, so that a copy outweighs all
-others, and a monotone curve, fitted to votes on the sample with each example left out, turns
-votes into a rate of label 1.
+The k nearest examples are found in a block-max inverted index. Examples that are alike stand
+side by side, in blocks of ``BLOCK``; for every term and block that has it the index keeps the
+term's largest weight there. The sum of these maxima, weighed like the text, bounds every
+cosine of a block. The blocks of the highest bounds are compared first, and then only those
+whose bounds reach the k-th cosine so far, so the k found are exact. The examples travel as
+compressed counts, and every task makes its own index of them. A neighbour's vote grows with
+its cosine without much of a bound, so that a copy outweighs all others, and a monotone curve,
+fitted to votes on the sample with each example left out, turns votes into a rate of label 1.
 
 Texts that share no term with any example, empty and null ones too, all have the same vote:
 what is known of such examples. Without labels every score is 0. Rows are scored one by one, so
@@ -40,17 +41,19 @@ from factorlab.llm.common import add_columns, byte_table, values
 from factorlab.session import cut
 
 #: How many labelled rows are learned from, at most: those with the smallest hashes of their ids.
-EXAMPLES = 20_000
-#: How many terms are telling, at most: those the labels depend on most.
-TERMS = 4096
+EXAMPLES = 4_000
 #: The chance that any term passes of which labels are independent.
 CHANCE = 0.05
 #: What telling terms make of the squared length of a text that has others too.
 TELLING = 0.9
 NEIGHBOURS = 10
-#: How many of the commonest terms are compared by matrix products, and for how many texts at once.
-COMMON = 512
-TOGETHER = 64
+#: Examples of a block, and how many blocks are compared before any is left out.
+BLOCK = 64
+FIRST_BLOCKS = 4
+#: What bounds and cosines may differ by from rounding.
+_SLACK = 1e-9
+#: The commonest terms, by which examples are put side by side.
+_COMMON = 256
 THRESHOLD = 0.7
 _PRIOR = 0.1
 #: A copy votes with one over this.
@@ -93,22 +96,23 @@ class Model:
     ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     times: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # cells of a term
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a cell
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))  # largest weight in a cell
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a cell
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, _STEPS + 1))
 
-    def __getstate__(self):
+    def state(self) -> bytes:
         """What cannot be made again: terms, counts and what was learned of them."""
         names = ("terms", "gate", "spelled", "idf", "ids", "toxic", "ends", "times", "prior", "curve")
         return zlib.compress(pickle.dumps({n: getattr(self, n) for n in names} | {"at": np.diff(self.at, prepend=np.int32(0))}), 1)
 
-    def __setstate__(self, state):
-        vars(self).update(vars(Model()) | pickle.loads(zlib.decompress(state)))
+    @staticmethod
+    def of(state: bytes) -> Model:
+        self = Model(**pickle.loads(zlib.decompress(state)))
         self.at = np.cumsum(self.at, dtype=np.int32)
         self.words = {w: len(self.terms) + i for i, w in enumerate(self.spelled.split())}
         if len(self.at):
@@ -120,8 +124,8 @@ class Model:
             for mask, square, share in zip((telling, ~telling), squares, (TELLING, 1 - TELLING)):
                 scale = np.sqrt(np.where(both, share, 1.0) / np.where(square > 0, square, 1.0))
                 w[mask] *= scale[owner[mask]]
-            self.weights = w
-            self._post(owner.astype(np.int32))
+            self._post(owner, w)
+        return self
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Occurrences of the model's terms, telling (``terms``) or not (``words``), in the whole text."""
@@ -153,65 +157,56 @@ class Model:
         return at, w
 
     def index(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """The examples' vectors, and in single precision columns of the commonest terms and postings of the others."""
+        """The block-max index of examples ``(terms, weights)``, which should stand beside their like."""
         self.ids, self.toxic = ids, toxic
         lengths = np.array([len(v[0]) for v in vectors], np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(lengths)])
         self.at = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        self.weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        self._post(np.repeat(np.arange(len(ids), dtype=np.int32), lengths))
-
-    def _post(self, owner: np.ndarray) -> None:
-        size = len(self.idf)
-        often = np.argsort(-np.bincount(self.at, minlength=size), kind="stable")[:COMMON]
-        self.column = np.full(size, -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        place = self.column[self.at]
-        self.common = np.zeros((len(often), len(self.ids)), np.float32)
-        self.common[place[place >= 0], owner[place >= 0]] = self.weights[place >= 0]
-        rare = np.nonzero(place < 0)[0]
-        rare = rare[np.argsort(self.at[rare], kind="stable")]
-        self.starts = np.searchsorted(self.at[rare], np.arange(size + 1))
-        self.owners, self.posted = owner[rare], self.weights[rare].astype(np.float32)
+        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        self._post(np.repeat(np.arange(len(ids)), lengths), weights)
+
+    def _post(self, owner: np.ndarray, weights: np.ndarray) -> None:
+        """Postings by term and example; a cell is the postings of a term in a block."""
+        order = np.argsort(self.at, kind="stable")
+        term, self.owners, self.posted = self.at[order], owner[order].astype(np.int64), weights[order]
+        block = self.owners // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.first = block[new], np.append(new, len(term))
+        self.top = np.maximum.reduceat(self.posted, new) if len(new) else np.zeros(0)
+        self.starts = np.searchsorted(term[new], np.arange(len(self.idf) + 1))
+
+    def _cosines(self, cells: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The cosine of every example, as far as its postings are in ``cells``."""
+        first = self.first[cells]
+        many = self.first[cells + 1] - first
+        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return np.bincount(self.owners[places], np.repeat(asked, many) * self.posted[places], len(self.ids))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The exact ``NEIGHBOURS`` examples of highest cosine (ties: the first), and the cosines."""
-        return next(self.all_nearest([(at, w)], [leave]))
-
-    def all_nearest(self, vectors, leave=None):
-        """``nearest`` of each of ``vectors``, in their order."""
-        whole = np.zeros(len(self.idf))
-        for start in range(0, len(vectors), TOGETHER):
-            some = vectors[start:start + TOGETHER]
-            asked = np.zeros((len(some), len(self.common)), np.float32)
-            for row, (at, w) in zip(asked, some):
-                place = self.column[at] if len(self.ids) else np.zeros(0, np.int32)
-                row[place[place >= 0]] = w[place >= 0] if len(place) else 0
-            rough = asked @ self.common
-            for i, (at, w) in enumerate(some):
-                yield self._nearest(rough[i], at, w, whole, -1 if leave is None else leave[start + i])
-
-    def _nearest(self, rough, at, w, whole, leave):
+        """The exact ``NEIGHBOURS`` examples of highest cosine (ties: the least id), and the cosines."""
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         first = self.starts[at]
         many = self.starts[at + 1] - first
-        total = int(many.sum())
-        if total:
-            places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
-            rough = rough + np.bincount(self.owners[places], np.repeat(w, many) * self.posted[places], len(rough)).astype(np.float32)
+        cells = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        asked, block = np.repeat(w, many), self.block[cells]
+        bound = np.bincount(block, asked * self.top[cells], -(-len(self.ids) // BLOCK))
+        soon = np.zeros(len(bound), bool)
+        soon[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bound) > FIRST_BLOCKS else slice(None)] = True
+        near = soon[block]
+        found = self._cosines(cells[near], asked[near])
         if leave >= 0:
-            rough[leave] = -1
-        # sums of n products of unit vectors in single precision are wrong by n units of rounding, at most
-        wrong = (len(at) + 4) * 2.0 ** -23
-        k = min(NEIGHBOURS, len(rough))
-        hit = np.nonzero((rough > 0) & (rough >= np.partition(rough, -k)[-k] - 2 * wrong))[0]
-        whole[at] = w
-        cosines = np.array([whole[self.at[s:e]] @ self.weights[s:e] for s, e in zip(self.ends[hit], self.ends[hit + 1])])
-        whole[at] = 0
-        hit, cosines = hit[cosines > 0], cosines[cosines > 0]
-        keep = np.lexsort((hit, -np.round(cosines, 9)))[:NEIGHBOURS]
-        return hit[keep], cosines[keep]
+            found[leave] = 0
+        least = np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] if len(found) > NEIGHBOURS else 0.0
+        late = ~soon & (bound > 0) & (bound >= least - _SLACK)
+        if late.any():
+            near = late[block]
+            found += self._cosines(cells[near], asked[near])
+            if leave >= 0:
+                found[leave] = 0
+        k = min(NEIGHBOURS, len(found))
+        hit = np.flatnonzero((found > 0) & (found >= np.partition(found, -k)[-k] - 2 * _SLACK))
+        keep = np.lexsort((self.ids[hit], -np.round(found[hit], 9)))[:NEIGHBOURS]
+        return hit[keep], found[hit[keep]]
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
         strength = cosines / (1 - np.minimum(cosines, 1) + _NEARLY)
@@ -271,7 +266,7 @@ def least_ratio(tests: int) -> float:
     return float(x - np.log(x) - np.log(np.pi / 2))
 
 
-def telling_terms(sample: DataFrame, terms: int = TERMS) -> list[bytes]:
+def telling_terms(sample: DataFrame) -> list[bytes]:
     """The terms of ``sample(doc_id, text, toxic)`` on which label 1 depends most, copies counted as one."""
     sketches = sample.select("doc_id", "text").mapInArrow(_sketches, "doc_id bigint, keys array<bigint>")
     keys = cut(sketches.select("doc_id", F.posexplode("keys").alias("nth", "key")))
@@ -293,33 +288,33 @@ def telling_terms(sample: DataFrame, terms: int = TERMS) -> list[bytes]:
     n = F.col("c") + F.col("t")
     ratio = 2 * (part(F.col("t"), n * rate) + part(F.col("c"), n * (1 - rate)))
     chosen = (counts.where(F.col("t") > n * rate).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio(counts.count()))
-              .orderBy(F.desc("ratio"), "term").limit(terms).select("term").collect())
-    return [bytes(r["term"]) for r in chosen]
+              .select("term").collect())
+    return sorted(bytes(r["term"]) for r in chosen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from the labels that are not held out; corpus counts come from all of ``docs``."""
     spark = docs.sparkSession
     named = labelled(labels, examples)
     sample = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
                  .join(F.broadcast(named), "doc_id").dropDuplicates(["doc_id"]))
     model = Model()
-    model.terms = {t: i for i, t in enumerate(telling_terms(sample, terms))}
+    model.terms = {t: i for i, t in enumerate(telling_terms(sample))}
     model.gate = {t[:4] for t in model.terms}
     seen = sample.select("text").mapInArrow(_vocabulary, "word binary").distinct().toArrow().column("word")
     spelled = sorted(w for w in values(seen) if w not in model.terms)
     size = len(model.terms) + len(spelled)
     model.spelled = b" ".join(spelled)
     del seen, spelled
-    bare = spark.sparkContext.broadcast(model)
+    bare = spark.sparkContext.broadcast(model.state())
 
     def frequencies(batches):
-        seen, total, bare_model = np.zeros(size + 1, np.int64), 0, bare.value
+        seen, total, bare_model = np.zeros(size + 1, np.int64), 0, Model.of(bare.value)
         for batch in batches:
-            for text in values(batch.column(0)):
+            for text, times in Counter(values(batch.column(0))).items():
                 counts = bare_model.counts(text)
-                seen[np.fromiter(counts, np.int64, len(counts))] += 1
-                total += 1
+                seen[np.fromiter(counts, np.int64, len(counts))] += times
+                total += times
         seen[size] = total
         some = np.nonzero(seen)[0]
         for start in range(0, len(some), 50_000):
@@ -333,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     model.idf = np.log((1 + df[size]) / (1 + df[:size])) + 1
 
     def vectors(batches):
-        bare_model = bare.value
+        bare_model = Model.of(bare.value)
         for batch in batches:
             counts = [dict(sorted(bare_model.counts(t).items())) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -348,6 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     model.prior = bland["t"] / bland["n"] if bland["n"] else 0.0
     bare.destroy()
     rows = held.where(F.length("at") > 0).toArrow().sort_by("doc_id")
+    rows = rows.take(pa.array(_side_by_side([np.frombuffer(x, np.int32) for x in values(rows.column("at"))], model.idf)))
     model.ids, model.toxic = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("toxic").to_numpy().astype(float)
     model.at, model.times = (np.frombuffer(b"".join(values(rows.column(c))), np.int32) for c in ("at", "n"))
     model.ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in values(rows.column("at"))])]).astype(np.int64)
@@ -356,20 +352,43 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     return model
 
 
+def _side_by_side(terms: list[np.ndarray], idf: np.ndarray, rounds: int = 5) -> np.ndarray:
+    """An order of the (bounded) examples in which alike ones are near: spherical k-means over their commonest terms."""
+    count = len(terms)
+    if count <= BLOCK:
+        return np.arange(count)
+    at, owner = np.concatenate(terms), np.repeat(np.arange(count), [len(t) for t in terms])
+    column = np.full(len(idf), -1)
+    column[np.argsort(-np.bincount(at, minlength=len(idf)), kind="stable")[:_COMMON]] = np.arange(min(_COMMON, len(idf)))
+    place = column[at]
+    x = np.zeros((count, _COMMON), np.float32)
+    x[owner[place >= 0], place[place >= 0]] = idf[at[place >= 0]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x[np.linspace(0, count - 1, -(-count // BLOCK)).astype(int)]
+    for _ in range(rounds):
+        group = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, group, x)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return np.argsort(group, kind="stable")
+
+
 def _unpacked(at: bytes, n: bytes) -> dict[int, int]:
     return dict(zip(np.frombuffer(at, np.int32).tolist(), np.frombuffer(n, np.int32).tolist()))
 
 
 def _calibrate(model: Model, held: DataFrame, bland) -> None:
     """A monotone curve from votes to the rate of label 1, each example judged by the others."""
-    shared = held.sparkSession.sparkContext.broadcast(model)
+    shared = held.sparkSession.sparkContext.broadcast(model.state())
 
     def votes(batches):
-        m = shared.value
+        m = Model.of(shared.value)
+        place = {int(i): at for at, i in enumerate(m.ids)}
         for batch in batches:
-            asked = [m.vector(_unpacked(at, n)) for at, n in zip(values(batch.column(2)), values(batch.column(3)))]
-            leave = np.searchsorted(m.ids, batch.column(0).to_numpy()).tolist()
-            out = [int(round(m.vote(*near) * _STEPS)) for near in m.all_nearest(asked, leave)]
+            out = []
+            for i, at, n in zip(values(batch.column(0)), values(batch.column(2)), values(batch.column(3))):
+                near = m.nearest(*m.vector(_unpacked(at, n)), place[i])
+                out.append(int(round(m.vote(*near) * _STEPS)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(1)], names=["step", "toxic"])
 
     steps = (held.where(F.length("at") > 0).repartition(held.sparkSession.sparkContext.defaultParallelism)
@@ -397,14 +416,19 @@ def _calibrate(model: Model, held: DataFrame, bland) -> None:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence`` (ids of the examples that voted, nearest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    made: list[Model] = []  # one for each task
 
     def judged(columns):
-        m, scores, proof = shared.value, [], []
-        asked = [m.vector(m.counts(text)) for text in values(columns[0])]
-        for best, cosines in m.all_nearest(asked):
-            scores.append(m.calibrated(m.vote(best, cosines)))
-            proof.append(m.ids[best].tolist())
+        if not made:
+            made.append(Model.of(shared.value))
+        m, scores, proof, known = made[0], [], [], {}
+        for text in values(columns[0]):
+            if text not in known:  # copies are common
+                best, cosines = m.nearest(*m.vector(m.counts(text)))
+                known[text] = m.calibrated(m.vote(best, cosines)), m.ids[best].tolist()
+            scores.append(known[text][0])
+            proof.append(known[text][1])
         return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
                 pa.array(proof, pa.list_(pa.int64()))]
 

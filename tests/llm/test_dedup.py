@@ -107,11 +107,21 @@ def test_awkward_rows(spark, awkward, nothing):
     assert classes[0] == classes[1] == 0 and classes[2] == classes[3] == classes[5] == 2
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
+    # the row without an id and without a text is a copy of the empty documents
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 2, 4, 6, 7]
-    assert kept.where("doc_id is null").count() == 2
+    assert [r["text"] for r in kept.where("doc_id is null").collect()] == ["A text without an id, but with words in it."]
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    a, b = ("one text of several plain words that tells a tale of rivers and of stones " * 2).strip(), "quite another matter " * 9
+    frame = spark.createDataFrame([(2, a, "x"), (5, b, "y"), (5, a, "z"), (None, a, "w")], "doc_id bigint, text string, place string")
+    assert sorted((r["doc_id"], r["text"], r["place"]) for r in simhash.keep_one(frame).collect()) == [(2, a, "x"), (5, b, "y")]
+    frame = spark.createDataFrame([(9, a, 1)] + [(None, a, i) for i in range(5)] + [(None, b, 7), (None, b, 7)], "doc_id bigint, text string, fp int")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns and sorted((r["doc_id"] or -1, r["text"], r["fp"]) for r in kept.collect()) == [(-1, b, 7), (9, a, 1)]
+
+
 def line_result(df):
     return {r["doc_id"]: (r["kept"], r["n_lines"], r["n_dropped"]) for r in df.collect()}
 
