@@ -1,6 +1,7 @@
 """Language, URL, HTML, search and toxicity operators."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,64 @@ def test_classes_that_remove_most_of_the_text_are_ignored():
     assert [x[1] for x in mainhtml.read_blocks(html)] == ["An article that is the longest part of the page."]
 
 
+LONG = "Reader comments go on and on, far longer than the story that they are about. " * 9
+
+
+def main_text(html):
+    blocks = mainhtml.read_blocks(html)
+    return mainhtml.below(blocks, mainhtml.best_container(blocks))
+
+
+@pytest.mark.parametrize("name", ["comments", "ad", "menu", "cookie consent", "replies"])
+@pytest.mark.parametrize("page", [
+    "<div class='story'><p>A short story.</p></div><div class='{0}'><p>{1}</p></div>",
+    "<article><p>A short story.</p><section class='{0}'><p>{1}</p></section></article>",
+    "<article><p>A short story.</p></article><section class='{0}'><article class='{0}'><p>{1}</p></article></section>",
+    "<main><div class='{0}'><div><p>{1}</p></div></div><p>A short story.</p></main>"])
+def test_no_length_makes_comments_menus_or_adverts_the_article(name, page):
+    assert main_text(page.format(name, LONG)) == "A short story."
+
+
+@pytest.mark.parametrize("tag", ["nav", "form", "aside", "header"])
+def test_an_unclosed_menu_or_form_does_not_swallow_the_article(tag):
+    story = "<p>The story of the page, which is longer than its menu.</p><p>Its end.</p>"
+    assert main_text(f"<body><{tag}><a href='/'>Home</a><article>{story}</article></body>") == "The story of the page, which is longer than its menu. Its end."
+    assert "Its end." in main_text(f"<body><{tag}><a href='/'>Home</a><div class='story'>{story}</div></body>")
+    assert "Home" not in main_text(f"<body><{tag}><a href='/'>Home</a></{tag}><div class='story'>{story}</div></body>")
+
+
+@pytest.mark.parametrize("piece", ["<div>line ", "<div class='ad'>line ", "<section><p>line", "<div></span>line "])
+def test_deep_pages_take_time_in_proportion(piece):
+    started = time.monotonic()
+    text = main_text(piece * 10_000)
+    assert text.startswith("line") and time.monotonic() - started < 3
+    assert main_text("<div>" * 300 + "<p>deep</p>") == "deep"
+
+
+def test_scores_equal_the_sum_over_all_prefixes():
+    chance = random.Random(4)
+    for _ in range(60):
+        html, depth = "", 0
+        for _ in range(40):
+            if chance.random() < .55 or not depth:
+                html += f"<div class='c{chance.choice('xyz')}'>"
+                depth += 1
+            else:
+                html += "</div>"
+                depth -= 1
+            html += f"<p>{'w' * chance.randrange(1, 9)}</p>" if chance.random() < .6 else ""
+        blocks = mainhtml.read_blocks(html)
+        scores = {}
+        for node, text, linked in blocks:
+            path, worth = blocks.path(node), float(len(text))
+            for k in range(len(path), 0, -1):
+                scores[path[:k]] = scores.get(path[:k], 0.0) + worth
+                worth /= 2
+        assert mainhtml.best_container(blocks) == (min(scores, key=lambda p: (-scores[p], p)) if scores else ())
+        best = mainhtml.best_container(blocks)
+        assert mainhtml.below(blocks, best) == " ".join(t for n, t, _ in blocks if blocks.path(n)[:len(best)] == best)
+
+
 def test_hosts_agree_on_a_path(spark):
     """One page's largest container is an odd one; its host's other pages decide."""
     usual = "<div class='story-{i}'><p>{a}</p><p>tail</p></div><div class='more'><p>{b}</p></div>"
