@@ -31,11 +31,16 @@ BITS = 64
 
 
 def binary_code(vector: str = "embedding"):
-    """Bit i is set if component i of the first 64 is positive; null for vectors without a code."""
+    """Bit i is set if component i is positive; null for vectors without a code.
+
+    A vector of more than 64 components fails the job, as its code would be that of a prefix.
+    """
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(
         x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size(vector) > 0)
-    return F.when(whole, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
+    fits = F.when(F.size(vector) > BITS, F.raise_error(F.lit("a code has 64 bits, the vector more components")).cast("boolean")
+                  ).otherwise(True)
+    return F.when(whole & fits, F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
 
 
 def segments_for(count: int) -> int:

@@ -66,6 +66,25 @@ def test_url_rules_and_terms(spark):
     assert {r["verdict"] for r in urlfilter.judge(frame, {}, {}).collect()} == {"allow"}
 
 
+def test_many_rules_and_long_urls():
+    chance = random.Random(9)
+    names = ["a", "b", "cc", "d-e"]
+
+    def some():
+        host = ".".join(chance.choice(names) for _ in range(chance.randint(1, 4)))
+        return host, "".join("/" + chance.choice(["", "x", "yy"]) for _ in range(chance.randint(0, 3)))
+    rules = {"".join(some()): "block" for _ in range(400)} | {"cc/": "allow", "": "block", "/": "allow"}
+    lookup = urlfilter.Rules(rules)
+    for _ in range(2000):
+        host, path = some()
+        fits = [r for r in rules for d, m, p in [r.partition("/")] if (host == d or host.endswith("." + d)) and path.startswith(m + p)]
+        assert lookup.best(host, path) == max(fits, key=lambda r: (len(r), r), default=None)
+    large = urlfilter.Rules({f"h{i}.example/p{i % 7}/": "block" for i in range(100_000)})
+    started = time.monotonic()
+    assert [large.best(f"www.h{i}.example", f"/p{i % 7}/x") for i in range(3000)] == [f"h{i}.example/p{i % 7}/" for i in range(3000)]
+    assert large.best("x." * 200_000 + "h5.example", "/p5/" + "y" * 1_000_000) == "h5.example/p5/" and time.monotonic() - started < 20
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"),
     ("<body><nav>menu</nav><p>One\n two<br>three<p>four &lt;b&gt;</body>", "One two three four <b>"),
@@ -202,9 +221,13 @@ def test_top_k_equals_brute_force(spark, segments):
 
 
 def test_codes(spark):
-    rows = [(1, [0.5, -0.1, 0.0, 2.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0] * 70)]
-    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").select("vec_id", topk.binary_code().alias("c"))
+    rows = [(1, [0.5, -0.1, 0.0, 2.0]), (2, None), (3, []), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0] * 64)]
+    code = topk.binary_code().alias("c")
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").select("vec_id", code)
     assert dict(map(tuple, frame.collect())) == {1: 9, 2: None, 3: None, 4: None, 5: None, 6: -1}
+    long = spark.createDataFrame([(7, [1.0] * 65)], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="64 bits"):
+        long.select(code).collect()
 
 
 def toxic_docs(spark, n=600):
