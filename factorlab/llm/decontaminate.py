@@ -8,8 +8,9 @@ the spans of at least 13 words is therefore exact: each shared window is found,
 collisions are not. An item of fewer words is a single run of its own length.
 
 The items' side is cut into pieces of bounded length, overlapping by 12 words, and the pieces
-are dealt into blocks of about ``BLOCK_BYTES``. One block at a time is sent to the tasks; more
-items make more passes over the documents, never a larger broadcast, and no shuffle of texts.
+are dealt into blocks of about ``BLOCK_BYTES``. One block at a time is sent to the tasks, and its
+hits are written before the next is: more items make more passes over the documents, never a
+larger broadcast or a longer chain of workers. With one block nothing is written or shuffled.
 
 Null texts and texts without words are never hit; items without words hit nothing; items without an id
 hit words but are not listed. Repeated items count once, repeated documents each for themselves.
@@ -17,7 +18,8 @@ hit words but are not listed. Repeated items count once, repeated documents each
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.llm.common import WORD_TABLE, add_columns, byte_words, values
-from factorlab.session import cut
+from factorlab.session import cut, scratch_path
 
 SPAN = 13
 RUN = 8
@@ -148,6 +150,33 @@ def _merged(spans) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
 
 
+def _block_by_block(docs: DataFrame, blocks: int, judged) -> DataFrame:
+    """What all blocks hit: rows get numbers, each block's hits are written before the next is sent, then they are united."""
+    spark = docs.sparkSession
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    path = scratch_path(spark, "numbered")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    rows, found = spark.read.parquet(path), []
+    for b in range(blocks):
+        hits = judged(rows.select(row, "text"), b).drop("text")
+        out = scratch_path(spark, "hits")
+        # the first block's table has every row, with its number of words
+        (hits.where((F.size("items") > 0) | (F.size("spans") > 0)) if b else hits).write.parquet(out)
+        found.append(spark.read.parquet(out))
+    together = reduce(DataFrame.unionByName, found).groupBy(row).agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.max("n_words").alias("n_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merged(columns):
+        return [pa.array([_merged((s["start"], s["start"] + s["n"]) for s in row_) for row_ in values(columns[0])], _SPANS)]
+
+    together = add_columns(together, ["spans"], "spans array<struct<start:bigint,n:bigint>>", merged)
+    kept = [c for c in rows.columns if c.lower() not in ("spans", "items", "n_words")]
+    return rows.select(*kept).join(together, row).drop(row)
+
+
 def flag(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``spans`` (first word and length), ``items`` and ``contaminated``."""
     spark = docs.sparkSession
@@ -156,25 +185,26 @@ def flag(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: s
     total = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)))
-    done, schema = docs, "spans array<struct<start:bigint,n:bigint>>, items array<string>, n_words bigint"
-    for b in range(blocks):
-        rows = [(r["item"], bytes(r["piece"])) for r in numbered.where(F.col("block") == b).collect()]
-        shared = spark.sparkContext.broadcast(build_block(rows))
+    schema = "spans array<struct<start:bigint,n:bigint>>, items array<string>, n_words bigint"
 
-        def hits(columns, shared=shared):
+    def judged(rows: DataFrame, block: int) -> DataFrame:
+        """``rows`` with what the items of one block hit."""
+        pieces_ = [(r["item"], bytes(r["piece"])) for r in numbered.where(F.col("block") == block).collect()]
+        shared = spark.sparkContext.broadcast(build_block(pieces_))
+
+        def hits(columns):
             spans, names, sizes = [], [], []
-            before = zip(values(columns[1]), values(columns[2])) if len(columns) > 1 else repeat((None, None))
-            for text, (old_spans, old_names) in zip(values(columns[0]), before):
+            for text in values(columns[0]):
                 words = byte_words(text, WORD_TABLE)
                 start, end, piece = find(words, shared.value)
-                old = [(s["start"], s["start"] + s["n"]) for s in old_spans or []]
-                spans.append(_merged(chain(zip(start.tolist(), end.tolist()), old)))
-                own = {shared.value["names"][i] for i in np.unique(piece).tolist()}
-                names.append(sorted((own | set(old_names or [])) - {None}))
+                spans.append(_merged(zip(start.tolist(), end.tolist())))
+                names.append(sorted({shared.value["names"][i] for i in np.unique(piece).tolist()} - {None}))
                 sizes.append(len(words))
             return [pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(sizes, pa.int64())]
 
-        done = add_columns(done, ["text"] if b == 0 else ["text", "spans", "items"], schema, hits)
+        return add_columns(rows, ["text"], schema, hits)
+
+    done = judged(docs, 0) if blocks == 1 else _block_by_block(docs, blocks, judged)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
     return (done.withColumn("n_hit", hit)
             .withColumn("contaminated", (F.col("n_hit") > 0) & (DILUTION * F.col("n_hit") >= F.col("n_words"))))

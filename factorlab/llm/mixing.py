@@ -14,7 +14,9 @@ put in order. What comes out is one row for each source, and documents compare t
 with it where they are.
 
 Null sources are a source of their own, ordered last; null texts and ids are allowed and count
-no words and one hash. Rows that are equal throughout draw the same u. Without rows there are no targets.
+no words and one hash. Rows of one id, or without one, draw the same u; where the last rank
+taken is shared, as many of its rows are taken as the words owed allow, smaller ones first and
+of equal ones any, so no group of tied rows is taken whole. Without rows there are no targets.
 """
 
 from __future__ import annotations
@@ -94,9 +96,10 @@ def _crossing(rows: DataFrame, keys: list[str], cell: str, name: str) -> DataFra
 
 
 def stopping_ranks(sizes: DataFrame, targets: DataFrame, count: int) -> DataFrame:
-    """``targets`` with ``copies`` (whole ones), and the last rank taken beyond: ``stop`` and ``stop_id``.
+    """``targets`` with ``copies`` (whole ones), and the last rank, id and size taken beyond, ``stop...``.
 
-    ``sizes`` has ``size``, ``u`` and ``doc_id``. A null ``stop`` takes all.
+    Of the ``of`` rows that share these, ``take`` are taken. ``sizes`` has ``size``, ``u`` and
+    ``doc_id``. A null ``stop`` takes all.
     """
     key = ["no_source", "source_key"]
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -114,14 +117,20 @@ def stopping_ranks(sizes: DataFrame, targets: DataFrame, count: int) -> DataFram
               .where("coarse = at_coarse"))
     fine = _crossing(inside, key, "fine", "at_fine")
     last = _by_source(inside.drop("owed"), fine.withColumnRenamed("left", "owed"), count).where("fine = at_fine")
-    order = Window.partitionBy(*key).orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (last.withColumn("upto", F.sum("size").over(order))
-            .withColumn("taken", F.expr("upto <= owed or (upto - size < owed and upto - owed < owed - (upto - size))")))
+    # rows of one rank, id and size are alike: counted first, so that many of them are one row here
+    alike = last.groupBy(*key, "owed", "rank", "doc_id", "size").agg(F.count("*").alias("of"))
+    order = Window.partitionBy(*key).orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (alike.withColumn("room", F.col("owed") - F.sum(F.col("size") * F.col("of")).over(order) + F.col("size") * F.col("of"))
+            .withColumn("whole", F.expr("cast(case when size = 0 then if(room >= 0, of, 0) "
+                                        "else least(of, greatest(0, floor(room / size))) end as bigint)"))
+            .withColumn("rest", F.expr("room - whole * size"))
+            .withColumn("take", F.expr("whole + if(whole < of and rest > 0 and size - rest < rest, 1, 0)")))
     edge = ends.groupBy(*key).agg(
-        F.max(F.when(F.col("taken"), F.struct("rank", "doc_id"))).alias("yes"), F.min("rank").alias("none_from"))
+        F.max(F.when(F.col("take") > 0, F.struct("rank", "doc_id", "size", "take", "of"))).alias("yes"), F.min("rank").alias("none_from"))
     return (plan.join(edge, key, "left")
             .select(*key, "source_size", "target", "copies", "p",
                     F.coalesce("yes.rank", "none_from").alias("stop"), F.col("yes.doc_id").alias("stop_id"),
+                    F.col("yes.size").alias("stop_size"), F.col("yes.take").alias("take"), F.col("yes.of").alias("of"),
                     F.col("yes").isNull().alias("before")))
 
 
@@ -141,13 +150,26 @@ def mix(docs: DataFrame, carry: list | None = None, weights=WEIGHTS, share: floa
     count = targets.count()
     stops = cut(stopping_ranks(sizes, targets, count))
     rank, null_low = F.col("rank"), F.lit(-(1 << 63))
+    own, last = F.coalesce("doc_id", null_low), F.coalesce("stop_id", null_low)
+    at_stop = (rank == F.col("stop")) & ~F.col("before") & (F.col("p") > 0)
+    alike = at_stop & (own == last) & (F.col("size") == F.col("stop_size"))
+    sooner = (rank < F.col("stop")) | (at_stop & ((own < last) | ((own == last) & (F.col("size") < F.col("stop_size")))))
     extra = (F.when(F.col("p") <= 0, False).when(F.col("stop").isNull(), True)
-             .when(F.col("before"), rank < F.col("stop"))
-             .otherwise((rank < F.col("stop")) | ((rank == F.col("stop")) & (
-                 F.coalesce("doc_id", null_low) <= F.coalesce("stop_id", null_low)))))
-    return (_by_source(keyed, stops, count).withColumn("rank", pareto_rank())
-            .select("row", "size", "source_size", "target",
-                    (F.col("copies") + extra.cast("bigint")).alias("copies")))
+             .when(F.coalesce(alike, F.lit(False)), F.col("take") == F.col("of")).otherwise(sooner))
+    rows = _by_source(keyed, stops, count).withColumn("rank", pareto_rank())
+    whole = rows.select("row", "size", "source_size", "target", (F.col("copies") + extra.cast("bigint")).alias("copies"))
+    if stops.where("take < of").isEmpty():
+        return whole
+    # some of the rows that are alike at the stop are taken: as many as are owed, by their numbers
+    split = F.coalesce(alike & (F.col("take") < F.col("of")), F.lit(False))
+    key = ["no_source", "source_key"]
+    some = cut(rows.where(split).select(*key, "row", "size", "source_size", "target", "copies", "take",
+                                        F.monotonically_increasing_id().alias("nth")))
+    numbered = ordered_positions(some, key, ["nth"])
+    others = (rows.where(~split)
+              .select("row", "size", "source_size", "target", (F.col("copies") + extra.cast("bigint")).alias("copies")))
+    return others.unionByName(numbered.select(
+        "row", "size", "source_size", "target", (F.col("copies") + (F.col("pos") < F.col("take")).cast("bigint")).alias("copies")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -204,6 +204,18 @@ def test_awkward_contamination(spark, awkward, nothing):
     assert QUERIES["op2_decontamination"](spark, SMALL).where("n_items = 0").first()["items_sha256"] == items
 
 
+@pytest.mark.parametrize("sizes", [(4,), (4, 7, 0)])
+def test_tied_rows_are_counted_out(spark, sizes):
+    """Two of five rows have no id, some share one: all of these draw one u."""
+    rows = [(None if i % 5 < 2 else 7 if i % 25 == 3 else i, " ".join(["w"] * sizes[i % len(sizes)]), "a") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    total = sum(len(r[1].split()) for r in rows)
+    for seed in range(6):
+        out = mixing.mix(frame, weights=(1,), share=0.5, seed=f"s{seed}", carry=["doc_id"]).collect()
+        assert len(out) == 1000 and all(r["copies"] in (0, 1) for r in out)
+        assert abs(sum(r["size"] * r["copies"] for r in out) - total / 2) <= max(sizes) / 2
+
+
 def plain_contaminated(text, items):
     """The contract's rule, window by window."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
