@@ -417,7 +417,7 @@ def choose_strategy(data: Prepared, rank: int, broadcast_bytes: int = S.BROADCAS
     """The strategy whose half-steps cost least by :mod:`factorlab.plans.cost`."""
     keys = {side: p.keys for side, p in data.profiles.items()}
     cores = data.obs.sparkSession.sparkContext.defaultParallelism
-    seconds = estimate(data.rows, keys["u"], keys["i"], rank, data.partitions, data.blocks, cores, broadcast_bytes)
+    seconds = estimate(data.rows, keys["u"], keys["i"], rank, data.blocks, min(cores, data.partitions), broadcast_bytes)
     return min(seconds, key=seconds.get)
 
 

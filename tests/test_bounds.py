@@ -15,6 +15,7 @@ from factorlab.operators.sampling import grid_side, permuted_cells, sample_cells
 from factorlab.plans import als as A
 from factorlab.plans import dfc as D
 from factorlab.plans import jobs
+from factorlab.plans.cost import estimate
 from factorlab.sources import text as T
 
 TINY = [(0, 0, 5.0), (0, 1, 3.0), (1, 0, 4.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, 5.0)]
@@ -58,7 +59,20 @@ def test_the_label_says_what_ran(ratings_of):
     assert {limit: fit.strategy for limit, fit in fits.items()} == {1 << 20: "broadcast", 10: "join", 150: "u:broadcast i:join"}
     marks = [sorted((r["id"], *np.round(r["x"], 9)) for r in f.u_factors.collect()) for f in fits.values()]
     assert marks[0] == marks[1] == marks[2]
-    assert A.als_fit(ratings, 3, 0.1, 0).strategy == "blocked"
+    auto = A.als_fit(ratings, 3, 0.1, 1)
+    assert auto.strategy == A.choose_strategy(auto.prepared, 3) == "broadcast"
+    assert A.als_fit(ratings, 3, 0.1, 1, broadcast_bytes=10).strategy == "join"
+
+
+@pytest.mark.parametrize("rows,u,i,rank,cores,limit,want", [
+    (52_000, 100, 2_000, 2, 2, 1 << 28, "broadcast"), (52_000, 100, 2_000, 20, 2, 1 << 28, "broadcast"),
+    (597_000, 1_000, 20_000, 2, 2, 1 << 28, "join"), (597_000, 1_000, 20_000, 10, 2, 1 << 28, "broadcast"),
+    (10 ** 9, 10 ** 7, 10 ** 5, 40, 500, 1 << 28, "blocked"), (10 ** 8, 2 * 10 ** 6, 10 ** 5, 10, 1000, 1 << 28, "blocked"),
+    (10 ** 9, 5 * 10 ** 5, 2 * 10 ** 4, 10, 200, 1 << 28, "broadcast")])
+def test_the_cheapest_strategy_is_chosen(rows, u, i, rank, cores, limit, want):
+    seconds = estimate(rows, u, i, rank, max(4 * cores, rows // A.rows_per_block(rank)), cores, limit)
+    assert min(seconds, key=seconds.get) == want
+    assert ("broadcast" in seconds) == (max(u, i) * (8 * rank + 48) <= limit)
 
 
 def test_seeds_give_other_starts(ratings_of):
