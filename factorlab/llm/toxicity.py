@@ -12,7 +12,8 @@ The k nearest examples are found in a block-max inverted index. Examples that ar
 side by side, in blocks of ``BLOCK``; for every term and block that has it the index keeps the
 term's largest weight there. The sum of these maxima, weighed like the text, bounds every
 cosine of a block. The blocks of the highest bounds are compared first, and then only those
-whose bounds reach the k-th cosine so far, so the k found are exact. The examples travel as
+whose bounds reach the k-th cosine so far, so the k found are exact. Terms that many examples
+have are kept as whole rows, not as postings. The examples travel as
 compressed counts, and every task makes its own index of them. A neighbour's vote grows with
 its cosine without much of a bound, so that a copy outweighs all others, and a monotone curve,
 fitted to votes on the sample with each example left out, turns votes into a rate of label 1.
@@ -30,6 +31,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ from factorlab.llm.common import add_columns, byte_table, values
 from factorlab.session import cut
 
 #: How many labelled rows are learned from, at most: those with the smallest hashes of their ids.
-EXAMPLES = 4_000
+EXAMPLES = 3_000
 #: The chance that any term passes of which labels are independent.
 CHANCE = 0.05
 #: What telling terms make of the squared length of a text that has others too.
@@ -50,6 +52,10 @@ NEIGHBOURS = 10
 #: Examples of a block, and how many blocks are compared before any is left out.
 BLOCK = 64
 FIRST_BLOCKS = 4
+#: Terms that at least one in this many examples has, the commonest at most, are kept as whole rows, and multiplied with
+#: the vectors of so many texts at once.
+DENSE_SHARE, DENSE_TERMS = 8, 256
+TOGETHER = 64
 #: What bounds and cosines may differ by from rounding.
 _SLACK = 1e-9
 #: The commonest terms, by which examples are put side by side.
@@ -102,6 +108,8 @@ class Model:
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of a cell
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     posted: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of a term's whole row, or -1
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior: float = 0.0
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, _STEPS + 1))
 
@@ -165,17 +173,28 @@ class Model:
         self._post(np.repeat(np.arange(len(ids)), lengths), weights)
 
     def _post(self, owner: np.ndarray, weights: np.ndarray) -> None:
-        """Postings by term and example; a cell is the postings of a term in a block."""
+        """Postings by term and example; a cell is the postings of a term in a block. Common terms are whole rows instead."""
         order = np.argsort(self.at, kind="stable")
-        term, self.owners, self.posted = self.at[order], owner[order].astype(np.int64), weights[order]
-        block = self.owners // BLOCK
+        term, owners, posted = self.at[order], owner[order].astype(np.int64), weights[order]
+        block = owners // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.block, self.first = block[new], np.append(new, len(term))
-        self.top = np.maximum.reduceat(self.posted, new) if len(new) else np.zeros(0)
+        self.block = block[new]
+        self.top = np.maximum.reduceat(posted, new) if len(new) else np.zeros(0)
         self.starts = np.searchsorted(term[new], np.arange(len(self.idf) + 1))
+        often = np.bincount(term, minlength=len(self.idf))
+        common = np.argsort(-often, kind="stable")[:DENSE_TERMS]
+        common = common[often[common] * DENSE_SHARE >= max(len(self.ids), 1)]
+        self.row = np.full(len(self.idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.ids)))
+        whole = self.row[term] >= 0
+        self.dense[self.row[term[whole]], owners[whole]] = posted[whole]
+        self.owners, self.posted = owners[~whole], posted[~whole]
+        sizes = np.diff(np.append(new, len(term))) * (self.row[term[new]] < 0)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def _cosines(self, cells: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """The cosine of every example, as far as its postings are in ``cells``."""
+        """What the postings in ``cells`` add to the cosine of every example."""
         first = self.first[cells]
         many = self.first[cells + 1] - first
         places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
@@ -183,27 +202,43 @@ class Model:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact ``NEIGHBOURS`` examples of highest cosine (ties: the least id), and the cosines."""
+        return next(self.all_nearest([(at, w)], [leave]))
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None):
+        """:meth:`nearest` of each of ``vectors``, in their order."""
+        for start in range(0, len(vectors), TOGETHER):
+            some = vectors[start:start + TOGETHER]
+            asked = np.zeros((len(some), len(self.dense)))
+            for line, (at, w) in zip(asked, some):
+                row = self.row[at] if len(self.ids) else np.zeros(0, np.int64)
+                line[row[row >= 0]] = w[row >= 0] if len(row) else 0
+            common = asked @ self.dense
+            for i, (at, w) in enumerate(some):
+                yield self._nearest(at, w, common[i], leave[start + i] if leave else -1)
+
+    def _nearest(self, at, w, common, leave):
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
         first = self.starts[at]
         many = self.starts[at + 1] - first
         cells = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
         asked, block = np.repeat(w, many), self.block[cells]
-        bound = np.bincount(block, asked * self.top[cells], -(-len(self.ids) // BLOCK))
-        soon = np.zeros(len(bound), bool)
-        soon[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bound) > FIRST_BLOCKS else slice(None)] = True
-        near = soon[block]
-        found = self._cosines(cells[near], asked[near])
-        if leave >= 0:
-            found[leave] = 0
-        least = np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] if len(found) > NEIGHBOURS else 0.0
-        late = ~soon & (bound > 0) & (bound >= least - _SLACK)
-        if late.any():
-            near = late[block]
-            found += self._cosines(cells[near], asked[near])
+        count = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, asked * self.top[cells], count)
+        found = np.zeros(len(self.ids))
+
+        def compare(blocks):
+            near = blocks[block]
+            found[:] += self._cosines(cells[near], asked[near]) + common * np.repeat(blocks, BLOCK)[:len(found)]
             if leave >= 0:
                 found[leave] = 0
+        soon = np.zeros(count, bool)
+        soon[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if count > FIRST_BLOCKS else slice(None)] = True
+        compare(soon)
         k = min(NEIGHBOURS, len(found))
+        late = ~soon & (bound > 0) & (bound >= np.partition(found, -k)[-k] - _SLACK)
+        if late.any():
+            compare(late)
         hit = np.flatnonzero((found > 0) & (found >= np.partition(found, -k)[-k] - 2 * _SLACK))
         keep = np.lexsort((self.ids[hit], -np.round(found[hit], 9)))[:NEIGHBOURS]
         return hit[keep], found[hit[keep]]
@@ -216,6 +251,13 @@ class Model:
         return float(self.curve[int(round(vote * _STEPS))])
 
 
+def _different(column: pa.Array):
+    """The different texts of a batch one at a time, null last, and which of them each row has: copies are common."""
+    coded = column.dictionary_encode()
+    none = len(coded.dictionary)
+    return chain(values(coded.dictionary), [None]), coded.indices.fill_null(none).to_numpy().tolist()
+
+
 def labelled(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """At most ``examples`` of the labels that may be learned, as ``(doc_id, toxic)``."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
@@ -311,7 +353,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     def frequencies(batches):
         seen, total, bare_model = np.zeros(size + 1, np.int64), 0, Model.of(bare.value)
         for batch in batches:
-            for text, times in Counter(values(batch.column(0))).items():
+            texts, which = _different(batch.column(0))
+            for text, times in zip(texts, np.bincount(which).tolist()):
                 counts = bare_model.counts(text)
                 seen[np.fromiter(counts, np.int64, len(counts))] += times
                 total += times
@@ -385,10 +428,9 @@ def _calibrate(model: Model, held: DataFrame, bland) -> None:
         m = Model.of(shared.value)
         place = {int(i): at for at, i in enumerate(m.ids)}
         for batch in batches:
-            out = []
-            for i, at, n in zip(values(batch.column(0)), values(batch.column(2)), values(batch.column(3))):
-                near = m.nearest(*m.vector(_unpacked(at, n)), place[i])
-                out.append(int(round(m.vote(*near) * _STEPS)))
+            asked = [m.vector(_unpacked(at, n)) for at, n in zip(values(batch.column(2)), values(batch.column(3)))]
+            leave = [place[i] for i in values(batch.column(0))]
+            out = [int(round(m.vote(*near) * _STEPS)) for near in m.all_nearest(asked, leave)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column(1)], names=["step", "toxic"])
 
     steps = (held.where(F.length("at") > 0).repartition(held.sparkSession.sparkContext.defaultParallelism)
@@ -422,13 +464,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def judged(columns):
         if not made:
             made.append(Model.of(shared.value))
-        m, scores, proof, known = made[0], [], [], {}
-        for text in values(columns[0]):
-            if text not in known:  # copies are common
-                best, cosines = m.nearest(*m.vector(m.counts(text)))
-                known[text] = m.calibrated(m.vote(best, cosines)), m.ids[best].tolist()
-            scores.append(known[text][0])
-            proof.append(known[text][1])
+        m, judged_, held = made[0], [], []
+
+        def flush():
+            for best, cosines in m.all_nearest(held):
+                judged_.append((m.calibrated(m.vote(best, cosines)), m.ids[best].tolist()))
+            held.clear()
+        texts, which = _different(columns[0])
+        for text in texts:
+            held.append(m.vector(m.counts(text)))
+            if len(held) == TOGETHER:
+                flush()
+        flush()
+        scores, proof = [judged_[i][0] for i in which], [judged_[i][1] for i in which]
         return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
                 pa.array(proof, pa.list_(pa.int64()))]
 
