@@ -6,7 +6,8 @@ pair of coordinates on a near-square grid (whatever the shape of the matrix, so
 or column is shuffled as well as any other), and each round shifts one coordinate, modulo its
 own size, by a hash of the other. Every round is invertible, so different positions give
 different cells, and disjoint position ranges give disjoint samples. The grid may have a few
-numbers more than there are cells; who lands there goes on until it lands on a cell.
+numbers more than there are cells; who lands there goes on until it lands on a cell. Where
+each of these few numbers ends is worked out once, so a plan has the rounds once, too.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorlab.functions.seeding import hashed_int
+from factorlab.functions.seeding import hashed_int, hashed_int_of
 
 ROUNDS = 4
 SIDES_TRIED = 10_000
@@ -40,14 +41,40 @@ def _shifted(cells: DataFrame, a: int, b: int, seed: int) -> DataFrame:
     return cells.selectExpr("pos", "x", f"coalesce(i * {a}L + u, 0L) as y")
 
 
+def _shifted_number(x: int, a: int, b: int, seed: int) -> int:
+    """:func:`_shifted` for one number."""
+    u, i = x % a, x // a
+    for turn in range(ROUNDS):
+        u = (u + hashed_int_of(f"{seed}/{turn}/u", i)) % a
+        i = (i + hashed_int_of(f"{seed}/{turn}/i", u)) % b
+    return i * a + u
+
+
+def excess_ends(cells: int, a: int, b: int, seed: int) -> list[int]:
+    """The cell on which each number of the a x b grid that is none goes on to land.
+
+    No way there leads over more than all numbers in excess; on a round trip of such numbers
+    alone, which no cell ever enters, the last one stands for it.
+    """
+    ends = []
+    for x in range(cells, a * b):
+        for _ in range(a * b - cells):
+            if x < cells:
+                break
+            x = _shifted_number(x, a, b, seed)
+        ends.append(x)
+    return ends
+
+
 def permuted_cells(positions: DataFrame, m: int, n: int, seed: int) -> DataFrame:
     """(pos) -> (pos, u, i): position ``pos`` of the shuffled cells of an m x n matrix."""
     cells = m * n
     a, excess = grid_side(cells)
     b = (cells + excess) // a
     placed = _shifted(positions.selectExpr("pos", "pos as x"), a, b, seed).selectExpr("pos", "y as x")
-    for _ in range(excess):  # no way back to a cell leads over more than all numbers in excess
-        placed = _shifted(placed, a, b, seed).selectExpr("pos", f"if(x >= {cells}L, y, x) as x")
+    if excess:
+        ends = ",".join(map(str, excess_ends(cells, a, b, seed)))
+        placed = placed.selectExpr("pos", f"if(x >= {cells}L, cast(split('{ends}', ',') as array<bigint>)[x - {cells}L], x) as x")
     return placed.selectExpr("pos", f"coalesce(x % {m}L, 0L) as u", f"coalesce(x div {m}L, 0L) as i")
 
 

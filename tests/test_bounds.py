@@ -11,7 +11,7 @@ from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
 from factorlab.operators import skew as S
 from factorlab.operators.ratings import compress
-from factorlab.operators.sampling import grid_side, permuted_cells, sample_cells
+from factorlab.operators.sampling import _shifted_number, grid_side, permuted_cells, sample_cells
 from factorlab.plans import als as A
 from factorlab.plans import dfc as D
 from factorlab.plans import jobs
@@ -98,6 +98,25 @@ def test_grids_are_near_square_with_little_excess():
         assert excess <= 200 and a > cells ** 0.5 / 2 - 1
 
 
+@pytest.mark.parametrize("m,n,excess", [(1, 997, 2), (1, 2017, 4), (1, 4201, 8)])
+def test_numbers_in_excess_add_no_rounds_to_the_plan(spark, m, n, excess):
+    """Number by number, who leaves the cells walks on; the plan hashes as often as for a grid without excess."""
+    a, more = grid_side(m * n)
+    assert more == excess
+    b = (m * n + excess) // a
+
+    def walked(pos):
+        x = _shifted_number(pos, a, b, 3)
+        while x >= m * n:
+            x = _shifted_number(x, a, b, 3)
+        return x
+    placed = permuted_cells(spark.range(m * n).withColumnRenamed("id", "pos"), m, n, 3)
+    assert {r["pos"]: r["i"] * m + r["u"] for r in placed.collect()} == {pos: walked(pos) for pos in range(m * n)}
+    even = permuted_cells(spark.range(2500).withColumnRenamed("id", "pos"), 50, 50, 3)
+    hashes = [df._jdf.queryExecution().analyzed().toString().count("md5(") for df in (placed, even)]
+    assert hashes[0] == hashes[1] == 8
+
+
 def test_no_key_above_a_quarter_of_a_block_stays_whole():
     for rows in (10 ** 6, 10 ** 10, 10 ** 12):
         for partitions in (1, 8, 200, 10_000):
