@@ -17,6 +17,7 @@ from factorlab.plans import dfc as D
 from factorlab.plans import jobs
 from factorlab.plans.cost import estimate
 from factorlab.sources import text as T
+from workload import queries as W
 
 TINY = [(0, 0, 5.0), (0, 1, 3.0), (1, 0, 4.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, 5.0)]
 
@@ -198,3 +199,8 @@ def test_jobs_through_files(spark, tmp_path):
     assert where == test + "_replicated" and T.read_ratings(spark, where, 0).count() == 9 * T.read_ratings(spark, test).count()
     row = jobs.pipeline_job(spark, str(tmp_path / "run"), 12, 9, 2, 2.0, 0.5, 2, rank=2, lam=0.01, iters=3).first()
     assert row["train_nnz"] == 4 * lines.count() and row["train_rmse"] < 0.5 and row["seconds"] > 0
+
+
+def test_start_vectors_are_computed_for_ids_not_for_ratings(spark):
+    plan = W.q_outer_packed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "size(" not in plan.split("Aggregate", 1)[1]
