@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from factorlab import session
 from factorlab.functions.solve import slice_size
 from factorlab.operators import blocks as B
 from factorlab.operators import metrics as M
@@ -204,3 +205,9 @@ def test_jobs_through_files(spark, tmp_path):
 def test_start_vectors_are_computed_for_ids_not_for_ratings(spark):
     plan = W.q_outer_packed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "size(" not in plan.split("Aggregate", 1)[1]
+
+
+def test_sums_by_pair_are_spread_by_the_number_of_ratings(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    made = W.q_rating_factor_join(spark, "/root/testdata/sf0.001")  # 6,000 ratings
+    assert made.rdd.getNumPartitions() == 12 and made.agg(F.sum("n")).first()[0] == 6000
