@@ -168,6 +168,30 @@ def test_long_lists_are_split_and_ordinary_keys_are_not(spark, ratings_of, monke
     assert few and {r["id"]: r["pieces"] for r in many.collect()} == {0: 5}
 
 
+def test_gathered_lists_are_folded_in_chunks(spark, tmp_path, monkeypatch):
+    """No task holds all its lists: 40 lists of 50 rows in one partition are folded about 120 rows at a time."""
+    rng = np.random.default_rng(4)
+    cells = [(u, i, float(rng.integers(1, 9)), rng.normal(size=2).tolist()) for u in range(40) for i in range(50)]
+    rows = spark.createDataFrame(cells, "u bigint, i bigint, r double, x array<double>").selectExpr("u", "1D as n", "r", "x")
+    grams, seen = N.segment_grams, str(tmp_path)
+
+    def watched(x, *args):
+        open(f"{seen}/{len(x)}", "w").close()
+        return grams(x, *args)
+    monkeypatch.setattr(N, "segment_grams", watched)
+    monkeypatch.setattr(N, "_FOLD_ROWS", 120)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 60)
+    try:
+        got = {r["u"]: (r["xtx"], r["xty"]) for r in N._gathered(rows, ["u"], 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40 and max(int(p.name) for p in tmp_path.iterdir()) <= 180
+    for u in range(40):
+        x = np.array([c[3] for c in cells if c[0] == u])
+        r = np.array([c[2] for c in cells if c[0] == u])
+        assert got[u][0] == pytest.approx((x.T @ x)[np.triu_indices(2)]) and got[u][1] == pytest.approx(x.T @ r)
+
+
 def test_scoring_reads_its_input_once(spark, ratings_of):
     fit = A.als_fit(ratings_of(TINY), 2, 0.1, 1, "join")
     reads = spark.sparkContext.accumulator(0)
