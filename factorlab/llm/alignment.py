@@ -10,10 +10,10 @@ every B token; links of one pair of ids are counted, never listed one by one.
 table. Counts are combined in each task before they are shuffled; ``score`` looks them up in a
 broadcast table if its checked size allows and otherwise in a shuffled join around hot pairs.
 
-A text is encoded whole, in pieces cut before a blank between two word characters, where
-neither tokenizer can join anything: memory does not grow with a text that has blanks. Null and
-empty texts, and texts that one tokenizer does not give back byte by byte, have no tokens:
-zeros and empty groups. Repeated rows are rows like others. Columns with names of the results
+A text is encoded whole, in words cut before a blank between two characters that are none, where
+neither tokenizer can join anything; a task encodes each different word once and keeps its tokens
+in a table of bounded size. Memory does not grow with a text that has blanks. Null and empty
+texts, and texts that one tokenizer does not give back byte by byte, have no tokens: zeros and empty groups. Repeated rows are rows like others. Columns with names of the results
 give way to them, others pass through.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +35,16 @@ from factorlab.operators.skew import lookup_join
 from factorlab.session import scratch_path, shuffle_partitions
 
 TOKENIZERS = "/opt/tokenizers"
-#: Characters that are encoded together, and the longest piece of a text that has blanks.
+#: Characters that are aligned together.
 BATCH_CHARS = 1 << 20
-PIECE_CHARS = 1 << 16
+#: Characters of the words whose tokens a task keeps; beyond it the table is begun anew.
+WORD_CHARS = 1 << 21
 #: Links that are spread out at once.
 _EXPAND = 1 << 22
 #: Pairs that may be broadcast, 17 bytes each.
 BROADCAST_PAIRS = 4_000_000
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+#: A single blank; the second tokenizer writes blanks as U+2581 and joins runs of them.
+_CUT = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 #: What stands before an id: at a text's start, beside its like, before the first of B, before a group.
 _MARKS = (b"", b",", b"|", b";")
 _LOADED: dict = {}
@@ -113,6 +116,14 @@ def _loaded(tokenizer):
     return _LOADED[key]
 
 
+def _words(a, b) -> _Words:
+    """One table of words for each task and pair of tokenizers."""
+    key = ("words", a, b)
+    if key not in _LOADED:
+        _LOADED[key] = _Words(a, b)
+    return _LOADED[key]
+
+
 def _names(count: int) -> np.ndarray:
     """Each id as decimal digits after each of the marks, by mark and id."""
     if count not in _LOADED:
@@ -120,8 +131,10 @@ def _names(count: int) -> np.ndarray:
     return _LOADED[count]
 
 
-def pieces_of(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """``text`` with a leading blank, cut before single blanks between word characters, each ``size`` or a little longer."""
+def pieces_of(text: str, size: int = 0) -> list[str]:
+    """``text`` with a leading blank, cut before single blanks: all of them, or so that no piece is below ``size``."""
+    if not size:
+        return [" " + word for word in _CUT.split(text)]
     whole, pieces, start = " " + text, [], 0
     while len(whole) - start > size:
         found = _CUT.search(whole, start + size)
@@ -182,11 +195,53 @@ def _pair_counts(a_group, a_ids, b_group, b_ids, text_of_group, wide: int, deep:
     return _summed(np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(times or [np.zeros(0, np.int64)]))
 
 
+class _Words:
+    """Different words, each with the blank before it, and their tokens on both sides."""
+
+    def __init__(self, a, b):
+        self.sides = _loaded(a), _loaded(b)
+        self.begin()
+
+    def begin(self) -> None:
+        self.at, self.size = {}, 0
+        self.ids, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+        self.spoiled: set[int] = set()  # words that a side does not give back
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word stands in the table; new ones are encoded."""
+        if self.size > WORD_CHARS:
+            self.begin()
+        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        if new:
+            for w in new:
+                self.at[w] = len(self.at)
+            self.size += sum(map(len, new))
+            whole = [w.encode("utf-8", "surrogatepass") for w in new]
+            for (encode, spelled, _), ids, ends in zip(self.sides, self.ids, self.ends):
+                for w, text, made in zip(new, whole, encode(new)):
+                    ids.extend(made)
+                    ends.append(len(ids))
+                    if b"".join(map(spelled.__getitem__, made)) != text:
+                        self.spoiled.add(self.at[w])
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def tokens(self, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of the words at ``places``, in a row, and how many each word has."""
+        made = []
+        for ids, ends in zip(self.ids, self.ends):
+            ids, ends = np.array(ids, np.int64), np.array(ends, np.int64)
+            first, many = ends[places], ends[places + 1] - ends[places]
+            upto = np.cumsum(many)
+            made.append((ids[np.repeat(first - upto + many, many) + np.arange(int(many.sum()))], many))
+        return made
+
+
 class _Batch:
     """Rows of one Arrow batch, aligned in bounded runs of texts."""
 
     def __init__(self, a, b, spelled: bool):
-        self.a, self.b = _loaded(a), _loaded(b)
+        self.words = _words(a, b)
+        self.a, self.b = self.words.sides
         self.wide, self.deep = len(self.a[1]), len(self.b[1])
         self.named, self.spelled = _names(max(self.wide, self.deep)), spelled
         self.kind = pa.int32() if self.wide * self.deep < 1 << 31 else pa.int64()
@@ -207,29 +262,34 @@ class _Batch:
         return [pa.concat_arrays([r[k] for r in rows]) for k in range(len(rows[0]))]
 
     def encoded(self, texts: list[str | None]):
-        """Ids by text and side, none for a text that either side does not give back."""
-        owner, pieces = [], []
-        for i, text in enumerate(texts):
-            for piece in pieces_of(text) if text else ():
-                owner.append(i)
-                pieces.append(piece)
-        sides = []
-        for encode, spelled, _ in (self.a, self.b):
-            ids: list[list[int]] = [[] for _ in texts]
-            for i, more in zip(owner, encode(pieces) if pieces else ()):
-                ids[i].extend(more)
-            sides.append(ids)
-        for i, text in enumerate(texts):
-            whole = (" " + (text or "")).encode("utf-8", "surrogatepass")
-            if any(b"".join(map(side[1].__getitem__, ids[i])) != whole for side, ids in zip((self.a, self.b), sides)):
-                sides[0][i] = sides[1][i] = []
-        return sides
+        """``(flat, numbers)`` of both sides: ids of all texts in a row, and how many each text has.
+
+        None for a text that either side does not give back.
+        """
+        words, bounds = [], [0]
+        for text in texts:
+            words.extend(pieces_of(text) if text else ())
+            bounds.append(len(words))
+        places, bounds = self.words.places(words), np.array(bounds)
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        if self.words.spoiled:
+            keep = np.ones(len(texts), bool)
+            for i in np.unique(owner[np.isin(places, list(self.words.spoiled))]).tolist():
+                whole = (" " + texts[i]).encode("utf-8", "surrogatepass")
+                made = self.words.tokens(places[bounds[i]:bounds[i + 1]])
+                keep[i] = all(b"".join(map(side[1].__getitem__, ids.tolist())) == whole
+                              for side, (ids, _) in zip((self.a, self.b), made))
+            places, owner = places[keep[owner]], owner[keep[owner]]
+        made = self.words.tokens(places)
+        numbers = []
+        for _, many in made:
+            upto = np.concatenate([[0], np.cumsum(many)])
+            numbers.append(np.diff(upto[np.searchsorted(owner, np.arange(len(texts) + 1))]))
+        return [ids for ids, _ in made], numbers
 
     def align(self, texts: list[str | None]) -> list[pa.Array]:
         count = len(texts)
-        sides = self.encoded(texts)
-        numbers = [np.array([len(x) for x in ids], np.int64) for ids in sides]
-        flat = [np.fromiter((t for x in ids for t in x), np.int64, int(n.sum())) for ids, n in zip(sides, numbers)]
+        flat, numbers = self.encoded(texts)
         if len(flat[0]):
             ends = [np.cumsum(side[2][ids]) for side, ids in zip((self.a, self.b), flat)]
             a_group, b_group = coalesce(*ends)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -106,6 +107,23 @@ def test_pieces_of_long_texts_encode_like_the_whole(plain):
         assert [i for ids in encode(pieces) for i in ids] == list(encode([" " + text])[0])
 
 
+def test_each_different_word_is_encoded_once(plain, monkeypatch):
+    chance = random.Random(4)
+    words = ["word", "über", "12", "a.b", "日本", "it's", "x  y", "\n", "<s>", "end."]
+    texts = [" ".join(chance.choice(words) for _ in range(60)) for _ in range(200)] + HARD + [None, ""]
+    a, b = alignment.tokenizers()
+    want = [";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in plain(t)) for t in texts]
+    for bound in (alignment.WORD_CHARS, 30):
+        monkeypatch.setattr(alignment, "WORD_CHARS", bound)
+        monkeypatch.setattr(alignment, "BATCH_CHARS", 500)
+        batch, given = alignment._Batch(a, b, True), []
+        batch.words = alignment._Words(a, b)
+        encode, spelled, lengths = batch.words.sides[1]
+        batch.words.sides = batch.words.sides[0], (lambda p: (given.extend(p), encode(p))[1], spelled, lengths)
+        assert batch.run(pa.array(texts))[4].to_pylist() == want
+        assert (len(given) == len(set(given))) == (bound > 30)
+
+
 def test_coalesced_groups_cover_the_same_bytes():
     chance = np.random.default_rng(5)
     for _ in range(50):
