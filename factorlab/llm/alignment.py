@@ -13,8 +13,9 @@ broadcast table if its checked size allows and otherwise in a shuffled join arou
 A text is encoded whole, in words cut before a blank between two characters that are none, where
 neither tokenizer can join anything; a task encodes each different word once and keeps its tokens
 in a table of bounded size. Memory does not grow with a text that has blanks. Null and empty
-texts, and texts that one tokenizer does not give back byte by byte, have no tokens: zeros and empty groups. Repeated rows are rows like others. Columns with names of the results
-give way to them, others pass through.
+texts, and texts that one tokenizer does not give back byte by byte, have no tokens: zeros and
+empty groups. Repeated rows are rows like others. Columns with names of the results give way to
+them, others pass through.
 """
 
 from __future__ import annotations

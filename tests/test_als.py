@@ -341,3 +341,16 @@ def test_partitions_follow_the_data(spark):
     assert A.fitting_partitions(spark, 0) == 1
     assert A.fitting_partitions(spark, 10 ** 6) == 4
     assert A.fitting_partitions(spark, 10 ** 9) == 125
+
+
+def test_large_data_raise_the_number_of_blocks_and_partitions(ratings_of, monkeypatch):
+    rows = skewed_rows()
+    monkeypatch.setattr(A, "rows_per_block", lambda rank: 40)
+    data = A.prepare(ratings_of(rows), 2, partitions=2, blocks=3)
+    least = -(-data.rows // 40)
+    assert data.partitions == least > 3 and data.blocks == 4 * least
+    data.unpersist()
+    made = sweep(ratings_of(rows), ranks=(2,), strategies=("blocked",), partitions=(2,), blocks=(3,), lam=0.5, iters=1).first()
+    assert (made["partitions"], made["blocks"], made["ran_partitions"], made["ran_blocks"]) == (2, 3, least, 4 * least)
+    u, i = brute.als(rows, 2, 0.5, 1)
+    assert made["sse"] == pytest.approx(brute.sse(rows, u, i), rel=1e-7)
