@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factorlab.functions.solve import lists_of, matrix_of
 from factorlab.functions.vectors import dot
 from factorlab.operators import ratings as R
-from factorlab.operators.skew import BROADCAST_BYTES, hot_limit, lookup_join, profile
+from factorlab.operators.skew import BROADCAST_BYTES, hot_limit, lookup_join, profile, vector_bytes
 from factorlab.plans.als import als_fit
 from factorlab.session import cut
 
@@ -47,24 +47,25 @@ class DfcResult:
     parts: int
     columns: int
     rank: int
+    near: tuple[str, ...] = ()  # sides whose vectors are few enough to be broadcast
 
     def part_predictions(self, ratings: DataFrame) -> DataFrame:
         """Prediction from the factors of the cell's own partition; a missing factor counts as 0."""
         coded = with_part(ratings, self.parts, self.columns).withColumn("code", _code("u", self.parts))
         rows = self.w.select(_code("u", self.parts).alias("code"), F.col("x").alias("xu"))
-        return _scored(coded, "code", rows, self.h.select("i", F.col("x").alias("xi")), self.rank)
+        return _scored(coded, "code", rows, self.h.select("i", F.col("x").alias("xi")), self.rank, self.near)
 
     def predictions(self, ratings: DataFrame) -> DataFrame:
         """Prediction from the combined factors."""
         rows = self.rows.select(F.col("id").alias("u"), F.col("x").alias("xu"))
-        return _scored(ratings, "u", rows, self.cols.select("i", F.col("x").alias("xi")), self.rank)
+        return _scored(ratings, "u", rows, self.cols.select("i", F.col("x").alias("xi")), self.rank, self.near)
 
     def rmse(self, train: DataFrame, test: DataFrame) -> DataFrame:
         """Three rows (metric, nnz, rmse): projected train and test, and per-partition test.
 
-        Both inputs are read once, and their compressed forms scored; a null fails the job.
+        Both inputs are read once, and what is left of their copies scored; a null fails the job.
         """
-        train, test = (cut(R.compress(R.check_columns(data))) for data in (train, test))
+        train, test = (cut(R.merge_copies(R.check_columns(data))) for data in (train, test))
         named = (("train_projected", self.predictions(train)),
                  ("test_projected", self.predictions(test)),
                  ("test_partition", self.part_predictions(test)))
@@ -82,10 +83,14 @@ def _code(row: str, parts: int):
     return F.col(row) * parts + F.col("part")
 
 
-def _scored(cells: DataFrame, row_key: str, rows: DataFrame, cols: DataFrame, rank: int) -> DataFrame:
-    by_row, by_col = (profile(cells, key, hot_limit(cells, rank), rank=rank) for key in (row_key, "i"))
-    near = lookup_join(cells, row_key, rows, by_row.hot, "left", by_row.few)
-    both = lookup_join(near, "i", cols, by_col.hot, "left", by_col.few)
+def _scored(cells: DataFrame, row_key: str, rows: DataFrame, cols: DataFrame, rank: int, near=()) -> DataFrame:
+    both = cells
+    for side, key, table in (("u", row_key, rows), ("i", "i", cols)):
+        if side in near:
+            both = both.join(F.broadcast(table), key, "left")
+        else:
+            known = profile(cells, key, hot_limit(cells, rank), rank=rank)
+            both = lookup_join(both, key, table, known.hot, "left", known.few)
     return both.withColumn("pred", F.coalesce(dot("xu", "xi", rank), F.lit(0.0))).drop("xu", "xi")
 
 
@@ -174,4 +179,5 @@ def dfc_fit(ratings: DataFrame, parts: int = 4, columns: int | None = None, rank
                                  f"(id - pmod(id, {parts}L)) div {parts}L as u", "x")
     h = with_part(fit.i_factors.withColumnRenamed("id", "i"), parts, columns).select("part", "i", "x")
     rows, cols = combine(w, h, rank)
-    return DfcResult(w, h, rows, cut(cols), parts, columns, rank)
+    near = tuple(side for side, known in fit.profiles.items() if vector_bytes(known.keys, rank) <= BROADCAST_BYTES)
+    return DfcResult(w, h, rows, cut(cols), parts, columns, rank, near)

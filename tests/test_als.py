@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlab.operators import blocks as B
+from factorlab.operators import metrics as M
 from factorlab.operators import normal_eq as N
 from factorlab.operators import ratings as R
 from factorlab.operators import skew as S
@@ -354,3 +355,33 @@ def test_large_data_raise_the_number_of_blocks_and_partitions(ratings_of, monkey
     assert (made["partitions"], made["blocks"], made["ran_partitions"], made["ran_blocks"]) == (2, 3, least, 4 * least)
     u, i = brute.als(rows, 2, 0.5, 1)
     assert made["sse"] == pytest.approx(brute.sse(rows, u, i), rel=1e-7)
+
+
+def wide_rows():
+    """Few u, many i, one of which many u's copies make hot."""
+    return [(u, i, float((u * i) % 5 + 1)) for u in range(4) for i in range(500) if (u + i) % 3] + [(u, 7, 2.0 + u) for u in range(4)]
+
+
+@pytest.mark.parametrize("rank", [2, 12])
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_few_vectors_come_to_ratings_that_stay_for_both_sides(ratings_of, shuffled_joins, rank, hot_rows):
+    fit = check(ratings_of, wide_rows(), rank, 0.5, 2, "join", partitions=4, hot_rows=hot_rows)
+    assert fit.strategy.split(":")[-1] in ("join", "gather") and list(fit.prepared.layouts) == ["by i"]
+    made = fit.plan.update("i", fit.u_factors)
+    assert exchanges(made) == 0 if hot_rows is None else exchanges(made) <= 4
+    if hot_rows is None:
+        assert exchanges(fit.sse()) == 1  # that of the one row
+
+
+def test_training_errors_do_not_move_ratings_whose_vectors_fit(ratings_of, shuffled_joins):
+    for strategy in ("join", "gather", "broadcast"):
+        fit = A.als_fit(ratings_of(skewed_rows()), 2, 0.5, 1, strategy)
+        assert exchanges(fit.sse()) == 1
+        assert exchanges(M.sse(fit.u_factors, fit.i_factors, ratings_of(skewed_rows()), 2, near=("u", "i"))) == 1
+
+
+def test_sums_that_a_task_could_not_hold_are_gathered(ratings_of, monkeypatch):
+    monkeypatch.setattr(N, "TASK_SUM_BYTES", 100)
+    monkeypatch.setattr("factorlab.session.TASK_ROWS", 100)
+    fit = check(ratings_of, skewed_rows(), 3, 0.5, 2, "join", broadcast_bytes=10)
+    assert fit.strategy == "gather"
