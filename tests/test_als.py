@@ -385,3 +385,17 @@ def test_sums_that_a_task_could_not_hold_are_gathered(ratings_of, monkeypatch):
     monkeypatch.setattr("factorlab.session.TASK_ROWS", 100)
     fit = check(ratings_of, skewed_rows(), 3, 0.5, 2, "join", broadcast_bytes=10)
     assert fit.strategy == "gather"
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_block_tables_are_sorted_once_and_know_their_picks(ratings_of, hot_rows):
+    data = A.prepare(ratings_of(skewed_rows()), 3, partitions=3, blocks=5, hot_rows=hot_rows)
+    hot, few = data.hot()
+    made = B.rating_table(data.obs, "u", "i", data.blocks, data.partitions, hot, few)
+    assert nodes(made, "Sort") == 1 and nodes(made, "Window") == 0
+    plan = A.BlockedPlan(data, 3, 0.1)
+    rows, links = plan.kept("u")
+    assert nodes(B.send_table(rows), "Sort") == 0
+    for block in range(5):
+        owned = plan.tables("u")[0].where(F.col("blk") == block).toArrow()
+        assert not owned.num_rows or B.picks(owned).tolist() == owned["pick"].to_pylist()
