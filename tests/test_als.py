@@ -387,6 +387,36 @@ def test_sums_that_a_task_could_not_hold_are_gathered(ratings_of, monkeypatch):
     assert fit.strategy == "gather"
 
 
+@pytest.mark.parametrize("list_rows", [50_000, 40])
+def test_moved_rows_of_low_rank_are_summed_by_columns(ratings_of, monkeypatch, list_rows):
+    monkeypatch.setattr(N, "TASK_SUM_BYTES", 100)
+    monkeypatch.setattr(N, "LIST_ROWS", list_rows)
+    monkeypatch.setattr("factorlab.session.TASK_ROWS", 100)
+    fit = check(ratings_of, skewed_rows(), 2, 0.5, 2, "join", broadcast_bytes=10)
+    made = fit.plan.update("i", fit.u_factors)
+    assert fit.strategy == "gather" and nodes(made, "MapInArrow") == 0
+    assert nodes(made, "HashAggregate") == (2 if list_rows > 1000 else 4)
+
+
+def test_sums_that_would_be_no_fewer_than_their_rows_are_not_made_before_the_shuffle(ratings_of):
+    sparse = [(u, u // 2, 1.0 + u % 3) for u in range(60)]
+    dense = [(u, i, float((u * i) % 5)) for u in range(40) for i in range(30)]
+    for rows, form in ((sparse, "gather"), (dense, "columns")):
+        fit = check(ratings_of, rows, 3, 1.0, 1, "join", partitions=4, broadcast_bytes=10)
+        assert N.combining(3, fit.profiles["u"], 4) == form
+
+
+def test_copy_counts_are_cached_as_integers(ratings_of):
+    data = A.prepare(ratings_of(skewed_rows()), 2)
+    rows, _ = A.JoinPlan(data, 2, 0.5).placed("u")
+    for kept in data.kept:
+        assert dict(kept.dtypes)["n"] == "int"
+    assert len(data.kept) == 2 and dict(data.obs.dtypes)["n"] == dict(rows.dtypes)["n"] == "double"
+    assert rows.agg(F.sum("n")).first()[0] == len(skewed_rows())
+    data.unpersist()
+    assert not data.kept
+
+
 @pytest.mark.parametrize("hot_rows", [None, 20])
 def test_block_tables_are_sorted_once_and_know_their_picks(ratings_of, hot_rows):
     data = A.prepare(ratings_of(skewed_rows()), 3, partitions=3, blocks=5, hot_rows=hot_rows)
