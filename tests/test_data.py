@@ -15,6 +15,7 @@ from factorlab.plans.sweep import generate_tile_train, sweep
 from factorlab.sources import text as T
 from factorlab.sources.synth import sample_sizes, synth_ratings
 from tests import brute
+from workload import queries as W
 
 
 def rows_of(df):
@@ -203,3 +204,18 @@ def test_sweep_and_generated_run(spark, ratings_of):
     fit, train, test = generate_tile_train(spark, 20, 20, 2, 4.0, repfact=2, rank=2, lam=0.01, iters=2)
     assert train.count() == 4 * sample_sizes(20, 20, 2, 4.0)[1]
     assert fit.rmse(test).first()["nnz"] == test.count()
+
+
+def test_the_scale_sweep_runs_ten_iterations_of_rank_ten(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(u, i, int(rng.integers(1, 90))) for u in range(1, 25) for i in range(1, 21) if (u + i) % 4]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(24).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(20).write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["repfact"]: r for r in W.q_scale_sweep(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2]
+    for f in got:
+        tiled = [(u + 24 * a, i + 20 * b, r) for u, i, r in rows for a in range(f) for b in range(f)]
+        want = brute.sse(tiled, *brute.als(tiled, 10, 0.01, 10))
+        assert (got[f]["rank"], got[f]["nnz"]) == (10, len(tiled)) and got[f]["sse"] == pytest.approx(want, rel=1e-4)
+        assert want < 0.9 * brute.sse(tiled, *brute.als(tiled, 10, 0.01, 2))
