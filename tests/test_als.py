@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -10,7 +12,7 @@ from factorlab.operators import ratings as R
 from factorlab.operators import skew as S
 from factorlab.plans import als as A
 from factorlab.plans.sweep import sweep
-from factorlab.session import cut
+from factorlab.session import DROP_SHUFFLES, cut
 from tests import brute
 
 STRATEGIES = ["join", "gather", "blocked", "broadcast"]
@@ -429,3 +431,50 @@ def test_block_tables_are_sorted_once_and_know_their_picks(ratings_of, hot_rows)
     for block in range(5):
         owned = plan.tables("u")[0].where(F.col("blk") == block).toArrow()
         assert not owned.num_rows or B.picks(owned).tolist() == owned["pick"].to_pylist()
+
+
+@pytest.mark.parametrize("strategy,rank,hot_rows", [("join", 2, None), ("join", 12, 20), ("broadcast", 12, None)])
+def test_sums_are_folded_where_the_vectors_are_if_ratings_would_move(ratings_of, shuffled_joins, monkeypatch, strategy, rank, hot_rows):
+    rows = [(u, i, float((u * i) % 5 + i % 3)) for u in range(40) for i in range(30) if (u + i) % 7] + [(0, 0, 3.0)] * 30
+    options = {"partitions": 2, "hot_rows": hot_rows, "broadcast_bytes": 10}
+    monkeypatch.setattr(N, "TASK_SUM_BYTES", 100)
+    monkeypatch.setattr(N, "_FOLD_ROWS", 50)
+    monkeypatch.setattr(N, "slice_size", lambda rank: 20)
+    assert check(ratings_of, rows, rank, 0.5, 1, strategy, **options).strategy == "gather"
+    monkeypatch.setattr(N, "MOVED_BYTES", 0)
+    fit = check(ratings_of, rows, rank, 0.5, 2, strategy, **options)
+    assert fit.strategy == "join" and list(fit.prepared.layouts) == ["by u for i", "by i for u"]
+    join = getattr(fit.plan, "fallback", fit.plan)
+    made = join.update("i", fit.u_factors)
+    # The vectors go to the ratings, which keep their order, and sums to their entity, where they are sorted.
+    assert nodes(made, "ShuffledHashJoin") == 1 and nodes(made, "Sort") == 1
+    assert exchanges(made) == 2 and exchanges(join.attached("i", fit.u_factors)) == 1
+
+
+def test_a_ratings_layout_in_order_serves_all_ranks_of_the_data(ratings_of, monkeypatch):
+    rows = [(u, i, float((u * i) % 5 + i % 3)) for u in range(40) for i in range(30) if (u + i) % 7]
+    monkeypatch.setattr(N, "_FOLD_ROWS", 50)
+    monkeypatch.setattr(N, "MOVED_BYTES", 0)
+    data = A.prepare(ratings_of(rows), 12)
+    for rank in (2, 12):
+        fit = A.als_fit(data, rank, 0.5, 1, "join", broadcast_bytes=10)
+        assert fit.sse().first()["sse"] == pytest.approx(brute.sse(rows, *brute.als(rows, rank, 0.5, 1)), rel=1e-7)
+    assert fit.strategy == "join" and list(data.layouts) == ["by u for i", "by i for u"]
+    data.unpersist()
+
+
+def test_what_a_tidy_cut_shuffled_is_dropped(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {name.split("_")[1] for name in blocks.split() if name.startswith("shuffle_")}
+    before = shuffled()
+    kept = cut(spark.range(100).groupBy(F.expr("id % 7 as k")).count())
+    left = shuffled() - before
+    assert kept.count() == 7 and left
+    before = shuffled()
+    made = cut(spark.range(100).groupBy(F.expr("id % 7 as k")).count(), tidy=True)
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert sum(r["count"] for r in made.collect()) == 100 and spark.conf.get(DROP_SHUFFLES) == "false"
